@@ -8,21 +8,22 @@ worker has merged it remembers, up to a fixed number of entries.
 
 Cases: a null text counts like an empty one (0 bytes, 0 tokens); added special
 tokens inside a text count as one token each, as the library's default has it;
-very long pre-tokens are merged with a heap; repeated rows are counted one by
+very long pre-tokens are merged in the same rounds; repeated rows are counted one by
 one; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 from dataclasses import dataclass
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import map_texts
+from gridlark.llm.merging import Merges, merge_rounds
 
 #: How byte-level vocabularies cut a text before merging (a fixed value of that family).
 PATTERN = (
@@ -30,9 +31,7 @@ PATTERN = (
 )
 LIMIT = 1024
 #: Pre-tokens that a worker remembers, and the longest that it remembers.
-MEMO, MEMO_CHARS = 400_000, 48
-#: Symbols from which a heap takes the place of repeated scans.
-LONG = 100
+MEMO, MEMO_CHARS = 600_000, 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -44,13 +43,10 @@ def byte_letters() -> dict[str, int]:
 
 @dataclass
 class Vocabulary:
-    """What a worker needs: first symbols of the bytes, merges, whole tokens, special strings.
+    """What a worker needs: first symbols of the bytes, merges, whole tokens, special strings."""
 
-    ``merges`` maps ``left << 32 | right`` to ``(rank, merged symbol)``.
-    """
-
-    first: list[int]
-    merges: dict[int, tuple[int, int]]
+    first: np.ndarray
+    merges: Merges
     whole: frozenset[str] = frozenset()
     special: tuple[str, ...] = ()
 
@@ -64,101 +60,67 @@ def load(path: str) -> Vocabulary:
     if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in raw["added_tokens"]):
         raise ValueError(f"{path} has added tokens that take in their surroundings")
     ids, letters = raw["model"]["vocab"], byte_letters()
-    merges = {}
-    for rank, pair in enumerate(raw["model"]["merges"]):
+    pairs, made = [], []
+    for pair in raw["model"]["merges"]:
         left, right = pair.split(" ") if isinstance(pair, str) else pair
-        merges[ids[left] << 32 | ids[right]] = (rank, ids[left + right])
-    first = [0] * 256
+        pairs.append(ids[left] << 32 | ids[right])
+        made.append(ids[left + right])
+    first = np.zeros(256, np.int64)
     for letter, b in letters.items():
         first[b] = ids[letter]
-    found = Vocabulary(first, merges, special=tuple(t["content"] for t in raw["added_tokens"]))
-    whole = set()
+    found = Vocabulary(first, Merges(pairs, made, list(range(len(pairs)))), special=tuple(t["content"] for t in raw["added_tokens"]))
+    alone = []
     for token in ids:
-        data = bytes(letters[c] for c in token)
         try:
-            text = data.decode()
+            if set(token) <= letters.keys():
+                alone.append(bytes(letters[c] for c in token).decode())
         except UnicodeDecodeError:  # never a whole pre-token of a text
             continue
-        if merged(data, found) == 1:
-            whole.add(text)
-    found.whole = frozenset(whole)
+    found.whole = frozenset(t for t, n in zip(alone, merged(alone, found), strict=True) if n == 1)
     return found
 
 
-def merged(data: bytes, vocabulary: Vocabulary) -> int:
-    """How many symbols are left when no pair of ``data`` merges any more; least rank first, leftmost among equals."""
-    symbols, merges = [vocabulary.first[b] for b in data], vocabulary.merges
-    if len(symbols) > LONG:
-        return _merged_long(symbols, merges)
-    while len(symbols) > 1:
-        best = None
-        for at in range(len(symbols) - 1):
-            found = merges.get(symbols[at] << 32 | symbols[at + 1])
-            if found and (best is None or found[0] < best[0]):
-                best = (*found, at)
-        if best is None:
-            break
-        symbols[best[2] : best[2] + 2] = [best[1]]
-    return len(symbols)
-
-
-def _merged_long(symbols: list[int], merges: dict[int, tuple[int, int]]) -> int:
-    """The same with a heap over a linked list: n log n in the number of symbols."""
-    n = len(symbols)
-    after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-    heap: list[tuple[int, int, int, int, int]] = []
-
-    def offer(at: int) -> None:
-        if at >= 0 and after[at] >= 0 and (found := merges.get(symbols[at] << 32 | symbols[after[at]])):
-            heapq.heappush(heap, (found[0], at, symbols[at], symbols[after[at]], found[1]))
-
-    for at in range(n):
-        offer(at)
-    left = n
-    while heap:
-        _, at, a, b, new = heapq.heappop(heap)
-        to = after[at]
-        if to < 0 or symbols[at] != a or symbols[to] != b:
-            continue
-        symbols[at], symbols[to] = new, -1
-        after[at] = after[to]
-        if after[to] >= 0:
-            before[after[to]] = at
-        left -= 1
-        offer(before[at])
-        offer(at)
-    return left
+def merged(pieces: list[str], vocabulary: Vocabulary) -> list[int]:
+    """How many symbols are left of each piece when no pair merges any more."""
+    if not pieces:
+        return []
+    data = [p.encode("utf-8", "surrogatepass") for p in pieces]
+    symbols = vocabulary.first[np.frombuffer(b"".join(data), np.uint8)]
+    owner = np.repeat(np.arange(len(data)), [len(d) for d in data])
+    return np.bincount(merge_rounds(symbols, owner, vocabulary.merges)[1], minlength=len(data)).tolist()
 
 
 _PIECES = regex.compile(PATTERN)
 
 
-class _Counts(dict):
-    """Pre-token to number of tokens; merges what it does not hold."""
+class Counter:
+    """Counts batches of texts, remembering what it has merged up to a fixed number of pre-tokens."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__(dict.fromkeys(vocabulary.whole, 1))
-        self.vocabulary, self.room = vocabulary, MEMO + len(vocabulary.whole)
-
-    def __missing__(self, piece: str) -> int:
-        n = merged(piece.encode("utf-8", "surrogatepass"), self.vocabulary)
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= self.room:
-                self.clear()
-                self.update(dict.fromkeys(self.vocabulary.whole, 1))
-            self[piece] = n
-        return n
-
-
-def count(text: str | None, counts: _Counts) -> int:
-    """Tokens of one text."""
-    parts = [text or ""]
-    for token in counts.vocabulary.special:
-        parts = [x for part in parts for x in part.split(token)]
-    return len(parts) - 1 + sum(sum(map(counts.__getitem__, _PIECES.findall(part))) for part in parts)
-
-
-_workers: dict[str, _Counts] = {}
+        self.vocabulary = vocabulary
+        self.known = dict.fromkeys(vocabulary.whole, 1)
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """Tokens of each text."""
+        if len(self.known) > MEMO:
+            self.known = dict.fromkeys(self.vocabulary.whole, 1)
+        known, cut, out = self.known, [], []
+        for text in texts:
+            parts = [text or ""]
+            for token in self.vocabulary.special:
+                parts = [x for part in parts for x in part.split(token)]
+            cut.append((len(parts) - 1, [p for part in parts for p in _PIECES.findall(part)]))
+        new = list({p for _, pieces in cut for p in pieces if p not in known})
+        known.update(zip(new, merged(new, self.vocabulary), strict=True))
+        for special, pieces in cut:
+            out.append(special + sum([known[p] for p in pieces]))
+        for p in new:
+            if len(p) > MEMO_CHARS:
+                del known[p]
+        return out
+
+
+_workers: dict[str, Counter] = {}
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, keep: list[str] | None = None) -> DataFrame:
@@ -169,8 +131,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, keep: list[str]
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def measure(texts: list[str | None]) -> list[tuple]:
-        counts = _workers.get(path) or _workers.setdefault(path, _Counts(shared.value))
-        return [(len((t or "").encode("utf-8", "surrogatepass")), count(t, counts)) for t in texts]
+        counter = _workers.get(path) or _workers.setdefault(path, Counter(shared.value))
+        return [(len((t or "").encode("utf-8", "surrogatepass")), n) for t, n in zip(texts, counter.counts(texts), strict=True)]
 
     rows = map_texts(docs, measure, "n_bytes long, n_tokens long", keep)
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)
