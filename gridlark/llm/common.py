@@ -25,16 +25,16 @@ ARROW = {
 BROADCAST_ROWS = 500_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the cluster's spark.checkpoint.dir, or a local one where that is unset (tests, a laptop)."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/gridlark-checkpoints"
 
-    The cluster names it in spark.checkpoint.dir; a local one is set only
-    where that is unset (tests, a laptop).
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder that all executors share."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or "/tmp/gridlark-checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -93,8 +93,3 @@ def map_texts(
                 )
 
     return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, full)
-
-
-def fresh(spark: SparkSession, schema: str) -> DataFrame:
-    """An empty table."""
-    return spark.createDataFrame([], schema)

@@ -15,6 +15,7 @@ ledger; texts are measured whole whatever their length.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,17 +78,17 @@ def repeated_words(ids: np.ndarray, distinct: int) -> int:
 
 
 
-def rules() -> dict[str, Column]:
-    """Rule name to failure condition over the measurements; the position is the bit."""
-    words = F.col("n_words")
+def rules(at: str = "") -> dict[str, Column]:
+    """Rule name to failure condition over the measurements (``at`` goes before their names); the position is the bit."""
+    words = F.col(at + "n_words")
     return {
         "too_few_words": words < 50,
-        "repeated_windows": 100 * F.col("n_repeat_words") > 50 * words,
-        "too_many_symbols": 100 * F.col("n_symbols") > 20 * F.greatest(words, F.lit(1)),
-        "repeated_lines": (F.col("n_dup_lines") >= 3) & (100 * F.col("n_dup_lines") > 50 * F.col("n_lines")),
-        "shouting": 100 * F.col("n_upper_words") > 50 * words,
-        "odd_word_length": (F.col("word_chars") > 25 * words) | (F.col("word_chars") < 2 * words),
-        "one_note": (words >= 50) & (100 * F.col("n_distinct_words") < 5 * words) & (words < 2000),
+        "repeated_windows": 100 * F.col(at + "n_repeat_words") > 50 * words,
+        "too_many_symbols": 100 * F.col(at + "n_symbols") > 20 * F.greatest(words, F.lit(1)),
+        "repeated_lines": (F.col(at + "n_dup_lines") >= 3) & (100 * F.col(at + "n_dup_lines") > 50 * F.col(at + "n_lines")),
+        "shouting": 100 * F.col(at + "n_upper_words") > 50 * words,
+        "odd_word_length": (F.col(at + "word_chars") > 25 * words) | (F.col(at + "word_chars") < 2 * words),
+        "one_note": (words >= 50) & (100 * F.col(at + "n_distinct_words") < 5 * words) & (words < 2000),
     }
 
 
@@ -110,10 +111,15 @@ def policy_mask(names: tuple[str, ...]) -> int:
 def ledger(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """Measurements and ``failed_bits`` for every row of ``docs``, beside the columns ``keep``."""
     measured = map_texts(docs, lambda texts: [measure(t) for t in texts], MEASURES, keep, text_col)
+    return measured.withColumn("failed_bits", failure_bits())
+
+
+def failure_bits(at: str = "") -> Column:
+    """Every rule evaluated once: the bits of those that fail."""
     bits = F.lit(0).cast("long")
-    for at, condition in enumerate(rules().values()):
-        bits = bits.bitwiseOR(F.when(condition, F.lit(1 << at)).otherwise(F.lit(0)).cast("long"))
-    return measured.withColumn("failed_bits", bits)
+    for place, condition in enumerate(rules(at).values()):
+        bits = bits.bitwiseOR(F.when(condition, F.lit(1 << place)).otherwise(F.lit(0)).cast("long"))
+    return bits
 
 
 def kept(bits: Column, policy: str = CURRENT) -> Column:
@@ -121,6 +127,23 @@ def kept(bits: Column, policy: str = CURRENT) -> Column:
     return bits.bitwiseAND(F.lit(policy_mask(POLICIES[policy])).cast("long")) == 0
 
 
+def kept_documents(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """``docs`` without the rows that a policy rejects; all columns stay.
+
+    Only the texts go to Python, and only the failure bits come back.
+    """
+
+    @F.pandas_udf(MEASURES)
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure(t) for t in texts], columns=[m.split()[0] for m in MEASURES.split(", ")], dtype="int64")
+
+    name = "_measured"
+    while name in docs.columns:
+        name += "_"
+    ledger_rows = docs.withColumn(name, measured(F.col("text").cast("string")))
+    return ledger_rows.where(kept(failure_bits(f"{name}."), policy)).drop(name)
+
+
 def ablation(ledger_df: DataFrame, policies: dict[str, tuple[str, ...]] = POLICIES) -> DataFrame:
     """For each policy and rule: documents that the rule fails, that it alone rejects, and that the policy rejects.
 
