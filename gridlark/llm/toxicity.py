@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: many weak voters, a generative label model, a linear classifier.
 
-Voters are words (a short fixed list, and words that the labelled training rows
-show far more often in toxic texts) and patterns (address, shouting,
+Voters are words (a short fixed list, and words and word beginnings that the
+labelled training rows show far more often in toxic texts) and patterns (address, shouting,
 exclamation, masked letters). A voter votes by standing in the text and else
 abstains; the label of a training row is one more voter that can be wrong. The
 label model is a two-class mixture fitted by expectation maximisation: it
@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from gridlark.llm.common import fold, map_texts, plain_words
 
 SAMPLE = 20_000
-#: Learned words: how many at most, the documents that hold one at least, and how sure the difference must be.
-LEARNED, LEAST_DOCS, SURE = 48, 5, 4.0
+#: Learned words: how many at most, the documents that hold one at least, and the least standard score of its toxic ones.
+LEARNED, LEAST_DOCS, SURE = 160, 5, 5.0
+#: Lengths of word beginnings that can be voters beside whole words.
+STEMS = (4, 5)
 #: Fixed word list.
 WORDS = (
-    "arschloch bastard bitch connard cretin damn disgusting dumb dumbass estupido fuck garbage hate hdp idiot idiota imbecile "
+    "arschloch bastard bitch clown connard cretin damn disgusting dumb dumbass estupido fuck garbage hate hdp idiot idiota imbecile "
     "jerk kill loser moron nazi pathetic pendejo puta salaud scum shit shut stupid trash ugly vermin worthless"
 ).split()
 PATTERNS = {
@@ -47,6 +49,7 @@ PATTERNS = {
     "drawn_out": re.compile(r"([a-z])\1{3,}", re.I | re.A),
 }
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LABEL_RIGHT = ((0.7, 0.99), (0.001, 0.05))  # how often a label is 1 in toxic and in other texts
 PRIOR_VOTE = (0.3, 0.02)  # belief, before any data, that a voter votes in toxic and in other texts
 
 
@@ -54,7 +57,9 @@ def votes(text: str | None, words: dict[str, int]) -> list[int]:
     """Numbers of the voters that vote; patterns follow the words."""
     if not text:
         return []
-    found = {words[w] for w in words.keys() & set(_WORD.findall(text.lower()))}
+    distinct = set(_WORD.findall(text.lower()))
+    terms = distinct.union(*[{w[:n] + "*" for w in distinct if len(w) >= n} for n in STEMS])
+    found = {words[w] for w in words.keys() & terms}
     found |= {len(words) + i for i, p in enumerate(PATTERNS.values()) if p.search(text)}
     return sorted(found)
 
@@ -69,21 +74,27 @@ class LabelModel:
     prior: float
 
     def posterior(self, matrix: np.ndarray) -> np.ndarray:
-        """Probability of class 1 for each row of votes."""
-        on = np.log(self.toxic / self.other) * self.share
-        off = np.log((1 - self.toxic) / (1 - self.other)) * self.share
-        z = np.log(self.prior / (1 - self.prior)) + matrix @ on + (1 - matrix) @ off
+        """Probability of class 1 for each row of votes; a voter that abstains says nothing, but the label's 0 does."""
+        z = np.log(self.prior / (1 - self.prior)) + matrix @ (np.log(self.toxic / self.other) * self.share)
+        z += (1 - matrix[:, -1]) * np.log((1 - self.toxic[-1]) / (1 - self.other[-1]))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit_label_model(matrix: np.ndarray, weight: np.ndarray, start: np.ndarray, rounds: int = 12) -> LabelModel:
-    """Expectation maximisation over distinct vote rows with their counts, from first beliefs about each row."""
+    """Expectation maximisation over distinct vote rows with their counts, from first beliefs about each row.
+
+    The last column is the training label, the one before it silence (no voter
+    votes). Labels are mostly right, so their rates stay within LABEL_RIGHT.
+    """
     belief = start
     model = LabelModel(np.array([]), np.array([]), np.ones(matrix.shape[1]), 0.1)
     for _ in range(rounds):
         n = [max(float((w := weight * b).sum()), 1e-9) for b in (belief, 1 - belief)]
         rates = [(matrix.T @ (weight * b) + 4 * p) / (k + 4) for b, k, p in zip((belief, 1 - belief), n, PRIOR_VOTE, strict=True)]
-        model = LabelModel(rates[0], rates[1], correlation_share(matrix, weight * belief), min(0.9, max(0.005, n[0] / sum(n))))
+        rates[0][-1], rates[1][-1] = (min(high, max(low, r[-1])) for r, (low, high) in zip(rates, LABEL_RIGHT, strict=True))
+        share = correlation_share(matrix, weight * belief)
+        share[-2:] = 1
+        model = LabelModel(rates[0], rates[1], share, min(0.9, max(0.005, n[0] / sum(n))))
         belief = model.posterior(matrix)
     return model
 
@@ -129,15 +140,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def learned_words(rows: DataFrame) -> list[str]:
-    """Words that stand in toxic texts far more often than in others."""
-    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
+    """Words, and word beginnings (with a ``*``), that stand in toxic texts far more often than in others."""
+    sums = rows.distinct().agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     n, t = sums["n"], sums["t"] or 0
     if not 0 < t < n:
         return []
-    each = rows.select("toxic", F.explode(F.array_distinct(plain_words(F.col("text")))).alias("word"))
+    distinct = rows.distinct().select("toxic", F.array_distinct(plain_words(F.col("text"))).alias("words"))
+    stems = [
+        F.transform(F.filter("words", lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS
+    ]
+    each = distinct.select("toxic", F.explode(F.array_distinct(F.concat("words", *stems))).alias("word"))
     counted = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("hit")).where(F.col("df") >= LEAST_DOCS)
     a, b = (F.col("hit") + 0.5) / (t + 1), (F.col("df") - F.col("hit") + 0.5) / (n - t + 1)
-    sure = F.log(a / b) / F.sqrt(1 / (F.col("hit") + 0.5) + 1 / (F.col("df") - F.col("hit") + 0.5))
+    expected = F.col("df") * (t / n)
+    sure = (F.col("hit") - expected) / F.sqrt(expected * (1 - t / n))
     far = counted.withColumn("sure", sure).where((F.col("sure") >= SURE) & (a >= 4 * b))
     return [r["word"] for r in far.orderBy(F.desc("sure"), "word").limit(LEARNED).collect()]
 
@@ -148,16 +164,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     words = {w: i for i, w in enumerate(dict.fromkeys([*WORDS, *learned_words(rows)]))}
     cast = map_texts(rows, lambda texts: [(",".join(map(str, votes(t, words))),) for t in texts], "votes string", ["toxic"])
     counted = cast.groupBy("toxic", "votes").agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "votes").collect()
-    n = len(words) + len(PATTERNS)
+    n = len(words) + len(PATTERNS) + 1
     if not counted:
         return words, np.concatenate([np.full(len(words), 3.0), np.full(len(PATTERNS), 0.3), [-3.0]])
     matrix = np.zeros((len(counted), n + 1))
     for i, r in enumerate(counted):
         matrix[i, [int(v) for v in r["votes"].split(",") if v]] = 1
-        matrix[i, n] = r["toxic"]
+        matrix[i, n - 1 :] = not r["votes"], r["toxic"]
     weight = np.array([r["n"] for r in counted], float)
     model = fit_label_model(matrix, weight, np.where(matrix[:, n] > 0, 0.9, 0.02))
-    return words, fit_classifier(matrix[:, :n], weight, model.posterior(matrix))
+    return words, fit_classifier(matrix[:, : n - 1], weight, model.posterior(matrix))
 
 
 def score(docs: DataFrame, words: dict[str, int], weights: np.ndarray, keep: list[str] | None = None) -> DataFrame:
