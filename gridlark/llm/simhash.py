@@ -84,7 +84,7 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
         front, left = [left[0]], left[1:]
         while front and len(left):
             node = front.pop()
-            near = np.bitwise_count(left ^ node) <= radius
+            near = np.bitwise_count((left ^ node).view(np.uint64)) <= radius  # of a negative number it would count the absolute value
             if near.any():
                 found = left[near]
                 edges += [(int(node), int(x)) for x in found]
