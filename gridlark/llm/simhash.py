@@ -34,7 +34,7 @@ from gridlark.llm.common import checkpointed, map_texts
 
 SHINGLE, SEED, BITS = 4, 42, 64
 #: Buckets of up to this many fingerprints are compared as one array.
-SMALL_BUCKET = 48
+SMALL_BUCKET = 8
 #: Fingerprints in one chunk of a large bucket.
 CHUNK = 4096
 
