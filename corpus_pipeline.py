@@ -60,8 +60,7 @@ def _length(text: Column, docs: DataFrame) -> Column:
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document and digests of ids and decoded text, beside its other columns."""
-    encoded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), [c for c in docs.columns if c in ("doc_id", "lang", "source")])
-    return encoded
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), [c for c in docs.columns if c in ("doc_id", "lang", "source")])
 
 
 STAGES = [
