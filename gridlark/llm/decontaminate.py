@@ -159,7 +159,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage; all columns stay."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
+    found = checkpointed(leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct())
     return docs.join(broadcast_if_small(found), docs["doc_id"].eqNullSafe(F.col("_leaked")), "left_anti")
 
 
