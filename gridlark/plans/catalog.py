@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from gridlark.operators import retrieval, series, spatial, texts, verdicts
 from gridlark.operators.components import connected
+from gridlark.sources import readers
+from gridlark.streaming import intake
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -316,6 +318,18 @@ def kpi_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("SELECT date_trunc('hour', ts)::timestamp AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-time windows, as the stream has them."""
+    return intake.hourly(table(spark, sf_dir, "events"))
+
+
+@query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS text_md5 FROM pages""")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the visible text of every page."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(readers.visible_text(F.col("html")).cast("binary")).alias("text_md5"))
+
+
 def queries() -> dict[str, Query]:
     """Query name to function."""
     return dict(_QUERIES)
