@@ -135,26 +135,27 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``fp`` to ``root``, the smallest fingerprint reachable; only nodes with links are returned.
+    """(fp, root, least) of the nodes with links: the least id (``least`` of ``nodes``, nulls last) that is reachable, and its node.
 
     A round sends each node's label to its neighbours, keeps the least, and
     then jumps to the label's own label, so long chains close in few rounds.
+    Labels carry the id itself, so nothing is grouped by component afterwards.
     Each round is checkpointed in the shared folder.
     """
+    least = F.col("least") if "least" in nodes.columns else F.lit(None).cast("long")
+    own = nodes.select("fp", F.struct(least.isNull().alias("nameless"), least.alias("least"), F.col("fp").alias("root")).alias("label"))
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = checkpointed(both.groupBy(F.col("a").alias("fp")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
+    labels = checkpointed(own.join(both.select(F.col("a").alias("fp")).distinct(), "fp"))
     for _ in range(max_rounds):
-        heard = (
-            both.join(labels.withColumnRenamed("fp", "b"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("near"))
-        )
-        nearer = labels.join(heard, "fp").select("fp", F.least("root", "near").alias("next"), "root")
-        jump = labels.select(F.col("fp").alias("next"), F.col("root").alias("far"))
+        heard = both.join(labels.withColumnRenamed("fp", "b"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("label").alias("near"))
+        nearer = labels.join(heard, "fp").select("fp", "label", F.least("label", "near").alias("next"))
+        jump = labels.select(F.col("fp").alias("at"), F.col("label").alias("far"))
         moved = checkpointed(
-            nearer.join(jump, "next", "left").select("fp", F.least("next", F.coalesce("far", "next")).alias("root"), F.col("root").alias("was"))
+            nearer.join(jump, nearer["next.root"] == jump["at"], "left").select("fp", F.least("next", F.coalesce("far", "next")).alias("label"), F.col("label").alias("was"))
         )
-        labels = moved.select("fp", "root")
-        if moved.where("root <> was").limit(1).count() == 0:
-            return labels
+        labels = moved.select("fp", "label")
+        if moved.where("label.root <> was.root").limit(1).count() == 0:
+            return labels.select("fp", "label.root", "label.least")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
@@ -167,8 +168,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     """One row per document: its fingerprint and the smallest id of its component."""
     fps = checkpointed(fingerprints(docs))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(distinct, links(distinct.select("fp"), radius))
-    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = checkpointed(named.select("fp", "root").join(least, "root").select("fp", "component_id"))
+    found = components(distinct, links(distinct.select("fp"), radius)).select("fp", F.lit(True).alias("linked"), F.col("least").alias("first"))
+    named = F.when(F.col("linked"), F.col("first")).otherwise(F.col("least"))
+    of = checkpointed(distinct.join(found, "fp", "left").select("fp", named.alias("component_id")))
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
