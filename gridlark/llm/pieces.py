@@ -25,7 +25,7 @@ from gridlark.llm.merging import Merges, merge_rounds
 
 MARK = "▁"
 #: Segments that a worker remembers, and the longest that it remembers.
-MEMO, MEMO_CHARS = 250_000, 40
+MEMO, MEMO_CHARS = 100_000, 32
 _SEGMENTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
