@@ -62,3 +62,63 @@ def term_frequency(text: Column, terms: list[str]) -> Column:
     """How often the terms stand in a text, whatever their case."""
     low = F.lower(F.coalesce(text, F.lit("")))
     return sum(((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t) for t in terms), F.lit(0.0))
+
+
+def best_of_questions(hits: DataFrame, key: str, score: str) -> DataFrame:
+    """Hits of several sub-questions as one list: each key with its highest score."""
+    return hits.groupBy(key).agg(F.max(score).alias(score))
+
+
+def sparse_scores(postings: DataFrame, question: dict[str, float], key: str, term: str, weight: str) -> DataFrame:
+    """(key, score): the dot product of each row's terms with the question's; only postings of its terms are read."""
+    asked = F.create_map(*[F.lit(x) for pair in question.items() for x in pair])
+    near = postings.where(F.col(term).isin(*question))
+    return near.groupBy(key).agg(F.sum(F.col(weight) * F.element_at(asked, F.col(term))).alias("score"))
+
+
+def rerank_pool(hits: DataFrame, group: str, key: str, score: str, priced: Column, pool: int = 14, quota: int = 5) -> DataFrame:
+    """The ``pool`` best hits of each question, up to ``quota`` priced ones first; further priced ones are left out."""
+    by = Window.partitionBy(group, "priced").orderBy(F.desc(score), key)
+    kept = hits.withColumn("priced", priced).withColumn("turn", F.row_number().over(by)).where(~F.col("priced") | (F.col("turn") <= quota))
+    order = Window.partitionBy(group).orderBy(F.desc("priced"), F.desc(score), key)
+    return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pool).drop("turn")
+
+
+def context_budget(ranked: DataFrame, group: str, place: str, length: str, budget: int = 25_000, cut: int = 3_000, least: int = 200) -> DataFrame:
+    """(group, place, taken): characters that each ranked passage of a question gets.
+
+    A passage is cut to ``cut``; one that does not fit gets the rest if that
+    is more than ``least``, and shorter ones after it may still fit. The ranked
+    list of one question is bounded (a rerank pool) and is folded as an array.
+    """
+    row = F.struct(F.col(place).alias("place"), F.least(F.col(length).cast("long"), F.lit(cut).cast("long")).alias("n"))
+    lists = ranked.groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<place:bigint,taken:bigint>>").alias("out"))
+
+    def step(acc: Column, r: Column) -> Column:
+        room = F.lit(budget) - acc["used"]
+        taken = F.when(r["n"] <= room, r["n"]).when(room > least, room).otherwise(F.lit(0)).cast("long")
+        one = F.array(F.struct(r["place"].cast("long").alias("place"), taken.alias("taken")))
+        return F.struct((acc["used"] + taken).alias("used"), F.concat(acc["out"], one).alias("out"))
+
+    folded = lists.select(group, F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("o"))
+    return folded.select(group, F.col("o.place").alias(place), F.col("o.taken").alias("taken"))
+
+
+def page_of(positions: DataFrame, pages: DataFrame, document: str) -> DataFrame:
+    """(document, pos, page): the page (offset, page) with the greatest offset up to each position.
+
+    Both sides are sorted once together by position; the last page so far is the answer.
+    """
+    marks = pages.select(document, F.col("offset").alias("pos"), F.lit(0).alias("side"), "page")
+    asked = positions.select(document, "pos", F.lit(1).alias("side"), F.lit(None).cast(pages.schema["page"].dataType).alias("page"))
+    so_far = Window.partitionBy(document).orderBy("pos", "side").rowsBetween(Window.unboundedPreceding, 0)
+    found = marks.unionByName(asked).withColumn("page", F.last("page", ignorenulls=True).over(so_far))
+    return found.where("side = 1").select(document, "pos", "page")
+
+
+def page_offsets(pages: DataFrame, document: str, page: str, text: str) -> DataFrame:
+    """(document, page, offset): where each page begins when pages are joined by two characters."""
+    before = Window.partitionBy(document).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.length(F.coalesce(F.col(text), F.lit(""))) + 2).over(before), F.lit(0))
+    return pages.select(document, F.col(page).alias("page"), offset.cast("long").alias("offset"))

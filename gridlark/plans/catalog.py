@@ -2,38 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.operators import retrieval, series, spatial, texts, verdicts
 from gridlark.operators.components import connected
+from gridlark.plans import passages, rulebook, shapes  # noqa: F401  (they register their queries)
+from gridlark.plans.registry import QUERIES, SQL, Query, query, table
 from gridlark.sources import readers
 from gridlark.streaming import intake
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name."""
-
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # --- verdicts ---------------------------------------------------------------
 
 STATUS_SQL = "CASE WHEN l_discount >= 0.095 AND l_tax >= 0.075 THEN 'IMPOSSIBLE' WHEN l_returnflag = 'A' THEN 'CONDITIONAL' WHEN l_returnflag = 'R' THEN 'UNKNOWN' ELSE 'POSSIBLE' END"
@@ -332,9 +310,9 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Query name to function."""
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return dict(_SQL)
+    return dict(SQL)
