@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark.operators import chunking, geometry, notation, retrieval, rules
+from gridlark.operators import chunking, geometry, notation, registers, retrieval, rules
 from gridlark.sources import sinks
 
 
@@ -130,3 +130,22 @@ def test_partitions_are_replaced_alone(spark, tmp_path):
     sinks.write_partitions(rows((1, 1), (2, 2)), str(tmp_path / "t"), ["p"])
     sinks.write_partitions(rows((2, 5)), str(tmp_path / "t"), ["p"])
     assert {(r["p"], r["v"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(1, 1), (2, 5)}
+
+
+def test_paths(spark):
+    fields = lambda p: tuple(one(spark, registers.path_fields(F.lit(p))))
+    assert fields("당진PJT(당진행복솔라)_1단계/계약서/01. epc/a.pdf") == ("당진", "당진행복솔라", "1단계", "contract", "EPC", "a.pdf")
+    assert fields("a.pdf") == ("a.pdf", "", "", "general", "", "a.pdf")
+
+
+def test_pages_run_on(spark):
+    pages = spark.createDataFrame([("d", 1, "one"), ("d", 2, "two."), ("d", 3, None), ("d", 4, "three"), ("d", 5, "제 5 조 four")], "doc string, page int, text string")
+    got = registers.stitched(pages, "doc", "page", "text").orderBy("part")
+    assert [tuple(r) for r in got.collect()] == [("d", 1, 2, "one two."), ("d", 2, 1, "three"), ("d", 3, 1, "제 5 조 four")]
+
+
+def test_repeated_ledger_rows_do_not_multiply(spark):
+    rows = spark.createDataFrame([(1, "r1", "x"), (2, None, "l1"), (3, "r9", "l9")], "id long, road string, lot string")
+    ledger = spark.createDataFrame([("r1", "l0", "b"), ("r1", "l1", "a"), (None, "l1", "c")], "road string, lot string, v string")
+    got = {r["id"]: (r["v"], r["found_by"]) for r in registers.two_key_join(rows, ledger, "road", "lot", "v").collect()}
+    assert got == {1: ("a", "road"), 2: ("a", "lot"), 3: (None, "UNKNOWN")}
