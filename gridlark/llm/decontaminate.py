@@ -1,8 +1,8 @@
 """Benchmark passages in documents: SimHash of item-sized windows, multi-index Hamming search, exact check.
 
 Texts become lower-cased words and hashed five-word shingles. A shingle weighs
-``1000 div (number of benchmark items that hold it)``, and nothing outside the
-benchmark. A window of a document is as long as an item and stands so that a
+``1000 div (number of benchmark items that hold it)``, at least 1, and nothing
+outside the benchmark; items of the same words are searched as one. A window of a document is as long as an item and stands so that a
 shared shingle falls on the item's own place: any window that shares weight
 with an item is a shift of one of these, and windows without a shared shingle
 have similarity zero. Runs of consecutive shared shingles give one window.
@@ -50,26 +50,21 @@ def simhash(found: str) -> Column:
     )
 
 
-def _item_shingles(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items (no, item_id, len, found) and shingles (h, w, places of (len, off))."""
-    items = (
+def _item_shingles(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items (no, item_id), their texts (no, len, found), one row each, and shingles (h, w, places of (len, off))."""
+    items = checkpointed(
         benchmark.select("item_id", plain_words(F.col("text")).alias("words"))
         .where(F.size("words") >= SHINGLE)
+        .select("item_id", F.xxhash64(F.array_join("words", " ")).alias("no"), shingle_hashes(F.col("words")).alias("hs"))
         .distinct()
-        .select("item_id", F.xxhash64("item_id", F.array_join("words", " ")).alias("no"), shingle_hashes(F.col("words")).alias("hs"))
-        .withColumn("len", F.size("hs"))
     )
-    items = checkpointed(items)
-    places = items.select("no", "len", F.posexplode("hs").alias("off", "h"))
-    shingles = checkpointed(
-        places.groupBy("h").agg(
-            F.expr("1000 div count(DISTINCT no)").alias("w"), F.collect_set(F.struct("len", "off")).alias("places")
-        )
-    )
-    sums = (
-        places.select("no", "h").distinct().join(shingles.select("h", "w"), "h").groupBy("no").agg(F.collect_list(F.struct("h", "w")).alias("found"))
-    )
-    return checkpointed(items.select("no", "item_id", "len").join(sums, "no")), shingles
+    texts = checkpointed(items.groupBy("no").agg(F.first("hs").alias("hs"), F.count(F.lit(1)).alias("copies"))).withColumn("len", F.size("hs"))
+    held = texts.select("no", "copies", F.explode(F.array_distinct("hs")).alias("h"))
+    weights = held.groupBy("h").agg(F.expr("greatest(1000 div sum(copies), 1L)").alias("w"))
+    places = texts.select("len", F.posexplode("hs").alias("off", "h")).groupBy("h").agg(F.collect_set(F.struct("len", "off")).alias("places"))
+    shingles = checkpointed(weights.join(places, "h"))
+    sums = held.join(shingles.select("h", "w"), "h").groupBy("no").agg(F.collect_list(F.struct("h", "w")).alias("found"))
+    return items.select("no", "item_id"), checkpointed(texts.select("no", "len").join(sums, "no")), shingles
 
 
 def sieve(shingles: DataFrame) -> str | None:
@@ -99,7 +94,7 @@ def hits(docs: DataFrame, shingles: DataFrame) -> DataFrame:
 
 
 def windows(found: DataFrame) -> DataFrame:
-    """Item-sized windows (doc_id, start, len, shared shingles ``found``, fingerprint ``fp``)."""
+    """Item-sized windows (doc_id, tid, start, len, shared shingles ``found``, fingerprint ``fp``)."""
     starts = F.expr("""
         flatten(transform(hits, (x, i) -> transform(
             filter(x.places, p -> i = 0 OR NOT (get(hits, i - 1).pos = x.pos - 1
@@ -111,8 +106,8 @@ def windows(found: DataFrame) -> DataFrame:
             filter(slice(hits, greatest(1, at.i + 1 - at.len), 2 * at.len + 1), x -> x.pos >= at.start AND x.pos < at.start + at.len),
             x -> named_struct('h', x.h, 'w', x.w)))
     """)
-    placed = found.select("doc_id", "hits", F.explode(starts).alias("at"))
-    return placed.select("doc_id", "at.start", "at.len", shared.alias("found")).withColumn("fp", simhash("found"))
+    placed = found.select("doc_id", "tid", "hits", F.explode(starts).alias("at"))
+    return placed.select("doc_id", "tid", "at.start", "at.len", shared.alias("found")).withColumn("fp", simhash("found"))
 
 
 def _within(bits: int) -> list[int]:
@@ -123,14 +118,13 @@ def _block(fp: str, j: str) -> Column:
     return F.expr(f"cast(shiftrightunsigned({fp}, {j} * {BLOCK_BITS}) & {(1 << BLOCK_BITS) - 1} AS int)")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word): each document and item whose best window reaches ``threshold``."""
-    items, shingles = _item_shingles(benchmark)
+def _matches(docs: DataFrame, texts: DataFrame, shingles: DataFrame, threshold: float, radius: int) -> DataFrame:
+    """(doc_id, tid, no, start, s): the windows that reach ``threshold``, by document text and item text."""
     words = docs.select("doc_id", "text", plain_words(F.col("text")).alias("words"))
     at = windows(hits(words, shingles))
     keyed = at.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("v", _block("fp", "j"))
     index = (
-        items.withColumn("item_fp", simhash("found"))
+        texts.withColumn("item_fp", simhash("found"))
         .select("no", "len", "item_fp", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("j"))
         .withColumn("mask", F.explode(F.array(*map(F.lit, _within(radius // BLOCKS)))))
         .select("no", "len", "item_fp", "j", _block("item_fp", "j").bitwiseXOR(F.col("mask")).alias("v"))
@@ -138,16 +132,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
     near = (
         keyed.join(broadcast_if_small(index), ["len", "j", "v"])
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-        .select("no", "doc_id", "start", "found")
+        .select("no", "doc_id", "tid", "start", "found")
     )
-    target = items.select("no", "item_id", F.col("found").alias("target"))
+    target = texts.select("no", F.col("found").alias("target"))
     whole = "aggregate(target, 0L, (s, x) -> s + x.w)"
     common = "aggregate(array_intersect(found, target), 0L, (s, x) -> s + x.w)"
-    scored = near.join(broadcast_if_small(target), "no").select("doc_id", "item_id", "start", F.expr(f"{common} / {whole}").alias("s"))
+    scored = near.join(broadcast_if_small(target), "no").select("doc_id", "tid", "no", "start", F.expr(f"{common} / {whole}").alias("s"))
+    return scored.where(F.col("s") >= threshold)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word): each document and item whose best window reaches ``threshold``."""
+    items, texts, shingles = _item_shingles(benchmark)
+    best = F.max(F.struct("s", (-F.col("start")).alias("back"))).alias("best")
+    by_text = _matches(docs, texts, shingles, threshold, radius).groupBy("doc_id", "no").agg(best)
     return (
-        scored.where(F.col("s") >= threshold)
+        by_text.join(broadcast_if_small(items), "no")
         .groupBy("doc_id", "item_id")
-        .agg(F.max(F.struct("s", (-F.col("start")).alias("back"))).alias("best"))
+        .agg(F.max("best").alias("best"))
         .select(
             "doc_id",
             "item_id",

@@ -120,6 +120,15 @@ def test_edited_passages(spark):
     assert pairs == {(3 * i + d, i) for i in range(20) for d in (0, 2)}
 
 
+def test_passage_under_many_items(spark):
+    passage = "one passage of the benchmark that stands under very many items"
+    items = spark.createDataFrame([*((i, passage) for i in range(1001)), (None, passage)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before it {passage} and after"), (2, "a clean text of several other words")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["similarity"], r["first_word"]) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {(1, i, 1.0, 2) for i in [*range(1001), None]}
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()] == [2]
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
