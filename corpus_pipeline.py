@@ -2,8 +2,9 @@
 
 Every stage reads what its predecessor kept, as Parquet, and all but the last
 return the columns of ``documents``. Cases: null texts count as empty and fail
-the quality rules; rows with a null id take no part in near-duplicate removal
-and stay; an empty table stays empty; extra columns pass through.
+the quality rules; rows with a null id give way to near duplicates with an id,
+and one row stays of a group without ids; a leaking text is dropped alone, not
+with other rows under its id; near-duplicate removal keeps one row of an id; an empty table stays empty; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from gridlark.llm.common import shared_folder
 from gridlark.llm.decontaminate import decontaminate
 from gridlark.llm.quality import kept_documents
 from gridlark.llm.queries import table
-from gridlark.llm.simhash import near_duplicates
+from gridlark.llm.simhash import grouped
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,19 +29,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group.
+    """One row of each near-duplicate group: the one with the smallest id, or of a group without ids the one with the smallest text hash.
 
-    Of several rows under one id the first by text stays; rows under one id and
-    text are told apart by their other plain columns.
+    Of several such rows under one id the first by text stays; rows under one id
+    and text are told apart by their other plain columns.
     """
-    named = docs.where("doc_id IS NOT NULL")
-    first = near_duplicates(named.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    others = [c for c in docs.columns if c != "doc_id"]
-    row = F.struct(*[F.col(f"`{c}`") for c in others])
+    tid = F.xxhash64("text").alias("_tid")
+    found = grouped(docs.select("doc_id", tid, "text"), ["doc_id", "_tid"])
+    named = found.where("doc_id = component_id").select(F.col("doc_id").cast("string").alias("_key"), F.lit(False).alias("_nameless"), "_tid")
+    nameless = found.where("component_id IS NULL").groupBy("root").agg(F.min("_tid").alias("_tid")).select(F.col("_tid").cast("string").alias("_key"), F.lit(True).alias("_nameless"), "_tid")
+    first = named.unionByName(nameless).groupBy("_key", "_nameless").agg(F.collect_set("_tid").alias("_tids"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     plain = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "doc_id" and not hasattr(f.dataType, "keyType")]
-    one = named.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text"), *plain)).alias("_row"))
-    kept = one.select("doc_id", *[F.col("_row")[c].alias(c) for c in others]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")).alias("_key"), F.col("doc_id").isNull().alias("_nameless"), tid, row.alias("_row"), F.struct(F.col("text"), *plain).alias("_order"))
+    one = keyed.join(first, ["_key", "_nameless"]).where("array_contains(_tids, _tid)").groupBy("_key", "_nameless").agg(F.min_by("_row", "_order").alias("_row"))
+    return one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

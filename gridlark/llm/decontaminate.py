@@ -159,10 +159,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, r
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage; all columns stay."""
-    found = checkpointed(leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct())
-    return docs.join(broadcast_if_small(found), docs["doc_id"].eqNullSafe(F.col("_leaked")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark passage; all columns stay, and so do other texts under the same id."""
+    _, texts, shingles = _item_shingles(benchmark)
+    found = _matches(docs, texts, shingles, threshold, radius).select(F.col("doc_id").alias("_leaked"), F.col("tid").alias("_tid")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_leaked")) & (F.xxhash64(docs["text"]) == F.col("_tid"))
+    return docs.join(broadcast_if_small(checkpointed(found)), same, "left_anti")
 
 
 def sql() -> str:

@@ -164,11 +164,16 @@ def fingerprints(docs: DataFrame, keep: list[str] | None = None, text_col: str =
     return map_texts(docs, lambda texts: [(fingerprint(t),) for t in texts], "fp long", keep, text_col)
 
 
+def grouped(docs: DataFrame, keep: list[str], radius: int = 4) -> DataFrame:
+    """The columns ``keep`` (with ``doc_id``) and ``fp`` of every row, its component's node ``root`` and smallest id ``component_id``."""
+    fps = checkpointed(fingerprints(docs, keep))
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = components(distinct, links(distinct.select("fp"), radius)).select("fp", "root", F.col("least").alias("first"))
+    named = F.when(F.col("root").isNotNull(), F.col("first")).otherwise(F.col("least"))
+    of = checkpointed(distinct.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), named.alias("component_id")))
+    return fps.join(of, "fp").select(*keep, "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     """One row per document: its fingerprint and the smallest id of its component."""
-    fps = checkpointed(fingerprints(docs))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(distinct, links(distinct.select("fp"), radius)).select("fp", F.lit(True).alias("linked"), F.col("least").alias("first"))
-    named = F.when(F.col("linked"), F.col("first")).otherwise(F.col("least"))
-    of = checkpointed(distinct.join(found, "fp", "left").select("fp", named.alias("component_id")))
-    return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return grouped(docs, ["doc_id"], radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

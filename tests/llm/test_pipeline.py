@@ -1,6 +1,7 @@
 """The pipeline against a plain Python version, and on odd tables."""
 
 import hashlib
+import random
 
 import pandas as pd
 import public_tokenizers
@@ -45,5 +46,21 @@ def test_stages_on_odd_rows(spark):
             assert len(out.collect()) == n, name
 
 
+def test_rows_without_or_under_one_id(spark, tmp_path):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    passage, a, b, c, d = (text() for _ in range(5))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = lambda data: spark.createDataFrame(data, "doc_id long, text string")
+    found = lambda df: sorted(((r["doc_id"] or 0), r["text"]) for r in df.collect())
+    clean = corpus_pipeline.decontamination_stage(spark, frame([(None, passage), (None, a), (7, passage), (7, b), (8, c)]), str(tmp_path))
+    assert found(clean) == sorted([(0, a), (7, b), (8, c)])
+    kept = corpus_pipeline.near_dedup_stage(spark, frame([(None, a), (None, a), (None, b), (None, c), (3, c), (4, c), (5, d)]), str(tmp_path))
+    assert found(kept) == sorted([(0, a), (0, b), (3, c), (5, d)])
+    # id 3 keeps the text that it stands for, not the one that repeats document 1
+    kept = corpus_pipeline.near_dedup_stage(spark, frame([(1, min(a, b)), (3, min(a, b)), (3, max(a, b)), (4, max(a, b))]), str(tmp_path))
+    assert found(kept) == [(1, min(a, b)), (3, max(a, b))]
+
+
 def test_queries_module_has_all_ten():
     assert [int(k[2:].split("_")[0]) for k in queries.queries()] == list(range(1, 11))
