@@ -62,8 +62,10 @@ def _length(text: Column, docs: DataFrame) -> Column:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document and digests of ids and decoded text, beside its other columns."""
-    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), [c for c in docs.columns if c in ("doc_id", "lang", "source")])
+    """Piece ids (comma-joined), decoded text and digests of both for each document, beside its other columns."""
+    kept = [c for c in docs.columns if c in ("doc_id", "lang", "source")]
+    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), kept, digest=False)
+    return coded.select("*", *[F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "decoded")])
 
 
 STAGES = [

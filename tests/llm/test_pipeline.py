@@ -62,5 +62,15 @@ def test_rows_without_or_under_one_id(spark, tmp_path):
     assert found(kept) == [(1, min(a, b)), (3, max(a, b))]
 
 
+def test_encoded_text_is_delivered(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs = spark.createDataFrame([(1, "some words  stand here é☃"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in corpus_pipeline.encode_stage(spark, docs, SMALL).collect()}
+    ids = sp.encode("some words  stand here é☃")
+    assert got[1]["ids"] == ",".join(map(str, ids)) and got[1]["decoded"] == sp.decode(ids) and got[1]["n_tokens"] == len(ids)
+    assert got[1]["ids_sha256"] == hashlib.sha256(got[1]["ids"].encode()).hexdigest()
+    assert (got[2]["ids"], got[2]["decoded"], got[2]["n_tokens"]) == ("", "", 0)
+
+
 def test_queries_module_has_all_ten():
     assert [int(k[2:].split("_")[0]) for k in queries.queries()] == list(range(1, 11))
