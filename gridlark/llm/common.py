@@ -6,6 +6,7 @@ anything else, so extra columns of any name pass by it untouched.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,8 +27,30 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's spark.checkpoint.dir, or a local one where that is unset (tests, a laptop)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/gridlark-checkpoints"
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset and everything runs in one process.
+
+    A cluster without that setting is an error: executors would write to disks that the others can't read.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not (sc.master or "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/gridlark-{sc.applicationId}"
+
+
+def quoted(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer form of it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -76,7 +99,8 @@ def map_texts(
     in the order of ``schema`` (a DDL string without the kept columns).
     """
     keep = ["doc_id"] if keep is None else keep
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    own = [quoted(c) for c in keep]
+    kept = ", ".join("`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in docs.select(*own).schema)
     full = f"{kept}, {schema}" if kept else schema
     names, kinds = zip(*(c.split() for c in schema.split(",")), strict=True)
 
@@ -92,4 +116,4 @@ def map_texts(
                     names=[*keep, *names],
                 )
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, full)
+    return docs.select(*own, quoted(text_col).cast("string").alias("_text")).mapInArrow(run, full)

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridlark.llm import chat, decontaminate, licenses, pieces, quality, queries, secrets, simhash, tokens, toxicity
 
@@ -129,6 +130,26 @@ def test_passage_under_many_items(spark):
     assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()] == [2]
 
 
+def test_short_items_and_inserted_words(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    items = [(1, "Zulu"), (2, "quick brown zebra jumps"), (3, " ".join(passage)), (4, "quick brown zebra jumps"), (5, ""), (6, None)]
+    docs = [(1, "a quick, brown ZEBRA jumps high"), (2, "quick brown zebra sleeps"), (3, "zulu"), (4, "zulus only"),
+            (5, " ".join([word(), word(), *passage[:30], "two", "more", *passage[30:], word()])), (6, " ".join(passage[20:])), (7, None), (8, "")]
+    frames = {"documents": spark.createDataFrame(docs, "doc_id long, text string"), "benchmark": spark.createDataFrame(items, "item_id long, text string")}
+    got = rows(decontaminate.leaks(frames["documents"], frames["benchmark"]))
+    assert {(r.doc_id, r.item_id) for r in got.itertuples()} == {(1, 2), (1, 4), (3, 1), (5, 3)}
+    con = duckdb.connect()
+    for name, frame in frames.items():
+        con.register(name, frame.toPandas())
+    same(got, con.sql(decontaminate.sql()).df())
+    named = frames["documents"].select("*", *[F.lit(1).alias(c) for c in ("_leaked", "leaked_id", "a.b", "hits")])
+    clean = decontaminate.decontaminate(named, frames["benchmark"])
+    assert clean.columns == named.columns
+    assert sorted(r["doc_id"] for r in clean.select("doc_id").collect()) == [2, 4, 6, 7, 8]
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
