@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import pandas as pd
@@ -269,3 +270,47 @@ def test_odd_tables(spark, tmp_path, empty):
     if not empty:
         langs = rows(queries.op10_language_id(spark, str(tmp_path)))
         assert set(langs[langs.doc_id.isin([1, 2, 3])].lang_pred) == {"und"}
+
+
+SECRET = "Zx81+Qq/Lm09Kd77"
+PLANTED = [
+    f'client_credentials = "{SECRET}"', f'a = "{SECRET}"\nb = a\nprivate_key = b', f"signing_key: ${{base}}\nbase: {SECRET}", f'private_key = """{SECRET}"""',
+    f'signing_key = b64decode("{SECRET}")', f'os.environ["SIGNING_KEY"] = "{SECRET}"', f"<conf><passphrase>{SECRET}</passphrase></conf>", f'<db user="x" passphrase="{SECRET}"/>',
+    f'{{"user": "bob", "signing_key": "{SECRET}", "n": 1}}', f"db:\n  passphrase: {SECRET}\n  user: bob", f'passphrase: str = "{SECRET}"', f'connect(host="h", passphrase="{SECRET}")',
+    f'if (pwd := "{SECRET}"): pass', f':signing_key => "{SECRET}",', f"export SIGNING_KEY={SECRET}", f"run --passphrase={SECRET} --x=1", f"bearer = '{SECRET}'", f"pwd = r'{SECRET}'",
+    f"don't; it's so: passphrase = '{SECRET}'", f"pwd = decode(\n  '{SECRET}'\n)",
+]
+
+
+@pytest.mark.parametrize("text", PLANTED)
+def test_planted_forms(text):
+    at = text.index(SECRET)
+    spans = secrets.find(text)[1]
+    assert (at, at + len(SECRET), "named") in spans and len(spans) == 1
+    assert SECRET not in secrets.redact_text(text)
+
+
+def test_parts_of_a_sum_and_escapes():
+    text = 'a = "Zx81+Qq/"\nb = "Lm09Kd77"\nsigning_key = a + b\npwd = "Zx81\\"Qq/Lm09Kd77"\nprivate_key = "Zx81+Qq/" + \\\n  "Lm09Kd77"\n'
+    assert [text[a:b] for a, b, _ in secrets.find(text)[1]] == ["Zx81+Qq/", "Lm09Kd77", 'Zx81\\"Qq/Lm09Kd77', "Zx81+Qq/", "Lm09Kd77"]
+
+
+@pytest.mark.parametrize("text", ["signing_key = load_key(path)", "signing_key = config.signing_key_value", "the key: a long story about passages", f'if pwd == "{SECRET}": pass', f'pwd_length = "{SECRET}"', f'note = "{SECRET}"\npassage = 1'])
+def test_clean_forms(text):
+    assert secrets.find(text)[1] == []
+
+
+@pytest.mark.parametrize("text", ["".join(f'pwd_{i} = "Zx81Qq/Lm09K{i}" password = Abcdefgh12345{i}\n' for i in range(30_000)), "pwd = b + c\n" * 150_000, "(" * 500_000 + "pwd", '"""' * 300_000 + "pwd", "<pwd>" * 200_000])
+def test_long_texts_take_linear_time(text):
+    began = time.perf_counter()
+    secrets.find(text)
+    assert time.perf_counter() - began < 30
+
+
+def test_secret_rows_match_a_plain_version(spark):
+    docs = pd.read_parquet(f"{SF}/documents.parquet").set_index("doc_id").text
+    for r in rows(queries.op1_secret_scan(spark, SF)).itertuples():
+        base = plain_base_spans(docs[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(b.startswith(k) for b in base) for k in ("assign", "access", "hex"))
+        assert set(base) <= set(r.spans.split(",") if r.spans else [])
