@@ -36,8 +36,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring conversations as preference pairs."""
-    return chat.neighbours(table(spark, sf_dir, "conversations"))
+    """Every conversation's last reply against another's, as preference pairs."""
+    return chat.swapped_replies(table(spark, sf_dir, "conversations"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,6 +108,27 @@ def test_preferences(spark):
     assert not got[2]["paired"] and got[2]["rejected"] == ""
 
 
+def test_swapped_replies(spark):
+    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "more"), (0, 3, "assistant", "sure"), (0, 4, "user", "bye"),
+             (1, 0, "user", "who"), (1, 1, "assistant", "me"), (2, 0, "user", "x"), (3, 0, "assistant", "y"), (4, 0, "assistant", "same"), (5, 0, "assistant", "same"),
+             (None, 0, "user", "a"), (None, 0, "user", "b"), (None, 0, "user", "b"), (6, 1, None, None), (6, 1, None, None)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = rows(chat.swapped_replies(frame.withColumn("alone", F.lit(1)).withColumn("a.b", F.lit(2))))
+    con = duckdb.connect()
+    con.register("conversations", frame.toPandas().astype({"conv_id": "Int64"}))
+    same(got.astype({"pair_id": "Int64"}), con.sql(chat.sql()).df().astype({"pair_id": "Int64"}))
+    first = got[got.pair_id == 0].iloc[0]
+    assert first.n_prefix == 3 and first.prompt.count("<|end|>") == 3 and "sure" in first.chosen and "bye" in first.chosen and first.rejected == "<|assistant|>\nme<|end|>\n"
+    assert len(got) == 9 and got.pair_id.isna().sum() == 2
+    equal = got[got.pair_id == 4].iloc[0]
+    assert equal.paired and equal.chosen == equal.rejected == ""
+
+
+def test_pairs_on_the_table_share_their_prompt(spark):
+    got = rows(queries.op4_chat_preferences(spark, SF))
+    assert (got.n_prefix > 0).mean() > 0.6 and (got[got.n_prefix > 0].prompt != "").all()
+
+
 def test_edited_passages(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
