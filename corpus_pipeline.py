@@ -1,10 +1,15 @@
 """Documents to encoded training text in five stages.
 
 Every stage reads what its predecessor kept, as Parquet, and all but the last
-return the columns of ``documents``. Cases: null texts count as empty and fail
-the quality rules; rows with a null id give way to near duplicates with an id,
-and one row stays of a group without ids; a leaking text is dropped alone, not
-with other rows under its id; near-duplicate removal keeps one row of an id; an empty table stays empty; extra columns pass through.
+return the columns of ``documents``. The folders of earlier stages are removed
+once the last one is written.
+
+Cases: null texts count as empty and fail the quality rules; rows with a null id
+give way to near duplicates with an id, and one row stays of a group without
+ids; a leaking text is dropped alone, not with other rows under its id; of tied
+rows (same id and text) the first by the other columns stays; very long texts go
+through whole; an empty table stays empty; extra columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.llm import pieces, secrets
-from gridlark.llm.common import shared_folder
+from gridlark.llm.common import free_name, quoted, shared_folder
 from gridlark.llm.decontaminate import decontaminate
 from gridlark.llm.quality import kept_documents
 from gridlark.llm.queries import table
@@ -31,19 +36,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: the one with the smallest id, or of a group without ids the one with the smallest text hash.
 
-    Of several such rows under one id the first by text stays; rows under one id
-    and text are told apart by their other plain columns.
+    Rows are told apart by id and text, so different texts under one id each
+    stand for their own group; of rows with the same id and text the first by
+    their other plain columns stays.
     """
-    tid = F.xxhash64("text").alias("_tid")
-    found = grouped(docs.select("doc_id", tid, "text"), ["doc_id", "_tid"])
-    named = found.where("doc_id = component_id").select(F.col("doc_id").cast("string").alias("_key"), F.lit(False).alias("_nameless"), "_tid")
-    nameless = found.where("component_id IS NULL").groupBy("root").agg(F.min("_tid").alias("_tid")).select(F.col("_tid").cast("string").alias("_key"), F.lit(True).alias("_nameless"), "_tid")
-    first = named.unionByName(nameless).groupBy("_key", "_nameless").agg(F.collect_set("_tid").alias("_tids"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    plain = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "doc_id" and not hasattr(f.dataType, "keyType")]
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")).alias("_key"), F.col("doc_id").isNull().alias("_nameless"), tid, row.alias("_row"), F.struct(F.col("text"), *plain).alias("_order"))
-    one = keyed.join(first, ["_key", "_nameless"]).where("array_contains(_tids, _tid)").groupBy("_key", "_nameless").agg(F.min_by("_row", "_order").alias("_row"))
-    return one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    tid, row, order, key, of_text = (free_name(docs, n) for n in ("text_hash", "whole_row", "row_order", "lead_id", "lead_text"))
+    found = grouped(docs.select("doc_id", F.xxhash64("text").alias(tid), "text"), ["doc_id", tid])
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col(tid).alias("text"))).alias("lead")
+    leads = found.groupBy("root").agg(lead).select(F.col("lead.id").alias(key), F.col("lead.text").alias(of_text))
+    plain = [quoted(f.name) for f in docs.schema if f.name != "doc_id" and not hasattr(f.dataType, "keyType")]
+    whole = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    keyed = docs.select("doc_id", F.xxhash64("text").alias(tid), whole.alias(row), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(plain)]).alias(order))
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(tid) == F.col(of_text))
+    one = keyed.join(leads, same).groupBy("doc_id", tid).agg(F.min_by(row, order).alias(row))
+    return one.select(*[F.col(row)[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,4 +93,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+    for k in range(len(STAGES) - 1):
+        remove(spark, f"{at}/{k}")
     return docs
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this run in the shared file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -116,4 +116,5 @@ def map_texts(
                     names=[*keep, *names],
                 )
 
-    return docs.select(*own, quoted(text_col).cast("string").alias("_text")).mapInArrow(run, full)
+    plain = [c.alias(f"c{i}") for i, c in enumerate(own)]  # mapInArrow looks its columns up by name
+    return docs.select(*plain, quoted(text_col).cast("string").alias("text")).mapInArrow(run, full)

@@ -8,18 +8,22 @@ reads the ledger only (a group by the few distinct bit patterns and bitwise
 operations on the counts), never the texts.
 
 Cases: a null text has no words and fails like an empty one; a null id passes
-through; repeated rows are judged one by one; an empty table gives an empty
-ledger; texts are measured whole whatever their length.
+through; repeated rows are judged one by one; a text at a limit passes; an empty
+table gives an empty ledger; texts are measured whole whatever their length;
+other columns, of any name, are not looked at and stay in ``kept_documents``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import map_texts
+from gridlark.llm.common import free_name, map_texts
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, "
@@ -76,36 +80,40 @@ def repeated_words(ids: np.ndarray, distinct: int) -> int:
     return int(covered.sum())
 
 
+@dataclass(frozen=True)
+class Rule:
+    """One rule: its bit (given once, never reused), its limit, and the failure condition over named measurements."""
 
-
-def rules(at: str = "") -> dict[str, Column]:
-    """Rule name to failure condition over the measurements (``at`` goes before their names); the position is the bit."""
-    words = F.col(at + "n_words")
-    return {
-        "too_few_words": words < 50,
-        "repeated_windows": 100 * F.col(at + "n_repeat_words") > 50 * words,
-        "too_many_symbols": 100 * F.col(at + "n_symbols") > 20 * F.greatest(words, F.lit(1)),
-        "repeated_lines": (F.col(at + "n_dup_lines") >= 3) & (100 * F.col(at + "n_dup_lines") > 50 * F.col(at + "n_lines")),
-        "shouting": 100 * F.col(at + "n_upper_words") > 50 * words,
-        "odd_word_length": (F.col(at + "word_chars") > 25 * words) | (F.col(at + "word_chars") < 2 * words),
-        "one_note": (words >= 50) & (100 * F.col(at + "n_distinct_words") < 5 * words) & (words < 2000),
-    }
+    bit: int
+    limit: int
+    fails: Callable[[Callable[[str], Column], int], Column]
 
 
+#: Rules by name. A rule with another limit is another rule with a bit of its own, so old ledgers keep their meaning.
+#: Bit 6 belonged to a rule that was withdrawn (it looked only at texts under a certain length).
+RULES: dict[str, Rule] = {
+    "too_few_words": Rule(0, 50, lambda m, k: m("n_words") < k),
+    "repeated_windows": Rule(1, 50, lambda m, k: 100 * m("n_repeat_words") > k * m("n_words")),
+    "too_many_symbols": Rule(2, 20, lambda m, k: 100 * m("n_symbols") > k * F.greatest(m("n_words"), F.lit(1))),
+    "repeated_lines": Rule(3, 50, lambda m, k: (m("n_dup_lines") >= 3) & (100 * m("n_dup_lines") > k * m("n_lines"))),
+    "shouting": Rule(4, 50, lambda m, k: 100 * m("n_upper_words") > k * m("n_words")),
+    "odd_word_length": Rule(5, 25, lambda m, k: (m("word_chars") > k * m("n_words")) | (m("word_chars") < 2 * m("n_words"))),
+    # distinct words grow with the root of the length, so their square over the length compares texts of any length
+    "low_variety": Rule(7, 1, lambda m, k: m("n_distinct_words") * m("n_distinct_words") < k * m("n_words")),
+}
 BASE_RULES = ("too_few_words", "repeated_windows")
 
-#: Versioned policies; a version never changes once ledgers were judged by it.
+#: Versioned policies; a version never changes once ledgers were judged by it. Version 2 went with bit 6.
 POLICIES: dict[str, tuple[str, ...]] = {
     "v1": BASE_RULES,
-    "v2": (*BASE_RULES, "too_many_symbols", "repeated_lines", "shouting", "odd_word_length", "one_note"),
+    "v3": (*BASE_RULES, "too_many_symbols", "repeated_lines", "shouting", "odd_word_length", "low_variety"),
 }
-CURRENT = "v2"
+CURRENT = "v3"
 
 
 def policy_mask(names: tuple[str, ...]) -> int:
     """The bit mask of a policy's rules."""
-    order = list(rules())
-    return sum(1 << order.index(n) for n in names)
+    return sum(1 << RULES[n].bit for n in names)
 
 
 def ledger(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
@@ -115,13 +123,19 @@ def ledger(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text
 
 
 def failure_bits(at: str = "") -> Column:
-    """Every rule evaluated once: the bits of those that fail."""
+    """Every rule evaluated once, over measurements whose names begin with ``at``: the bits of those that fail."""
     bits = F.lit(0).cast("long")
-    for place, condition in enumerate(rules(at).values()):
-        bits = bits.bitwiseOR(F.when(condition, F.lit(1 << place)).otherwise(F.lit(0)).cast("long"))
+    for rule in RULES.values():
+        bits = bits.bitwiseOR(F.when(rule.fails(lambda name: F.col(at + name), rule.limit), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
     return bits
 
 
+def store_ledger(docs: DataFrame, path: str, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """Write the ledger of ``docs`` once, as Parquet; policies and ablations then read it from there."""
+    ledger(docs, keep, text_col).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def kept(bits: Column, policy: str = CURRENT) -> Column:
     """Whether a policy keeps a row of the ledger."""
     return bits.bitwiseAND(F.lit(policy_mask(POLICIES[policy])).cast("long")) == 0
@@ -137,9 +151,7 @@ def kept_documents(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     def measured(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(t) for t in texts], columns=[m.split()[0] for m in MEASURES.split(", ")], dtype="int64")
 
-    name = "_measured"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "measured")
     ledger_rows = docs.withColumn(name, measured(F.col("text").cast("string")))
     return ledger_rows.where(kept(failure_bits(f"{name}."), policy)).drop(name)
 
@@ -152,10 +164,9 @@ def ablation(ledger_df: DataFrame, policies: dict[str, tuple[str, ...]] = POLICI
     """
     patterns = ledger_df.groupBy("failed_bits").agg(F.count(F.lit(1)).alias("n"))
     grid = [
-        (version, name, policy_mask(names), 1 << at)
+        (version, name, policy_mask(names), 1 << RULES[name].bit)
         for version, names in policies.items()
-        for at, name in enumerate(rules())
-        if name in names
+        for name in names
     ]
     masks = ledger_df.sparkSession.createDataFrame(grid, "policy string, rule string, mask long, bit long")
     each = patterns.join(F.broadcast(masks), F.col("failed_bits").bitwiseAND(F.col("mask")) != 0)
