@@ -73,6 +73,24 @@ def test_named_literals():
     assert secrets.redact_text("a password = Abcdefgh12345 b") == "a [SECRET] b"
 
 
+def test_licences_near_and_cut(spark):
+    grant = next(t for t in licenses.TEMPLATES if t.label == "mit" and "merge publish" in t.words).words
+    warranty = next(t for t in licenses.TEMPLATES if t.label == "bsd" and "disclaimed" in t.words).words.split()
+    near = [w if i % 9 else "other" for i, w in enumerate(warranty)]
+    texts = {1: f"Copyright (c) Someone. {grant.capitalize()}.", 2: " ".join(grant.split()[:30]), 3: " ".join(near), 4: " ".join(w if i % 2 else "other" for i, w in enumerate(warranty)),
+             5: "GNU General Public Licence, GNU general public license", 6: None, 7: "", 8: " ".join(["software license the of"] * 300) + " MIT License",
+             9: " ".join(reversed(grant.split())), 10: "released under CC-BY 4.0; cc by"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = rows(licenses.license_scan(frame.withColumn("words", F.lit(1)).withColumn("a.b", F.lit(1))))
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    same(got, con.sql(licenses.sql()).df())
+    labels = dict(zip(got.doc_id, got.labels, strict=True))
+    long = spark.createDataFrame([(1, " ".join(["software license the of"] * 50_000) + " MIT License")], "doc_id long, text string")
+    assert [(r["n_base"], r["first_word"], r["labels"]) for r in licenses.license_scan(long).collect()] == [(1, 200_000, "mit")]
+    assert labels == {1: "mit", 2: "mit", 3: "bsd", 4: "", 5: "gpl", 6: "", 7: "", 8: "mit", 9: "", 10: "cc-by"}
+
+
 def plain_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
