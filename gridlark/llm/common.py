@@ -20,6 +20,7 @@ ARROW = {
     "boolean": pa.bool_(),
     "string": pa.string(),
     "array<double>": pa.list_(pa.float64()),
+    "array<string>": pa.list_(pa.string()),
 }
 
 #: Sides above this many rows are joined by shuffle instead of by broadcast.

@@ -6,6 +6,7 @@ import re
 import time
 
 import duckdb
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
@@ -353,3 +354,38 @@ def test_secret_rows_match_a_plain_version(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(b.startswith(k) for b in base) for k in ("assign", "access", "hex"))
         assert set(base) <= set(r.spans.split(",") if r.spans else [])
+
+
+def test_toxicity_recall_on_held_out_rows(spark):
+    labels = pd.read_parquet("/root/testdata/sf0.1/labels.parquet")
+    got = rows(queries.op8_toxicity(spark, "/root/testdata/sf0.1")).merge(labels, on="doc_id")
+    held = got[got.held_out]
+    hit = ((held.predicted == 1) & (held.toxic == 1)).sum()
+    assert hit / (held.toxic == 1).sum() >= 0.9 and hit / (held.predicted == 1).sum() >= 0.95
+
+
+def test_label_model_against_enumeration():
+    """Voters 1 copies voter 0 most of the time; accuracies come back, the copy counts little, and posteriors follow from the rates one by one."""
+    rng = np.random.default_rng(4)
+    n = 6000
+    y = rng.random(n) < 0.2
+    v0 = np.where(y, rng.random(n) < 0.6, rng.random(n) < 0.05)
+    v1 = np.where(rng.random(n) < 0.95, v0, rng.random(n) < 0.1)
+    v2 = np.where(y, rng.random(n) < 0.5, rng.random(n) < 0.03)
+    label = np.where(rng.random(n) < 0.98, y, ~y)
+    matrix = np.column_stack([v0, v1, v2, ~(v0 | v1 | v2), label]).astype(float)
+    model = toxicity.fit_label_model(matrix, np.ones(n), np.where(label, 0.9, 0.02))
+    assert abs(model.prior - 0.2) < 0.03 and np.abs(model.rate[0, [0, 2]] - [0.6, 0.5]).max() < 0.06 and model.rate[1, [0, 2]].max() < 0.08
+    assert {int(model.parent[0]), int(model.parent[1])} == {-1, 1} or {int(model.parent[0]), int(model.parent[1])} == {-1, 0}
+    child = int(np.argmax(model.parent[:2] >= 0))
+    assert np.log(model.beside[0, 1, child] / model.beside[1, 1, child]) < 0.5 * np.log(model.rate[0, child] / model.rate[1, child])
+    for row, got in zip(matrix[:50], model.posterior(matrix[:50]), strict=True):
+        odds = model.prior / (1 - model.prior)
+        for i, vote in enumerate(row):
+            if vote:
+                a, b = (model.rate[:, i] if model.parent[i] < 0 else model.beside[:, int(row[model.parent[i]]), i])
+                odds *= a / b
+        if not row[-1]:
+            odds *= (1 - model.rate[0, -1]) / (1 - model.rate[1, -1])
+        assert abs(got - odds / (1 + odds)) < 1e-9
+    assert ((model.posterior(matrix) > 0.5) == y).mean() > 0.97
