@@ -33,13 +33,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import broadcast_if_small, fold, map_texts
+from gridlark.llm.common import broadcast_if_small, checkpointed, fold, map_texts
 
 SAMPLE = 20_000
 #: Learned voters: how many at most, the documents that hold one at least, and the least standard score of its toxic ones.
@@ -62,7 +65,6 @@ PATTERNS = {
     "shouting": re.compile(r"(?:\b[A-Z]{3,}\b[ !?.,]+){4}", re.A),
     "exclaiming": re.compile(r"!{3,}"),
     "masked": re.compile(r"\b[a-z]+[*@#$]{1,4}[a-z]+\b", re.I | re.A),
-    "drawn_out": re.compile(r"([a-z])\1{3,}", re.I | re.A),
 }
 #: Terms that are no voters: letter sequences, and beginnings with a number.
 PART = r"^~|\*\d$"
@@ -71,8 +73,16 @@ LABEL_RIGHT = ((0.95, 0.995), (0.001, 0.02))  # how often a label is 1 in toxic
 PRIOR_VOTE = (0.3, 0.02)  # belief, before any data, that a voter votes in toxic and in other texts
 
 
+#: A sign without which a pattern cannot stand in a text, tested first.
+_SIGNS = {"addressed": re.compile(r"you", re.I | re.A), "shouting": re.compile(r"[A-Z]{3}"), "masked": re.compile(r"[*@#$]"), "exclaiming": re.compile(r"!!!")}
+#: A pattern of words: one letter four times in a row. Patterns are numbered in order, this one last.
+DRAWN_OUT = tuple(c * 4 for c in "abcdefghijklmnopqrstuvwxyz")
+N_PATTERNS = len(PATTERNS) + 1
+
+
 def _found_patterns(text: str) -> set[int]:
-    return {i for i, p in enumerate(PATTERNS.values()) if p.search(text)}
+    """Numbers of the patterns that stand in a text, without ``DRAWN_OUT``."""
+    return {i for i, (name, p) in enumerate(PATTERNS.items()) if _SIGNS[name].search(text) and p.search(text)}
 
 
 def votes(text: str | None, words: dict[str, int]) -> list[int]:
@@ -81,7 +91,10 @@ def votes(text: str | None, words: dict[str, int]) -> list[int]:
         return []
     distinct = set(_WORD.findall(text.lower()))
     terms = distinct.union(*[{w[:n] + "*" for w in distinct if len(w) >= n} for n in STEMS])
-    return sorted({words[w] for w in words.keys() & terms} | {len(words) + i for i in _found_patterns(text)})
+    found = {words[w] for w in words.keys() & terms} | {len(words) + i for i in _found_patterns(text)}
+    if any(run in w for w in distinct for run in DRAWN_OUT if run[0] in w and len(w) > 3):
+        found.add(len(words) + N_PATTERNS - 1)
+    return sorted(found)
 
 
 def grams(word: str) -> set[str]:
@@ -90,36 +103,96 @@ def grams(word: str) -> set[str]:
     return {word, *[word[:n] + "*" for n in STEMS if len(word) >= n], *[f"~{edged[i : i + GRAM]}" for i in range(len(edged) - GRAM + 1)]}
 
 
-def terms(text: str | None) -> set[str]:
-    """What can be an input: all that the distinct words are known by, and beginnings that several of them share, with how many (``abcd*2``)."""
-    words = set(_WORD.findall((text or "").lower()))
-    shared = Counter(w[:n] for w in words for n in STEMS if len(w) >= n)
-    return {g for w in words for g in grams(w)} | {f"{s}*{k}" for s, n in shared.items() for k in MANY if n >= k}
+class Terms:
+    """What can be an input: all that the distinct words of a text are known by, and beginnings that several of them share, with how many (``abcd*2``); with a bounded memory of words."""
+
+    def __init__(self, remembered: int = 100_000) -> None:
+        self.remembered, self.memo = remembered, {}
+
+    def of(self, text: str | None) -> set[str]:
+        """The distinct terms of a text."""
+        if len(self.memo) > self.remembered:
+            self.memo.clear()
+        found: set[str] = set()
+        stems: list[str] = []
+        for w in set(_WORD.findall((text or "").lower())):
+            held = self.memo.get(w)
+            if held is None:
+                held = self.memo[w] = (tuple(grams(w)), tuple(w[:n] for n in STEMS if len(w) >= n))
+            found.update(held[0])
+            stems += held[1]
+        found.update(f"{s}*{k}" for s, n in Counter(stems).items() if n >= MANY[0] for k in MANY if n >= k)
+        return found
+
+
+def term_counts(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """(term, df, hit): in how many rows of (text, toxic) each term stands, and in how many toxic ones.
+
+    A task adds up its rows first and hands its sums on whenever it holds ``most`` terms.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, sums = Terms(), (Counter(), Counter())
+
+        def handed() -> pa.RecordBatch:
+            held = list(sums[0].keys() | sums[1].keys())
+            hit = [sums[1][t] for t in held]
+            made = pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([sums[0][t] + h for t, h in zip(held, hit, strict=True)], pa.int64()), pa.array(hit, pa.int64())], names=["term", "df", "hit"])
+            sums[0].clear()
+            sums[1].clear()
+            return made
+
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[toxic > 0].update(terms.of(text))
+                if len(sums[0]) + len(sums[1]) >= most:
+                    yield handed()
+        yield handed()
+
+    parts = rows.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "term string, df long, hit long")
+    return parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("hit").alias("hit"))
 
 
 class Inputs:
-    """Numbers of the known ``terms`` of a text, patterns after them, with a bounded memory of words."""
+    """Numbers of the known ``Terms`` of a text, patterns after them.
+
+    All known terms are found in one walk over the text's distinct words, side
+    by side with blanks between: a blank is an edge, so a beginning is a blank
+    and its letters, and stands once for each distinct word that has it.
+    """
 
-    def __init__(self, known: dict[str, int], remembered: int = 200_000) -> None:
-        self.known, self.remembered, self.memo = known, remembered, {}
-        self.shared = {t[: t.index("*")] for t in known if t[-1].isdigit() and "*" in t}
+    def __init__(self, known: dict[str, int]) -> None:
+        self.known, self.walker = known, None
+
+    def _built(self) -> ahocorasick.Automaton:
+        found = {run: [(len(self.known) + N_PATTERNS - 1, 1)] for run in DRAWN_OUT}
+        for term, no in self.known.items():
+            head, star, many = term.partition("*")
+            if star:
+                found.setdefault(f" {head}", []).append((no, int(many or 1)))
+            elif term[0] == "~":
+                found.setdefault(term[1:].replace("^", " ").replace("$", " "), []).append((no, 1))
+            else:
+                found.setdefault(f" {term} ", []).append((no, 1))
+        walker = ahocorasick.Automaton()
+        for letters, held in found.items():
+            walker.add_word(letters, (tuple(x for x, least in held if least == 1), tuple(h for h in held if h[1] > 1)))
+        walker.make_automaton()
+        return walker
 
     def of(self, text: str | None) -> list[int]:
         """Numbers of the inputs that stand in a text."""
         if not text:
             return []
-        if len(self.memo) > self.remembered:
-            self.memo.clear()
+        if self.walker is None:  # in the task, so that the numbers alone are sent there
+            self.walker = self._built()
         found = {len(self.known) + i for i in _found_patterns(text)}
-        counts: Counter = Counter()
-        for w in set(_WORD.findall(text.lower())):
-            held = self.memo.get(w)
-            if held is None:
-                stems = [w[:n] for n in STEMS if len(w) >= n and w[:n] in self.shared]
-                held = self.memo[w] = (tuple(self.known[g] for g in self.known.keys() & grams(w)), stems)
-            found.update(held[0])
-            counts.update(held[1])
-        found.update(self.known[t] for s, n in counts.items() for k in MANY if n >= k and (t := f"{s}*{k}") in self.known)
+        shared: Counter = Counter()
+        for _, (once, several) in self.walker.iter(f" {' '.join(set(_WORD.findall(text.lower())))} "):
+            found.update(once)
+            if several:
+                shared[several] += 1
+        found.update(no for several, n in shared.items() for no, least in several if n >= least)
         return sorted(found)
 
 
@@ -228,20 +301,17 @@ def sampled_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 def learned_terms(rows: DataFrame) -> list[tuple[str, float, float]]:
     """(term, standard score, how many times more often in toxic texts) of the terms that stand in toxic texts more often than by chance.
 
-    Each text is cut into its distinct terms by the same function that scores
-    texts; the counts combine before the shuffle, over every row. What comes
-    back is bounded by ``LEARNED`` and ``INPUTS``.
+    The counts are over every row. What comes back is bounded by ``LEARNED`` and ``INPUTS``.
     """
-    cut = map_texts(rows, lambda texts: [(sorted(terms(t)),) for t in texts], "terms array<string>", ["toxic"])
     sums = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     n, t = sums["n"], sums["t"] or 0
     if not 0 < t < n:
         return []
-    counted = cut.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("hit")).where(F.col("df") >= LEAST_DOCS)
+    counted = term_counts(rows).where(F.col("df") >= LEAST_DOCS)
     a, b = (F.col("hit") + 0.5) / (t + 1), (F.col("df") - F.col("hit") + 0.5) / (n - t + 1)
     expected = F.col("df") * (t / n)
     sure = (F.col("hit") - expected) / F.sqrt(expected * (1 - t / n))
-    scored = counted.select("term", sure.alias("sure"), (a / b).alias("times")).where((F.col("sure") >= LIKELY) & (F.col("times") >= 2))
+    scored = checkpointed(counted.select("term", sure.alias("sure"), (a / b).alias("times")).where((F.col("sure") >= LIKELY) & (F.col("times") >= 2)))
     best = lambda df, k: df.orderBy(F.desc("sure"), "term").limit(k)
     whole = best(scored.where((F.col("sure") >= SURE) & (F.col("times") >= 4) & ~F.col("term").rlike(PART)), LEARNED)
     return [tuple(r) for r in best(scored, INPUTS).union(whole).distinct().orderBy(F.desc("sure"), "term").collect()]
@@ -266,8 +336,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     cast = map_texts(rows, lambda texts: [(",".join(map(str, votes(t, words))), ",".join(map(str, inputs.of(t)))) for t in texts], "votes string, inputs string", ["toxic"])
     counted = cast.groupBy("toxic", "votes", "inputs").agg(F.count(F.lit(1)).alias("n")).orderBy("toxic", "votes", "inputs").collect()
     if not counted:
-        return Scorer(known, np.concatenate([np.full(len(known), 3.0), np.full(len(PATTERNS), 0.3), [-3.0]]))
-    n = len(words) + len(PATTERNS) + 1
+        return Scorer(known, np.concatenate([np.full(len(known), 3.0), np.full(N_PATTERNS, 0.3), [-3.0]]))
+    n = len(words) + N_PATTERNS + 1
     numbers = lambda text: [int(v) for v in text.split(",") if v]
     matrix = np.zeros((len(counted), n + 1))
     for i, r in enumerate(counted):
@@ -276,7 +346,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     weight = np.array([r["n"] for r in counted], float)
     model = fit_label_model(matrix, weight, np.where(matrix[:, n] > 0, 0.9, 0.02))
     target = model.posterior(matrix)
-    return Scorer(known, fit_classifier([numbers(r["inputs"]) for r in counted], len(known) + len(PATTERNS), weight, target))
+    return Scorer(known, fit_classifier([numbers(r["inputs"]) for r in counted], len(known) + N_PATTERNS, weight, target))
 
 
 def score(docs: DataFrame, scorer: Scorer, keep: list[str] | None = None) -> DataFrame:

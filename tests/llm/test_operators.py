@@ -389,3 +389,12 @@ def test_label_model_against_enumeration():
             odds *= (1 - model.rate[0, -1]) / (1 - model.rate[1, -1])
         assert abs(got - odds / (1 + odds)) < 1e-9
     assert ((model.posterior(matrix) > 0.5) == y).mean() > 0.97
+
+
+def test_inputs_are_the_known_terms():
+    known = ["idiot", "réeu*", "achl*2", "achl*3", "~^idi", "~diot", "~iot$", "ab", "~^ab$"]
+    inputs, rng = toxicity.Inputs({t: i for i, t in enumerate(known)}), random.Random(1)
+    for _ in range(500):
+        text = " ".join(rng.choice(["idiot", "Idiots", "idi", "réeux", "achlich", "achlou", "ACHLA", "ab", "abc", "xdiot", "zzzz"]) for _ in range(rng.randint(0, 6)))
+        held = toxicity.Terms().of(text)
+        assert inputs.of(text) == sorted([i for i, t in enumerate(known) if t in held] + ([len(known) + toxicity.N_PATTERNS - 1] if "zzzz" in text else []))
