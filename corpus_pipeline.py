@@ -40,18 +40,22 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     stand for their own group; of rows with the same id and text the first by
     their other plain columns stays.
     """
-    tid, row, order, key, of_text = (free_name(docs, n) for n in ("text_hash", "whole_row", "row_order", "lead_id", "lead_text"))
+    tid, row, order, key = (free_name(docs, n) for n in ("text_hash", "whole_row", "row_order", "row_key"))
     found = grouped(docs.select("doc_id", F.xxhash64("text").alias(tid), "text"), ["doc_id", tid])
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col(tid).alias("text"))).alias("lead")
-    leads = found.groupBy("root").agg(lead).select(F.col("lead.id").alias(key), F.col("lead.text").alias(of_text))
+    leads = found.groupBy("root").agg(lead).select(_row_key(F.col("lead.id"), F.col("lead.text")).alias(key))
     plain = [quoted(f.name) for f in docs.schema if f.name != "doc_id" and not hasattr(f.dataType, "keyType")]
     whole = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    keyed = docs.select("doc_id", F.xxhash64("text").alias(tid), whole.alias(row), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(plain)]).alias(order))
-    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(tid) == F.col(of_text))
-    one = keyed.join(leads, same).groupBy("doc_id", tid).agg(F.min_by(row, order).alias(row))
+    keyed = docs.select(_row_key(F.col("doc_id"), F.xxhash64("text")).alias(key), whole.alias(row), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(plain)]).alias(order))
+    one = keyed.join(leads, key).groupBy(key).agg(F.min_by(row, order).alias(row))  # one key for both, so the texts are shuffled once
     return one.select(*[F.col(row)[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
 
 
+def _row_key(doc_id: Column, text_hash: Column) -> Column:
+    """One text for an id, or none, and a text's hash."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text_hash.cast("string"))
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
