@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that all executors share; a local one is set only where spark.checkpoint.dir is unset."""
+    """Cut the lineage in spark.checkpoint.dir, or in a temporary folder where that is unset and everything runs in one process."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "/tmp/gridlark-checkpoints")
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not (sc.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/gridlark-{sc.applicationId}")
     return df.checkpoint()
 
 

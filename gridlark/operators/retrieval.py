@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,32 +21,89 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm(a) * norm(b) == 0, 0.0).otherwise(dot / (norm(a) * norm(b)))
 
 
-def top(scored: DataFrame, key: str, score: str, k: int, rank: str) -> DataFrame:
-    """The ``k`` best rows with their rank; ties go to the smaller key. A take-ordered plan: k rows per task are sent on."""
-    best = scored.orderBy(F.desc(score), key).limit(k)
-    return best.select(key, F.row_number().over(Window.orderBy(F.desc(score), key)).alias(rank))
+def dense_top(vectors: DataFrame, questions: DataFrame, k: int, block: int = 512) -> DataFrame:
+    """(question, id, s): the ``k`` rows (id, v) of highest cosine, to six places, for every row of ``questions`` (question, v).
+
+    Both sides become blocks of ``block`` vectors, every pair of blocks is one
+    matrix product, and only the best ``k`` of a pair of blocks are sent on.
+    """
+
+    def blocks(of: DataFrame, key: str) -> DataFrame:
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), block):
+                    part = batch.iloc[at : at + block]
+                    m = np.array([np.asarray(v, np.float64) for v in part["v"]])
+                    length = np.sqrt((m * m).sum(axis=1))
+                    m = m / np.where(length == 0, 1, length)[:, None]
+                    yield pd.DataFrame({f"{key}s": [part[key].tolist()], f"{key}_m": [m.tobytes()]})
+
+        return of.select(F.col(key).cast("long").alias(key), "v").where("v IS NOT NULL").mapInPandas(cut, f"{key}s array<long>, {key}_m binary")
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                q = np.frombuffer(row.question_m).reshape(len(row.questions), -1)
+                m = np.frombuffer(row.id_m).reshape(len(row.ids), -1)
+                s, ids = np.round(q @ m.T, 6), np.asarray(row.ids)
+                place = np.array([np.lexsort((ids, -line))[:k] for line in s])
+                yield pd.DataFrame({"question": np.repeat(row.questions, place.shape[1]), "id": ids[place].ravel(), "s": np.take_along_axis(s, place, 1).ravel()})
+
+    return blocks(vectors, "id").crossJoin(blocks(questions, "question")).mapInPandas(best, "question long, id long, s double")
+
+
+def term_weights(docs: DataFrame, key: str, text: str, k: float = 1.2) -> DataFrame:
+    """(key, term, w, df): the saturated frequency of each term of four letters and more, and how many rows hold it."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("([a-z]{4,})"), 1)
+    counts = docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    frequencies = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return counts.join(frequencies, "term").select(key, "term", (F.col("tf") / (F.col("tf") + k)).alias("w"), "df")
+
 
+def rarest_terms(weights: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, term): the ``most`` rarest terms of each row, ties by the alphabet."""
+    order = Window.partitionBy(key).orderBy("df", "term")
+    return weights.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select(key, "term")
 
-def fuse(dense: DataFrame, lexical: DataFrame, key: str, kind: str = "general", boost: bool = True) -> DataFrame:
-    """Weighted reciprocal rank fusion of two ranked lists (``dense_rank``, ``lexical_rank``)."""
+
+def sparse_top(weights: DataFrame, asked: DataFrame) -> DataFrame:
+    """(question, id, s): the summed weights of a question's terms (question, term) in every row (id, term, w) that holds one, to six places."""
+    return asked.join(weights, "term").groupBy("question", "id").agg(F.round(F.sum("w"), 6).alias("s"))
+
+
+def ranked(scored: DataFrame, question: str, key: str, score: str, k: int, rank: str) -> DataFrame:
+    """The ``k`` best rows of each question with their rank; ties go to the smaller key. A task sends at most ``k`` rows of a question on."""
+    order = Window.partitionBy(question).orderBy(F.desc(score), key)
+    return scored.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k).select(question, key, rank)
+
+
+def fuse(dense: DataFrame, lexical: DataFrame, keys: list[str], kind: str = "general", boost: bool = True) -> DataFrame:
+    """Weighted reciprocal rank fusion of two ranked lists (``dense_rank``, ``lexical_rank``) by ``keys`` (question and id)."""
     wd, wl = WEIGHTS[kind]
     part = lambda w, r: F.coalesce(F.lit(w) / (RANK_CONSTANT + F.col(r)), F.lit(0.0))
     near = F.least(F.col("dense_rank"), F.col("lexical_rank")) <= BOOST_RANK
     score = part(wd, "dense_rank") + part(wl, "lexical_rank") + (F.when(near, BOOST).otherwise(0.0) if boost else F.lit(0.0))
-    return dense.join(lexical, key, "full_outer").select(key, "dense_rank", "lexical_rank", F.round(score, 6).alias("score"))
+    return dense.join(lexical, keys, "full_outer").select(*keys, "dense_rank", "lexical_rank", F.round(score, 6).alias("score"))
 
 
-def fallback_fill(found: DataFrame, spare: DataFrame, key: str, least: int, k: int) -> DataFrame:
-    """``found`` and, if it has fewer than ``least`` rows, the best of ``spare`` that it lacks, up to ``k`` in all.
+def best_of_each(fused: DataFrame, question: str, key: str, k: int) -> DataFrame:
+    """The ``k`` fused rows of highest score of each question, ties by the smaller key."""
+    order = Window.partitionBy(question).orderBy(F.desc("score"), key)
+    return fused.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
-    Both are short ranked lists.
+
+def fallback_fill(found: DataFrame, spare: DataFrame, question: str, key: str, least: int, k: int) -> DataFrame:
+    """``found`` and, for a question with fewer than ``least`` rows, the best of ``spare`` that it lacks, up to ``k`` in all; both are cut to ``k`` a question first.
+
+    ``spare`` is the list without a filter and without a boost; its questions without any row in ``found`` are filled too.
     """
-    extra = spare.join(found, key, "left_anti").select(key, "score", F.lit(1).alias("turn"))
-    both = found.select(key, "score", F.lit(0).alias("turn")).unionByName(extra)
-    ranked = both.withColumn("have", F.count_if(F.col("turn") == 0).over(Window.partitionBy())).withColumn(
-        "r", F.row_number().over(Window.orderBy("turn", F.desc("score"), key))
-    )
-    return ranked.where((F.col("turn") == 0) | ((F.col("have") < least) & (F.col("r") <= k))).select(key, "score", "turn")
+    first, rest = best_of_each(found, question, key, k), best_of_each(spare, question, key, k)
+    extra = rest.join(first, [question, key], "left_anti").select(question, key, "score", F.lit(1).alias("turn"))
+    both = first.select(question, key, "score", F.lit(0).alias("turn")).unionByName(extra)
+    have = F.count_if(F.col("turn") == 0).over(Window.partitionBy(question))
+    place = F.row_number().over(Window.partitionBy(question).orderBy("turn", F.desc("score"), key))
+    filled = both.withColumn("have", have).withColumn("r", place)
+    return filled.where((F.col("turn") == 0) | ((F.col("have") < least) & (F.col("r") <= k))).select(question, key, "score", "turn")
 
 
 def per_document_cap(hits: DataFrame, document: str, key: str, score: str, most: int = 10) -> DataFrame:
@@ -52,16 +113,9 @@ def per_document_cap(hits: DataFrame, document: str, key: str, score: str, most:
 
 
 def parent_swap(children: DataFrame, parent: str, key: str, score: str) -> DataFrame:
-    """Each parent with its best child and that child's score."""
-    return children.groupBy(parent).agg(F.max(F.struct(F.col(score), (-F.col(key)).alias("back"))).alias("b")).select(
-        parent, (-F.col("b.back")).alias(key), F.col(f"b.{score}").alias(score)
-    )
-
-
-def term_frequency(text: Column, terms: list[str]) -> Column:
-    """How often the terms stand in a text, whatever their case."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return sum(((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t) for t in terms), F.lit(0.0))
+    """Each parent with its best child and that child's score; ties go to the smaller key, whatever its type."""
+    best = children.groupBy(parent).agg(F.min_by(F.struct(key, score), F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"))).alias("b"))
+    return best.select(parent, F.col(f"b.{key}").alias(key), F.col(f"b.{score}").alias(score))
 
 
 def best_of_questions(hits: DataFrame, key: str, score: str) -> DataFrame:

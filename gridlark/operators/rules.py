@@ -111,11 +111,11 @@ def rescued(parcels: DataFrame, touching: DataFrame, least: float) -> DataFrame:
     return joined.select("id", F.when(F.col("saved"), None).otherwise(F.col("reason")).alias("reason"), F.coalesce("saved", F.lit(False)).alias("rescued"))
 
 
-def altitude_cleared(features: DataFrame, key: str, floor_ft: str, tip_ft: float) -> DataFrame:
-    """(key, cleared, lowest): cleared only if every floor is known and all lie above the tip."""
+def altitude_cleared(features: DataFrame, keys: list[str], floor_ft: str, tip_ft: float) -> DataFrame:
+    """(keys, cleared, lowest): cleared only if every floor is known and all lie above the tip."""
     floor = F.col(floor_ft)
-    sums = features.groupBy(key).agg(F.count_if(floor.isNull()).alias("unknown"), F.min(floor).alias("lowest"))
-    return sums.select(key, ((F.col("unknown") == 0) & (F.col("lowest") > tip_ft)).alias("cleared"), "lowest")
+    sums = features.groupBy(*keys).agg(F.count_if(floor.isNull()).alias("unknown"), F.min(floor).alias("lowest"))
+    return sums.select(*keys, ((F.col("unknown") == 0) & F.coalesce(F.col("lowest") > tip_ft, F.lit(False))).alias("cleared"), "lowest")
 
 
 def hub_speeds(speed: Column, measured_m: float, hub_m: float, open_land: float = 0.14, forest: float = 0.25) -> Column:
@@ -136,15 +136,14 @@ def source_spread(values: list[Column]) -> Column:
     return F.struct(mean.alias("mean"), F.when(mean != 0, (F.array_max(known) - F.array_min(known)) / mean * 100).otherwise(0.0).alias("spread"))
 
 
-def masked_names(masked: DataFrame, names: DataFrame, longest: int) -> DataFrame:
+def masked_names(masked: DataFrame, names: DataFrame) -> DataFrame:
     """(masked, name): names that begin as a masked one does before its ``*``; no match is dropped.
 
-    Every name is laid out by its beginnings (``longest`` at most), so the
-    match is an equality join; heads longer than that are compared in full
-    beside their first ``longest`` characters.
+    Every name is laid out by its beginnings of those lengths that masked ones
+    have, so the match is one equality join on the whole head.
     """
-    head = F.trim(F.replace(F.col("masked"), F.lit("*"), F.lit("")))
-    heads = masked.select("masked", head.alias("head")).where("head <> ''").withColumn("k", F.substring("head", 1, longest))
-    cuts = F.sequence(F.lit(1), F.least(F.length("name"), F.lit(longest)))
-    starts = names.where("length(name) > 0").select("name", F.explode(F.transform(cuts, lambda n: F.substring(F.col("name"), F.lit(1), n))).alias("k"))
-    return heads.join(starts, "k").where(F.col("name").startswith(F.col("head"))).select("masked", "name")
+    heads = masked.select("masked", F.trim(F.replace(F.col("masked"), F.lit("*"), F.lit(""))).alias("k")).where("k <> ''")
+    lengths = sorted(r["n"] for r in heads.select(F.length("k").alias("n")).distinct().collect())
+    cuts = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("name"))
+    starts = names.select("name", F.explode(F.transform(cuts, lambda n: F.substring(F.col("name"), F.lit(1), n))).alias("k"))
+    return heads.join(starts, "k").select("masked", "name")

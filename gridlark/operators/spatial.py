@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlark.operators.components import checkpointed
+
 #: The radius of the earth in metres, and metres in a degree of latitude.
 EARTH_M = 6_371_008.8
 DEGREE_M = EARTH_M * math.pi / 180
@@ -18,43 +20,57 @@ def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-def pairs_within(left: DataFrame, right: DataFrame, metres: float, max_lat: float = 60.0) -> DataFrame:
-    """(l_id, r_id, metres) of the points (id, lat, lng) at most ``metres`` apart.
+def _columns(band: Column, high: float, metres: float) -> Column:
+    """How many cells a latitude band is cut into: each at least as wide as the widest longitude step of ``metres`` from inside the band."""
+    edge = F.least(F.lit(90.0), F.greatest(F.abs(band * high - 90), F.abs((band + 1) * high - 90)))
+    reach = F.lit(math.sin(min(metres / EARTH_M, math.pi / 2))) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-12))
+    return F.when((reach >= 1) | F.lit(metres >= EARTH_M * math.pi / 2), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360 / (F.degrees(F.asin(F.least(reach, F.lit(1.0)))) * 1.001)))).cast("long")
+
 
-    Both sides fall into cells as wide as the distance (at ``max_lat``, the
-    highest latitude there is); the right side is laid into its nine
-    neighbouring cells, so an equality join on cells finds every pair.
+def pairs_within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """(l_id, r_id, metres) of the points (id, lat, lng) at most ``metres`` apart, anywhere on the globe.
+
+    Latitude bands are as high as the distance. Each is cut into cells as wide
+    as the distance is there, in a ring that closes across the antimeridian; a
+    band that touches a pole is one cell. The right side is laid into its own
+    and the two neighbouring bands, and in each into the cells around it, so an
+    equality join on cells finds every pair.
     """
-    high = metres / DEGREE_M * 1.001
-    wide = high / math.cos(math.radians(max_lat))
-    cell = lambda c, size: F.floor(F.col(c) / size)
-    a = left.select(F.col("id").alias("l_id"), F.col("lat").alias("la"), F.col("lng").alias("lo"), cell("lat", high).alias("y"), cell("lng", wide).alias("x"))
-    step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    b = (
-        right.select(F.col("id").alias("r_id"), F.col("lat").alias("ra"), F.col("lng").alias("ro"), cell("lat", high).alias("y0"), cell("lng", wide).alias("x0"))
-        .withColumn("dy", step)
-        .withColumn("dx", step)
-        .select("r_id", "ra", "ro", (F.col("y0") + F.col("dy")).alias("y"), (F.col("x0") + F.col("dx")).alias("x"))
-    )
+    high = max(metres, 1e-3) / DEGREE_M * 1.001
+    band, around = F.floor((F.col("lat") + 90) / high), F.pmod(F.col("lng") + 180, F.lit(360.0)) / 360
+    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    a = left.select(F.col("id").alias("l_id"), F.col("lat").alias("la"), F.col("lng").alias("lo"), band.alias("y"), around.alias("at"))
+    a = a.withColumn("n", _columns(F.col("y"), high, metres)).withColumn("x", F.least(F.floor(F.col("at") * F.col("n")), F.col("n") - 1)).drop("n", "at")
+    b = right.select(F.col("id").alias("r_id"), F.col("lat").alias("ra"), F.col("lng").alias("ro"), around.alias("at"), F.explode(F.transform(step, lambda d: band + d)).alias("y"))
+    b = b.withColumn("n", _columns(F.col("y"), high, metres))
+    own = F.least(F.floor(F.col("at") * F.col("n")), F.col("n") - 1)
+    b = b.select("r_id", "ra", "ro", "y", F.explode(F.array_distinct(F.transform(step, lambda d: F.pmod(own + d, F.col("n"))))).alias("x"))
     found = a.join(b, ["y", "x"]).withColumn("metres", haversine(F.col("la"), F.col("lo"), F.col("ra"), F.col("ro")))
     return found.where(F.col("metres") <= metres).select("l_id", "r_id", "metres")
 
 
-def nearest(left: DataFrame, stations: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest of a small fixed table of ``stations`` (id, lat, lng) for every row of ``left``.
+def nearest(left: DataFrame, stations: DataFrame, k: int, first: float = 20_000.0) -> DataFrame:
+    """(l_id, r_id, metres, rank): the ``k`` nearest stations (id, lat, lng) of every point, ties by id.
 
-    The stations become one array beside each point, so no pair rows are made
-    and nothing but that array (checked: at most 10,000 stations) is sent.
+    All stations within a distance are found over cells; a point that has ``k``
+    of them is settled, since no other can be nearer. The rest looks four times
+    as far, until the distance is half the globe.
     """
-    known = stations.select("id", "lat", "lng").limit(10_001).collect()
-    if len(known) > 10_000:
-        raise ValueError("nearest() takes at most 10,000 stations")
-    if not known:
-        return left.select(F.col("id").alias("l_id"), F.lit(0).cast("long").alias("r_id"), F.lit(0.0).alias("metres"), F.lit(0).alias("rank")).where("false")
-    table = F.array(*[F.struct(F.lit(s["id"]).alias("id"), F.lit(s["lat"]).alias("lat"), F.lit(s["lng"]).alias("lng")) for s in known])
-    far = F.transform(table, lambda s: F.struct(F.round(haversine(F.col("lat"), F.col("lng"), s["lat"], s["lng"]), 3).alias("metres"), s["id"].alias("r_id")))
-    best = left.select(F.col("id").alias("l_id"), F.posexplode(F.slice(F.array_sort(far), 1, k)).alias("at", "s"))
-    return best.select("l_id", F.col("s.r_id").alias("r_id"), F.col("s.metres").alias("metres"), (F.col("at") + 1).alias("rank"))
+    far, open_points, done = first, left.select("id", "lat", "lng"), None
+    order = Window.partitionBy("l_id").orderBy("metres", "r_id")
+    while True:
+        last = far >= EARTH_M * math.pi
+        near = pairs_within(open_points, stations, far).withColumn("metres", F.round("metres", 3))
+        ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        full = ranked.withColumn("n", F.max("rank").over(Window.partitionBy("l_id")))
+        settled = checkpointed((full if last else full.where(F.col("n") == k)).drop("n"))
+        done = settled if done is None else done.unionByName(settled)
+        if last:
+            return done
+        open_points = checkpointed(open_points.join(settled.select(F.col("l_id").alias("id")).distinct(), "id", "left_anti"))
+        if open_points.isEmpty():
+            return done
+        far *= 4
 
 
 def neighbours_count(points: DataFrame, metres: float, least: int) -> DataFrame:

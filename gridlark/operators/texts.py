@@ -57,7 +57,7 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def checksum_dedupe(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(checksum, first id, copies) of each distinct text."""
-    return rows.groupBy(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("checksum")).agg(
+    """(checksum, first id, copies) of each distinct text; rows without a text have a null checksum, which no text shares."""
+    return rows.groupBy(F.md5(F.col(text).cast("binary")).alias("checksum")).agg(
         F.min(key).alias(key), F.count(F.lit(1)).alias("copies")
     )

@@ -84,42 +84,47 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- retrieval --------------------------------------------------------------
 
-TERMS, TOP = ["license", "the", "die"], 45
+EVERY, TOP, TERMS, ANSWERS, LEAST = 50, 45, 3, 15, 3
 HYBRID_SQL = """
-WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
-c AS (SELECT vec_id AS id, round(list_dot_product(embedding::double[], (SELECT e FROM q)::double[])
-  / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product((SELECT e FROM q)::double[], (SELECT e FROM q)::double[]))), 6) AS s FROM embeddings),
-d AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS dense_rank FROM c QUALIFY dense_rank <= 45),
-t AS (SELECT doc_id AS id, (length(lower(text)) - length(replace(lower(text), 'license', ''))) / 7
-  + (length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3 + (length(lower(text)) - length(replace(lower(text), 'die', ''))) / 3 AS s FROM documents),
-l AS (SELECT id, row_number() OVER (ORDER BY round(s, 6) DESC, id) AS lexical_rank FROM t QUALIFY lexical_rank <= 45),
-f AS (SELECT id, dense_rank::int AS dense_rank, lexical_rank::int AS lexical_rank, round(coalesce(0.5 / (60 + dense_rank), 0) + coalesce(0.5 / (60 + lexical_rank), 0)
-  + CASE WHEN least(dense_rank, lexical_rank) <= 15 THEN 0.05 ELSE 0 END, 6) AS score FROM d FULL JOIN l USING (id))
+WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::double / nullif(sqrt(list_dot_product(embedding::double[], embedding::double[])), 0)) AS v FROM embeddings WHERE embedding IS NOT NULL),
+c AS (SELECT q.id AS question, v.id, round(list_dot_product(q.v, v.v), 6) AS s FROM v q, v WHERE q.id % 50 = 0),
+d AS (SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY s DESC, id) AS dense_rank FROM c QUALIFY dense_rank <= 45),
+tf AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}')) AS term FROM documents) GROUP BY ALL),
+w AS (SELECT id, term, tf / (tf + 1.2::double) AS w, count(*) OVER (PARTITION BY term) AS df FROM tf),
+a AS (SELECT id AS question, term FROM w WHERE id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY df, term) <= 3),
+t AS (SELECT question, id, round(sum(w), 6) AS s FROM a JOIN w USING (term) GROUP BY ALL),
+l AS (SELECT question, id, row_number() OVER (PARTITION BY question ORDER BY s DESC, id) AS lexical_rank FROM t QUALIFY lexical_rank <= 45),
+u AS (SELECT question, id, dense_rank::int AS dense_rank, lexical_rank::int AS lexical_rank, round(coalesce(0.5 / (60 + dense_rank), 0) + coalesce(0.5 / (60 + lexical_rank), 0), 6) AS plain,
+  round(coalesce(0.5 / (60 + dense_rank), 0) + coalesce(0.5 / (60 + lexical_rank), 0) + CASE WHEN least(dense_rank, lexical_rank) <= 15 THEN 0.05 ELSE 0 END, 6) AS score FROM d FULL JOIN l USING (question, id))
 """
 
 
-def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    first = vectors.where("vec_id = 0").select("embedding").first()
-    asked = F.array(*[F.lit(float(x)) for x in first["embedding"]]) if first else F.array(F.lit(0.0))
-    dense = vectors.select(F.col("vec_id").alias("id"), F.round(retrieval.cosine(F.col("embedding"), asked), 6).alias("s"))
-    lexical = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.round(retrieval.term_frequency(F.col("text"), TERMS), 6).alias("s"))
-    return retrieval.fuse(retrieval.top(dense, "id", "s", TOP, "dense_rank"), retrieval.top(lexical, "id", "s", TOP, "lexical_rank"), "id")
+def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ranked dense and lexical lists of every question: vectors and documents whose id is divisible by 50, against all rows."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = vectors.where(F.col("id") % EVERY == 0).select(F.col("id").alias("question"), "v")
+    dense = retrieval.ranked(retrieval.dense_top(vectors, asked, TOP), "question", "id", "s", TOP, "dense_rank")
+    weights = retrieval.term_weights(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), "id", "text")
+    terms = retrieval.rarest_terms(weights.where(F.col("id") % EVERY == 0), "id", TERMS).withColumnRenamed("id", "question")
+    return dense, retrieval.ranked(retrieval.sparse_top(weights, terms), "question", "id", "s", TOP, "lexical_rank")
 
 
-@query(HYBRID_SQL + "SELECT * FROM f")
+@query(HYBRID_SQL + "SELECT question, id, dense_rank, lexical_rank, score, (row_number() OVER (PARTITION BY question ORDER BY score DESC, id))::int AS place FROM u QUALIFY place <= 15")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense and lexical rank lists of one question, fused."""
-    return _hybrid(spark, sf_dir)
+    """The fifteen best answers of every question from its fused dense and lexical lists."""
+    return retrieval.best_of_each(retrieval.fuse(*_lists(spark, sf_dir), ["question", "id"]), "question", "id", ANSWERS)
 
 
-@query(HYBRID_SQL + """, g AS (SELECT id, score, 0 AS turn FROM f WHERE dense_rank <= 2),
-x AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS r FROM f WHERE id NOT IN (SELECT id FROM g))
-SELECT * FROM g UNION ALL SELECT id, score, 1 FROM x WHERE (SELECT count(*) FROM g) < 3 AND r + (SELECT count(*) FROM g) <= 15""")
+@query(HYBRID_SQL + """, g AS (SELECT question, id, score, 0 AS turn FROM u WHERE id % 11 = question % 11 QUALIFY row_number() OVER (PARTITION BY question ORDER BY score DESC, id) <= 15),
+x AS (SELECT question, id, plain AS score, 1 AS turn FROM u QUALIFY row_number() OVER (PARTITION BY question ORDER BY plain DESC, id) <= 15),
+y AS (SELECT * FROM g UNION ALL SELECT x.* FROM x ANTI JOIN g USING (question, id)),
+z AS (SELECT *, count(*) FILTER (turn = 0) OVER (PARTITION BY question) AS have, row_number() OVER (PARTITION BY question ORDER BY turn, score DESC, id) AS r FROM y)
+SELECT question, id, score, turn FROM z WHERE turn = 0 OR (have < 3 AND r <= 15)""")
 def rrf_fallback_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filter that leaves too few hits, filled up from the unfiltered list."""
-    fused = _hybrid(spark, sf_dir)
-    return retrieval.fallback_fill(fused.where("dense_rank <= 2"), fused, "id", 3, 15)
+    """A filter that leaves too few answers to a question, filled up from its unfiltered and unboosted list."""
+    dense, lexical = _lists(spark, sf_dir)
+    found = retrieval.fuse(dense, lexical, ["question", "id"]).where(F.col("id") % 11 == F.col("question") % 11)
+    return retrieval.fallback_fill(found, retrieval.fuse(dense, lexical, ["question", "id"], boost=False), "question", "id", LEAST, ANSWERS)
 
 
 @query("SELECT l_orderkey, arg_max(l_linenumber, (l_extendedprice, -l_linenumber)) AS l_linenumber, max(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY l_orderkey")
@@ -202,11 +207,11 @@ def haversine_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.pairs_within(a, b, 20_000).withColumn("metres", F.round("metres", 3))
 
 
-@query(f"""WITH {SITES_SQL}, d AS (SELECT a.id AS l_id, b.id AS r_id, round({DISTANCE_SQL}, 3) AS metres FROM a, (SELECT * FROM b WHERE id <= 25) b)
+@query(f"""WITH {SITES_SQL}, d AS (SELECT a.id AS l_id, b.id AS r_id, round({DISTANCE_SQL}, 3) AS metres FROM a, b)
 SELECT l_id, r_id, metres, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY metres, r_id) AS rank FROM d) WHERE rank <= 5""")
 def nearest_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest of 25 stations for every customer."""
-    stations = _points(table(spark, sf_dir, "supplier").where("s_suppkey <= 25"), "s_suppkey")
+    """The five nearest suppliers of every customer."""
+    stations = _points(table(spark, sf_dir, "supplier"), "s_suppkey")
     return spatial.nearest(_points(table(spark, sf_dir, "customer"), "c_custkey"), stations, 5)
 
 

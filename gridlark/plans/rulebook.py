@@ -19,13 +19,13 @@ def altitude_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", notation.altitude_feet(F.expr(NOTES)).alias("feet"))
 
 
-@query(f"""WITH s AS (SELECT p_brand, {NOTES} AS s FROM part), v AS (SELECT p_brand, CASE WHEN s = 'GND' THEN 0.0::double WHEN s = 'UNL' THEN NULL WHEN s LIKE 'FL%' THEN try_cast(s[4:] AS double) * 100
-WHEN regexp_matches(s, '^[0-9]') THEN try_cast(replace(replace(s, ' AMSL', ''), ' ', '') AS double) END AS f FROM s WHERE s LIKE 'FL%' OR s LIKE '%AMSL')
-SELECT p_brand, count(*) FILTER (f IS NULL) = 0 AND min(f) > 600 AS cleared, min(f) AS lowest FROM v GROUP BY p_brand""")
+@query(f"""WITH s AS (SELECT p_brand, p_size, {NOTES} AS s FROM part), v AS (SELECT p_brand, p_size, CASE WHEN s = 'GND' THEN 0.0::double WHEN s = 'UNL' THEN NULL WHEN s LIKE 'FL%' THEN try_cast(s[4:] AS double) * 100
+WHEN regexp_matches(s, '^[0-9]') THEN try_cast(replace(replace(s, ' AMSL', ''), ' ', '') AS double) END AS f FROM s)
+SELECT p_brand, p_size, count(*) FILTER (f IS NULL) = 0 AND min(f) > 600 AS cleared, min(f) AS lowest FROM v GROUP BY p_brand, p_size""")
 def altitude_clearance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands as airspaces: whether all their floors lie above a tip at 600 feet."""
-    floors = table(spark, sf_dir, "part").select("p_brand", F.expr(NOTES).alias("s")).where("s LIKE 'FL%' OR s LIKE '%AMSL'")
-    return rules.altitude_cleared(floors.select("p_brand", notation.altitude_feet(F.col("s")).alias("floor")), "p_brand", "floor", 600.0)
+    """Brands by size as airspaces: whether all their floors are known and lie above a tip at 600 feet."""
+    floors = table(spark, sf_dir, "part").select("p_brand", "p_size", notation.altitude_feet(F.expr(NOTES)).alias("floor"))
+    return rules.altitude_cleared(floors, ["p_brand", "p_size"], "floor", 600.0)
 
 
 VOLTS = "CASE p_partkey % 4 WHEN 0 THEN concat(p_size, '000;22900') WHEN 1 THEN concat('154000, ', p_size, '0000') WHEN 2 THEN 'none' ELSE NULL END"
@@ -174,4 +174,4 @@ SELECT masked, name FROM m JOIN n ON starts_with(name, replace(masked, '*', ''))
 def masked_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of customers that masked ones can stand for."""
     names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")).distinct()
-    return rules.masked_names(names.select(F.concat(F.substring("name", 1, 17), F.lit("*")).alias("masked")).distinct(), names, 12)
+    return rules.masked_names(names.select(F.concat(F.substring("name", 1, 17), F.lit("*")).alias("masked")).distinct(), names)

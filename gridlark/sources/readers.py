@@ -33,6 +33,6 @@ def visible_text(html: Column) -> Column:
 
 
 def new_rows(incoming: DataFrame, stored: DataFrame, text: str) -> DataFrame:
-    """Rows of ``incoming`` whose checksum is not ``stored`` yet, once each."""
-    marked = incoming.withColumn("checksum", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    """Rows of ``incoming`` whose checksum is not ``stored`` yet, once each; rows without a text are left out, not taken for empty ones."""
+    marked = incoming.where(F.col(text).isNotNull()).withColumn("checksum", F.md5(F.col(text).cast("binary")))
     return marked.join(stored.select("checksum"), "checksum", "left_anti").dropDuplicates(["checksum"])

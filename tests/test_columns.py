@@ -1,9 +1,11 @@
 """Columns and operators on small rows whose results follow from their rules by hand."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark.operators import chunking, geometry, notation, registers, retrieval, rules
+from gridlark.operators import chunking, geometry, notation, registers, retrieval, rules, spatial, texts
 from gridlark.sources import sinks
 
 
@@ -79,7 +81,7 @@ def test_rescue_passes_along_a_chain(spark):
 def test_masked_names_keep_all_matches(spark):
     masked = spark.createDataFrame([("삼*",), ("*",), ("도계역앞*",)], "masked string")
     names = spark.createDataFrame([("삼척",), ("삼계",), ("도계",), ("도계역앞길",)], "name string")
-    got = {tuple(r) for r in rules.masked_names(masked, names, 2).collect()}
+    got = {tuple(r) for r in rules.masked_names(masked, names).collect()}
     assert got == {("삼*", "삼척"), ("삼*", "삼계"), ("도계역앞*", "도계역앞길")}
 
 
@@ -149,3 +151,20 @@ def test_repeated_ledger_rows_do_not_multiply(spark):
     ledger = spark.createDataFrame([("r1", "l0", "b"), ("r1", "l1", "a"), (None, "l1", "c")], "road string, lot string, v string")
     got = {r["id"]: (r["v"], r["found_by"]) for r in registers.two_key_join(rows, ledger, "road", "lot", "v").collect()}
     assert got == {1: ("a", "road"), 2: ("a", "lot"), 3: (None, "UNKNOWN")}
+
+
+def test_pairs_across_the_antimeridian_and_near_the_pole(spark):
+    points = [(1, 0.0, 179.99), (2, 0.0, -179.99), (3, 75.0, 0.35), (4, 75.0, 0.73), (5, 89.95, 10.0), (6, 89.95, -170.0), (7, -33.0, 18.0), (8, 0.0, -179.7), (9, 90.0, 0.0)]
+    frame = spark.createDataFrame(points, "id long, lat double, lng double")
+    for metres in (500.0, 20_000.0, 45_000.0, 9_000_000.0, 25_000_000.0):
+        got = {(r["l_id"], r["r_id"]) for r in spatial.pairs_within(frame, frame, metres).collect()}
+        far = lambda a, b: 2 * 6_371_008.8 * math.asin(math.sqrt(min(1.0, math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2)))
+        assert got == {(a[0], b[0]) for a in points for b in points if far(a, b) <= metres}, metres
+    near = spatial.nearest(frame, frame, 3).collect()
+    assert len(near) == 27 and {r["r_id"] for r in near if r["l_id"] == 1} == {1, 2, 8}
+    assert spatial.nearest(frame, frame.where("id > 7"), 3).count() == 18
+
+
+def test_rows_without_a_text_are_no_copies(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "")], "id long, t string")
+    assert {(r["checksum"] is None, r["id"], r["copies"]) for r in texts.checksum_dedupe(rows, "id", "t").collect()} == {(True, 1, 1), (False, 2, 2)}
