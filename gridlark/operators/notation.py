@@ -115,3 +115,70 @@ def run_label(numbers: Column) -> Column:
         return F.when(F.size(own) >= 3, span).otherwise(F.array_join(own.cast("array<string>"), "·"))
 
     return F.when(F.size(ordered) == 0, "-").otherwise(F.array_join(F.transform(runs, written), "·"))
+
+
+#: Square metres of a pyeong, endings of a substation's name in the order in which they are tried, and how much of a reason is quoted.
+PYEONG, SUBSTATIONS, QUOTED = 3.305785, ("변전소", "변전소S/S", "S/S", "SS", "SA", "CB", "개폐소"), 110
+#: Uses of buildings that keep a distance, by kind.
+BUILDINGS = {"HOUSING": ["단독주택", "공동주택"], "LIVESTOCK": ["동물및식물관련시설"], "QUIET": ["교육연구시설", "종교시설", "관광휴게시설", "노유자시설", "의료시설", "수련시설", "문화및집회시설"]}
+ANNEX_BUILDING = "부속건축물"
+
+
+def coordinate_prefix(degrees: Column) -> Column:
+    """A coordinate to two places without zeros at its end, as a prefix of longer ones."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.2f", F.bround(degrees, 2)), "0+$", ""), r"\.$", "")
+
+
+def snapped(value: Column, grid: float) -> Column:
+    """The nearest point of a grid; halves go to the even one."""
+    return F.bround(value / grid, 0) * grid
+
+
+def area_text(square_metres: Column) -> Column:
+    """An area in pyeong, hectares and square metres."""
+    return F.format_string("%,.0f평 (%,.1f ha · %,.0f㎡)", square_metres / PYEONG, square_metres / 10_000, square_metres)
+
+
+def folder_name(raw: Column) -> Column:
+    """A name that is one folder: no separators, reserved characters or dots at its ends."""
+    bare = F.regexp_replace(F.trim(blank(raw)), r"^\.+|\.+$", "")
+    return F.trim(F.regexp_replace(bare, r'[\\/:*?"<>|]', "_"))
+
+
+def substation(name: Column) -> Column:
+    """A substation's name without blanks, brackets and the first ending that fits."""
+    bare = F.regexp_replace(F.regexp_replace(blank(name), r"\s+", ""), r"\(.*?\)", "")
+    out = bare
+    for ending in reversed(SUBSTATIONS):
+        out = F.when(bare.endswith(ending), F.substring(bare, F.lit(1), F.length(bare) - len(ending))).otherwise(out)
+    return out
+
+
+def road_key(road: Column, number: Column) -> Column:
+    """A building's road and its main and sub number; null without either."""
+    found = r"^(\d+)(?:-(\d+))?"
+    sub = F.regexp_extract(F.trim(blank(number)), found, 2)
+    key = F.concat(road, F.lit("|"), F.regexp_extract(F.trim(blank(number)), found, 1), F.lit("-"), F.when(sub == "", "0").otherwise(sub))
+    return F.when((blank(road) != "") & F.trim(blank(number)).rlike(found), key)
+
+
+def feature_key(own: Column, properties: list[tuple[str, Column]], geometry: Column) -> Column:
+    """What tells features apart: their id, else the first property that has a value, with its name, else a digest of the geometry."""
+    named = [F.when(blank(c.cast("string")) != "", F.concat(F.lit(f"{name}:"), c.cast("string"))) for name, c in properties]
+    return F.coalesce(F.when(blank(own) != "", own), *named, F.md5(geometry.cast("string").cast("binary")))
+
+
+def clipped(reason: Column, most: int = QUOTED) -> Column:
+    """A reason of up to ``most`` characters: cut behind its last sentence there, else before its last blank, if that leaves two fifths, else right there."""
+    cut = F.substring(reason, 1, most)
+    at = lambda sign: F.length(cut) - F.instr(F.reverse(cut), sign[::-1]) - len(sign) + 1
+    last = lambda sign: F.when(F.contains(cut, F.lit(sign)), at(sign)).otherwise(-1)
+    sentence, word = F.greatest(last("다. "), last(". ")), last(" ")
+    at_word = F.when(word > most * 0.4, F.substring(reason, F.lit(1), word)).otherwise(cut)
+    return F.when(F.length(reason) <= most, reason).otherwise(F.regexp_replace(F.when(sentence > most * 0.4, F.substring(reason, F.lit(1), sentence + 1)).otherwise(at_word), r"\s+$", ""))
+
+
+def building_kind(annexed: Column, purpose: Column) -> Column:
+    """What a building is to an ordinance: an annex whatever its use, else by its use, else no target."""
+    kinds = [F.when(F.trim(blank(purpose)).isin(*uses), F.lit(kind)) for kind, uses in BUILDINGS.items()]
+    return F.coalesce(F.when(F.trim(blank(annexed)) == ANNEX_BUILDING, F.lit("ANNEX")), *kinds, F.lit("NOT_TARGET"))
