@@ -67,6 +67,19 @@ def resolve_rules(names: DataFrame, key: str, name: str, rules: list[tuple[str,
     return names.select(key, hit["rule"].alias("rule"), F.coalesce(hit["difficulty"], F.lit(default)).alias("difficulty"))
 
 
+def rule_or_fallback(rows: DataFrame, site: str, grade: str, stored: DataFrame, fallback: dict[str, tuple[str, str]]) -> DataFrame:
+    """(site, grade, status, difficulty) of each site's worst grade: grades are worst first in ``fallback``, and a stored rule (grade, status, difficulty) goes before the fallback's.
+
+    Grades that neither knows are left out, and a site with none of the others
+    has no row: what is not known is not guessed.
+    """
+    order = F.array_position(F.array(*map(F.lit, fallback)), F.col(grade))
+    worst = rows.withColumn("_o", order).where("_o > 0").groupBy(site).agg(F.min_by(grade, "_o").alias(grade))
+    pick = lambda at: F.element_at(F.create_map(*[F.lit(x) for g, pair in fallback.items() for x in (g, pair[at])]), F.col(grade))
+    known = stored.groupBy(grade).agg(F.min(F.struct("status", "difficulty")).alias("_r"))
+    return worst.join(known, grade, "left").select(site, grade, F.coalesce("_r.status", pick(0)).alias("status"), F.coalesce("_r.difficulty", pick(1)).alias("difficulty"))
+
+
 def area_need(square_metres: Column) -> Column:
     """Whether an area needs a procedure: YES, ASK or NO; unknown areas must be asked."""
     return F.when(square_metres.isNull(), "ASK").when(square_metres >= AREA_NEEDS, "YES").when(square_metres >= AREA_ASKS, "ASK").otherwise("NO")

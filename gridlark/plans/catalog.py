@@ -307,6 +307,14 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.hourly(table(spark, sf_dir, "events"))
 
 
+@query("""WITH e AS (SELECT user_id, ts::timestamp AS ts, value, CASE WHEN lag(ts::timestamp) OVER w + INTERVAL 6 HOUR > ts::timestamp THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM e)
+SELECT user_id, min(ts) AS began, max(ts) + INTERVAL 6 HOUR AS ended, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, no""")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of every user's events, six hours apart."""
+    return intake.sessions(table(spark, sf_dir, "events"), "user_id")
+
+
 @query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS text_md5 FROM pages""")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the visible text of every page."""

@@ -175,3 +175,18 @@ def masked_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of customers that masked ones can stand for."""
     names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")).distinct()
     return rules.masked_names(names.select(F.concat(F.substring("name", 1, 17), F.lit("*")).alias("masked")).distinct(), names)
+
+
+#: Classes of forest land, worst first, with what they mean where no rule is stored.
+FOREST = {"공익용산지": ("CONDITIONAL", "CRITICAL"), "임업용산지": ("CONDITIONAL", "HIGH"), "보전산지": ("CONDITIONAL", "HIGH"), "준보전산지": ("POSSIBLE", "LOW")}
+
+
+@query("""WITH g AS (SELECT o_custkey, CASE o_orderkey % 6 WHEN 0 THEN '준보전산지' WHEN 1 THEN '보전산지' WHEN 2 THEN '임업용산지' WHEN 3 THEN '공익용산지' WHEN 4 THEN '미상' END AS class, CASE o_orderkey % 6 WHEN 3 THEN 1 WHEN 2 THEN 2 WHEN 1 THEN 3 WHEN 0 THEN 4 END AS o FROM orders),
+w AS (SELECT o_custkey, min(o) AS o, arg_min(class, o) AS class FROM g WHERE o IS NOT NULL GROUP BY o_custkey)
+SELECT o_custkey, class, CASE o WHEN 1 THEN 'IMPOSSIBLE' WHEN 4 THEN 'POSSIBLE' ELSE 'CONDITIONAL' END AS status, CASE o WHEN 1 THEN 'CRITICAL' WHEN 4 THEN 'LOW' ELSE 'HIGH' END AS difficulty FROM w""")
+def forest_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as forest parcels of customers: the worst class, by a stored rule or else the fallback."""
+    names = F.array(*map(F.lit, ["준보전산지", "보전산지", "임업용산지", "공익용산지", "미상"]))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.get(names, (F.col("o_orderkey") % 6).cast("int")).alias("class"))
+    stored = spark.createDataFrame([("공익용산지", "IMPOSSIBLE", "CRITICAL")], "class string, status string, difficulty string")
+    return rules.rule_or_fallback(rows, "o_custkey", "class", stored, FOREST)

@@ -20,6 +20,17 @@ def hourly(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return sums.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
 
 
+def sessions(events: DataFrame, key: str, gap: str = "6 hours", late: str = "10 minutes") -> DataFrame:
+    """(key, began, ended, n, total) of each session: events of one key with less than ``gap`` between them; it ends with the last event and the gap.
+
+    One definition for tables and for streams, where the watermark closes sessions.
+    """
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if events.isStreaming else rows
+    sums = rows.where("ts IS NOT NULL").groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return sums.select(key, F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n", "total")
+
+
 def guarded_upsert(coverage: DataFrame, folder: str) -> DataStreamWriter:
     """Writes a stream of (key, coverage) so that no batch lowers a stored coverage by more than the slack.
 
