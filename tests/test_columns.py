@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark.operators import chunking, geometry, notation, registers, retrieval, rules, spatial, texts
+from gridlark.operators import chunking, components, geometry, notation, registers, retrieval, rules, spatial, texts
 from gridlark.sources import sinks
 
 
@@ -168,3 +168,19 @@ def test_pairs_across_the_antimeridian_and_near_the_pole(spark):
 def test_rows_without_a_text_are_no_copies(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "")], "id long, t string")
     assert {(r["checksum"] is None, r["id"], r["copies"]) for r in texts.checksum_dedupe(rows, "id", "t").collect()} == {(True, 1, 1), (False, 2, 2)}
+
+
+def test_heavy_keys_are_joined_apart(spark):
+    left = spark.createDataFrame([(k, i) for i in range(60) for k in ([1] * 3 + [2, None, i + 10])], "k long, i long")
+    right = spark.createDataFrame([(2, "b"), (11, "c"), (None, "d")], "k long, v string")
+    for how in ("inner", "left"):
+        found = [sorted(map(str, join.collect())) for join in (components.join_by_key(left, right, "k", 360, how, limit) for limit in (5, 1000))]
+        assert found[0] == found[1] and len(found[0]) == {"inner": 61, "left": 360}[how]
+
+
+def test_a_hub_and_a_chain(spark):
+    edges = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(300, 340)]
+    nodes = spark.createDataFrame([(i,) for i in range(400)], "id long")
+    roots = components.connected(nodes, spark.createDataFrame(edges, "a long, b long"), heavy_rows=20)
+    want = {i: 0 if i < 200 else 300 if 300 <= i <= 340 else i for i in range(400)}
+    assert {r["id"]: r["root"] for r in roots.collect()} == want
