@@ -13,11 +13,15 @@ size of each bucket is counted first (a sum that combines before the shuffle).
 Small buckets are compared in the JVM as bounded arrays; a large bucket is
 cut into salted chunks and every pair of chunks becomes a group of its own,
 which returns a spanning forest of its links rather than all pairs. Components
-come from min-label rounds with pointer jumping on distinct fingerprints.
+come from min-label rounds with pointer jumping on distinct fingerprints. Hubs,
+the root of a giant component, a crowded bucket and a fingerprint that a third
+of all rows share are keys whose rows stay where they are and meet a bounded
+broadcast; all other keys meet by shuffle.
 
 Cases: null and empty texts have fingerprint zero and link like any other; a
 null id takes part in linking but never names a component unless no other id is
-there; repeated rows share a component; an empty table gives no rows.
+there; repeated rows share a component; very long texts are hashed whole; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import checkpointed, map_texts
+from gridlark.operators.components import HEAVY_ROWS, join_by_key
 
 SHINGLE, SEED, BITS = 4, 42, 64
 #: Buckets of up to this many fingerprints are compared as one array.
@@ -93,18 +98,17 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Links (a, b) among distinct fingerprints ``fp`` that connect all pairs within ``radius``.
 
     Small buckets give all their links; a chunk pair of a large bucket gives a
     spanning forest, which has the same components.
     """
-    tables = F.array(
-        *[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(covering_masks(radius))]
-    )
+    masks = covering_masks(radius)
+    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])
     keyed = fps.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.k")
     shared = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = checkpointed(keyed.join(shared, ["t", "k"]))
+    members = checkpointed(join_by_key(keyed, shared, ["t", "k"], fps.count() * len(masks), heavy_rows=heavy_rows))
 
     pair = F.expr(
         "filter(flatten(transform(fps, (a, i) -> transform(slice(fps, i + 2, size(fps)), b -> struct(a AS a, b AS b)))),"
@@ -134,7 +138,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return small.unionByName(large).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """(fp, root, least) of the nodes with links: the least id (``least`` of ``nodes``, nulls last) that is reachable, and its node.
 
     A round sends each node's label to its neighbours, keeps the least, and
@@ -146,13 +150,13 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     own = nodes.select("fp", F.struct(least.isNull().alias("nameless"), least.alias("least"), F.col("fp").alias("root")).alias("label"))
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = checkpointed(own.join(both.select(F.col("a").alias("fp")).distinct(), "fp"))
+    n_edges, n_nodes = both.count(), labels.count()
     for _ in range(max_rounds):
-        heard = both.join(labels.withColumnRenamed("fp", "b"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("label").alias("near"))
-        nearer = labels.join(heard, "fp").select("fp", "label", F.least("label", "near").alias("next"))
+        heard = join_by_key(both, labels.withColumnRenamed("fp", "b"), "b", n_edges, heavy_rows=heavy_rows).groupBy(F.col("a").alias("fp")).agg(F.min("label").alias("near"))
+        nearer = labels.join(heard, "fp").select("fp", "label", F.least("label", "near").alias("next")).withColumn("at", F.col("next.root"))
         jump = labels.select(F.col("fp").alias("at"), F.col("label").alias("far"))
-        moved = checkpointed(
-            nearer.join(jump, nearer["next.root"] == jump["at"], "left").select("fp", F.least("next", F.coalesce("far", "next")).alias("label"), F.col("label").alias("was"))
-        )
+        jumped = join_by_key(nearer, jump, "at", n_nodes, "left", heavy_rows)
+        moved = checkpointed(jumped.select("fp", F.least("next", F.coalesce("far", "next")).alias("label"), F.col("label").alias("was")))
         labels = moved.select("fp", "label")
         if moved.where("label.root <> was.root").limit(1).count() == 0:
             return labels.select("fp", "label.root", "label.least")
@@ -164,14 +168,14 @@ def fingerprints(docs: DataFrame, keep: list[str] | None = None, text_col: str =
     return map_texts(docs, lambda texts: [(fingerprint(t),) for t in texts], "fp long", keep, text_col)
 
 
-def grouped(docs: DataFrame, keep: list[str], radius: int = 4) -> DataFrame:
+def grouped(docs: DataFrame, keep: list[str], radius: int = 4, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """The columns ``keep`` (with ``doc_id``) and ``fp`` of every row, its component's node ``root`` and smallest id ``component_id``."""
     fps = checkpointed(fingerprints(docs, keep))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(distinct, links(distinct.select("fp"), radius)).select("fp", "root", F.col("least").alias("first"))
+    distinct = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = components(distinct, links(distinct.select("fp"), radius, heavy_rows), heavy_rows=heavy_rows).select("fp", "root", F.col("least").alias("first"))
     named = F.when(F.col("root").isNotNull(), F.col("first")).otherwise(F.col("least"))
     of = checkpointed(distinct.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), named.alias("component_id")))
-    return fps.join(of, "fp").select(*keep, "fp", "root", "component_id")
+    return join_by_key(fps, of, "fp", fps.count(), heavy_rows=heavy_rows).select(*keep, "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:

@@ -275,6 +275,16 @@ def test_dense_bucket(spark):
     assert sorted(r["count"] for r in got) == sorted(n for n in pd.Series(want).value_counts() if n > 1)
 
 
+def test_heavy_keys_change_nothing(spark):
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(4)]
+    data = [(i, texts[i % 2] if i % 3 else "") for i in range(200)] + [(1000 + i, texts[2 + i % 2] + " x" * (i % 7)) for i in range(60)] + [(None, texts[0]), (None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    plain, split = (rows(simhash.grouped(docs, ["doc_id"], heavy_rows=limit)).fillna(-1).sort_values(["doc_id", "fp"], ignore_index=True) for limit in (1_000_000, 3))
+    pd.testing.assert_frame_equal(plain, split[plain.columns])
+    assert len(plain) == len(data)
+
+
 def test_toxicity_on_held_out_rows(spark):
     labels = pd.read_parquet("/root/testdata/sf0.1/labels.parquet")
     got = rows(queries.op8_toxicity(spark, "/root/testdata/sf0.1")).merge(labels, on="doc_id")
