@@ -144,3 +144,47 @@ def allocate_largest_first(cells: DataFrame, region: str) -> DataFrame:
 def first_in(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The first row of every ``key``."""
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_place = 1").drop("_place")
+
+
+def cells_inside(shapes: DataFrame, key: str, ring: str, side: float) -> DataFrame:
+    """(key, i, j) of the metric cells whose centres lie inside a ring of (x, y).
+
+    Every row of cells is cut where the ring crosses its middle, so only cells
+    inside are ever made, whatever the ring's bounding box.
+    """
+    ys = F.transform(ring, lambda p: p["y"])
+    at = lambda v: F.floor(v / side).cast("int")
+    lines = shapes.where(F.size(ring) >= 3).select(key, ring, F.explode(F.sequence(at(F.array_min(ys)), at(F.array_max(ys)))).alias("j"))
+    y = (F.col("j") + 0.5) * side
+
+    def crossing(e: Column) -> Column:
+        ax, ay, bx, by = _edge(e)
+        return F.when((ay > y) != (by > y), (bx - ax) * (y - ay) / F.nullif(by - ay, F.lit(0.0)) + ax)
+
+    xs = F.array_sort(F.array_compact(F.transform(_edges(F.col(ring)), crossing)))
+    spans = lines.withColumn("_xs", xs).where(F.size("_xs") >= 2).select(key, "j", "_xs", F.explode(F.sequence(F.lit(0), F.size("_xs") - 2, F.lit(2))).alias("_k"))
+    first, last = F.ceil(F.get("_xs", F.col("_k")) / side - 0.5).cast("int"), (F.ceil(F.get("_xs", F.col("_k") + 1) / side - 0.5) - 1).cast("int")
+    return spans.withColumn("_first", first).withColumn("_last", last).where("_first <= _last").select(key, F.explode(F.sequence("_first", "_last")).alias("i"), "j")
+
+
+def cells_near(shapes: DataFrame, key: str, points: str, reach: float, side: float, closed: bool = True) -> DataFrame:
+    """(key, i, j) of the metric cells whose centres lie within ``reach`` of a line through ``points``: buffers, corridors and setbacks.
+
+    ``closed`` joins the last point to the first; one point alone gives a
+    circle. Long edges are cut into pieces of twice the reach, so the cells
+    tried are a small multiple of those found, however long or slanted an edge.
+    """
+    at, pair = F.col(points), F.arrays_zip(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))).alias("a"), F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))).alias("b"))
+    edges = F.when(F.size(at) > 1, _edges(at) if closed else pair).otherwise(_edges(at))
+    e = shapes.where(F.size(at) > 0).select(key, F.explode(edges).alias("_e")).select(key, *[F.col(f"_e.{p}.{d}").alias(f"_{p}{d}") for p in "ab" for d in "xy"])
+    n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("_bx") - F.col("_ax"), F.col("_by") - F.col("_ay")) / (2 * reach)).cast("int"))
+    part = e.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    spot = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * k / F.col("_n")
+    part = part.select(key, *[spot(f"_a{d}", f"_b{d}", F.col("_k") + s).alias(f"_{d}{s}") for d in "xy" for s in (0, 1)])
+    cells = lambda d: F.sequence(F.floor((F.least(f"_{d}0", f"_{d}1") - reach) / side).cast("int"), F.floor((F.greatest(f"_{d}0", f"_{d}1") + reach) / side).cast("int"))
+    tried = part.withColumn("i", F.explode(cells("x"))).withColumn("j", F.explode(cells("y")))
+    x, y, dx, dy = (F.col("i") + 0.5) * side, (F.col("j") + 0.5) * side, F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
+    long = dx * dx + dy * dy
+    along = F.when(long > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - F.col("_x0")) * dx + (y - F.col("_y0")) * dy) / long))).otherwise(0.0)
+    far = F.hypot(F.col("_x0") + along * dx - x, F.col("_y0") + along * dy - y)
+    return tried.where(far <= reach).select(key, "i", "j").distinct()

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark.operators import chunking, components, geometry, notation, registers, retrieval, rules, spatial, texts
+from gridlark.operators import chunking, components, geometry, judgements, notation, ordinances, registers, retrieval, rules, spatial, texts
 from gridlark.sources import sinks
 
 
@@ -184,3 +184,31 @@ def test_a_hub_and_a_chain(spark):
     roots = components.connected(nodes, spark.createDataFrame(edges, "a long, b long"), heavy_rows=20)
     want = {i: 0 if i < 200 else 300 if 300 <= i <= 340 else i for i in range(400)}
     assert {r["id"]: r["root"] for r in roots.collect()} == want
+
+
+def test_distances_of_an_ordinance(spark):
+    text = "1. 5호 미만 취락지역으로부터 300미터, 5호 이상 취락지역으로부터 1.5km\n2. 고속도로와 국도에서는 1천미터(다만, 높이 10m인 경우 70미터) 3. 폭 6m"
+    rows = ordinances.distances(spark.createDataFrame([(1, text), (2, ""), (3, None)], "k long, t string"), "k", "t").collect()
+    assert sorted((r["k"], r["target"], r["detail"], r["metres"]) for r in rows) == [
+        (1, "RESIDENTIAL", "5호미만취락지역으로부터", 300), (1, "RESIDENTIAL", "5호이상취락지역으로부터", 1500), (1, "ROAD", "고속도로와국도", 1000),
+    ]
+
+
+def test_circles_corridors_and_rings_of_cells(spark):
+    shapes = spark.createDataFrame([("dot", [(0.0, 0.0)]), ("line", [(0.0, 0.0), (100.0, 0.0)]), ("none", []), (None, None)], "k string, p array<struct<x:double,y:double>>")
+    near = geometry.cells_near(shapes, "k", "p", 20.0, 1.0, closed=False).groupBy("k").count().collect()
+    found = {r["k"]: r["count"] for r in near}
+    assert set(found) == {"dot", "line"}
+    assert found["dot"] == pytest.approx(math.pi * 400, rel=0.01) and found["line"] == pytest.approx(math.pi * 400 + 4000, rel=0.01)
+    u = [(0.0, 0.0), (30.0, 0.0), (30.0, 30.0), (20.0, 30.0), (20.0, 10.0), (10.0, 10.0), (10.0, 30.0), (0.0, 30.0)]
+    cells = geometry.cells_inside(spark.createDataFrame([(1, u)], "k long, p array<struct<x:double,y:double>>"), "k", "p", 10.0).collect()
+    assert sorted((r["i"], r["j"]) for r in cells) == [(0, 0), (0, 1), (0, 2), (1, 0), (2, 0), (2, 1), (2, 2)]
+
+
+def test_unknown_inputs_of_judgements(spark):
+    judged = lambda m, k, r: tuple(one(spark, judgements.slope(*[F.lit(x) for x in (m, k, r)])))
+    assert judged(25.0, 15.0, True) == ("IMPOSSIBLE", "CRITICAL", None) and judged(25.0, 15.0, None) == ("UNKNOWN", "MEDIUM", "NO_DATA")
+    assert judged(14.0, 15.0, True) == ("UNKNOWN", "HIGH", "NO_CRITERIA")
+    assert one(spark, judgements.military_zone(F.lit(None).cast("string"), F.lit(None).cast("string")))["status"] is None
+    items = spark.createDataFrame([(1, None, None, None, None, None, None, None)], "site long, item string, code string, status string, categories array<string>, found boolean, public boolean, overlapping int")
+    assert [r["flags"] for r in judgements.site_flags(items, "site", False).collect()] == [["NON_URBAN_AREA"]]
