@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 #: Rank constant, weights (dense, lexical) by question type, and the boost of a rank up to BOOST_RANK.
 RANK_CONSTANT, BOOST, BOOST_RANK = 60, 0.05, 15
 WEIGHTS = {"contract": (0.4, 0.6), "report": (0.7, 0.3), "general": (0.5, 0.5)}
+#: Words of a question and what is asked beside it, words that ask for prices, and the words of a second question about them.
+ASKED_BESIDE = {
+    ("금리", "이자"): "interest rate fees",
+    ("대주단", "대주"): "lenders lender",
+    ("대출금액", "대출", "차입"): "loan amount financing debt",
+    ("상대방", "당사자", "계약자"): "갑지 계약당사자 체결 발주자 이하",
+    ("보증", "보장", "발전시간"): "보장공급량 보장 감소기준 발전시간 배상",
+    ("ppa",): "재생에너지 전력거래 virtual 직접 ppa",
+}
+PRICE_WORDS = ("가격", "단가", "계약금액", "공사비", "ppa", "정산", "금액")
+PRICE_QUESTION = "직접 PPA Virtual PPA 거래단가 기준가격 계약단가 정산단가 원/kWh"
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -176,3 +187,32 @@ def page_offsets(pages: DataFrame, document: str, page: str, text: str) -> DataF
     before = Window.partitionBy(document).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(F.length(F.coalesce(F.col(text), F.lit(""))) + 2).over(before), F.lit(0))
     return pages.select(document, F.col(page).alias("page"), offset.cast("long").alias("offset"))
+
+
+def expanded(question: Column, names: Column) -> Column:
+    """The questions to search with: the question with related words and the companies' ``names``, and a second one where prices are asked for; null asks nothing."""
+    low = F.lower(question)
+    any_of = lambda words: F.greatest(*[low.contains(w) for w in words], F.lit(False))
+    related = [F.when(any_of(words), F.lit(f" {more}")).otherwise("") for words, more in ASKED_BESIDE.items()]
+    own = F.coalesce(F.trim(names), F.lit(""))
+    first = F.trim(F.concat(question, *related, F.lit(" "), own))
+    second = F.trim(F.concat(question, F.lit(" "), own, F.lit(f" {PRICE_QUESTION}")))
+    return F.when(question.isNull(), F.array().cast("array<string>")).when(any_of(PRICE_WORDS), F.array(first, second)).otherwise(F.array(first))
+
+
+def drafting_sources(hits: DataFrame, chunks: DataFrame, documents: DataFrame, question: str, k: int = 5) -> DataFrame:
+    """(question, chunk, document, content, score, place): the ``k`` passages that a draft may quote.
+
+    ``hits`` is (question, document, chunk, parent, score), ``chunks`` (chunk,
+    content), ``documents`` (document). Hits of vanished documents are left out; a
+    child stands for its parent, whose content is quoted if it still exists; each
+    passage counts once, with its best hit. Ties go to the smaller passage.
+    """
+    known = hits.join(documents.select("document").distinct(), "document", "left_semi")
+    whole = F.coalesce("parent", "chunk")
+    best = known.groupBy(question, whole.alias("whole")).agg(F.min_by(F.struct("document", "chunk", "score"), F.struct((-F.col("score")).alias("s"), F.col("chunk").alias("c"))).alias("b"))
+    order = Window.partitionBy(question).orderBy(F.desc("b.score"), "whole")
+    first = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(question, "whole", "b.document", F.col("b.chunk").alias("own"), "b.score", "place")
+    parents = first.join(chunks.select(F.col("chunk").alias("whole"), F.col("content").alias("outer")), "whole", "left")
+    quoted = parents.join(chunks.select(F.col("chunk").alias("own"), F.col("content").alias("inner")), "own", "left")
+    return quoted.select(question, F.when(F.col("outer").isNotNull(), F.col("whole")).otherwise(F.col("own")).alias("chunk"), "document", F.coalesce("outer", "inner").alias("content"), "score", "place")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.operators import geometry, judgements, ordinances
+from gridlark.operators import chunking, geometry, judgements, ordinances, retrieval
 from gridlark.plans.registry import query, table
 
 RULE = """CASE s_suppkey % 3
@@ -117,3 +117,45 @@ WHERE least(sqrt(pow(x0 + t * a - x, 2) + y * y), sqrt(pow(x0 - x, 2) + pow(u *
 def setback_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as triangles: the cells within eight metres of their edges."""
     return geometry.cells_near(_triangles(spark, sf_dir), "s_suppkey", "ring", 8.0, 5.0)
+
+
+TABLED = "concat(coalesce(text, ''), chr(10), 'head', chr(10), '|a|b|', chr(10), '|--|--|', chr(10), repeat('|x|y|' || chr(10), 80), chr(10), 'after', chr(10), repeat('tail line' || chr(10), 60))"
+ENDS = "[ \\t\\r\\n]"
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT doc_id, string_split({TABLED}, chr(10)) AS l FROM documents),
+r AS (SELECT doc_id, 0::bigint AS i, 1::bigint AS s, 0::bigint AS n, false AS t, 0::bigint AS a FROM l UNION ALL
+ SELECT doc_id, i, CASE WHEN f THEN greatest(s, i - 2) ELSE s END, CASE WHEN f THEN list_sum([length(x) + 1 for x in l[greatest(s, i - 2):i]])::bigint ELSE n END, t, CASE WHEN f THEN s ELSE 0 END FROM
+ (SELECT *, n >= 600 AND NOT t AS f FROM (SELECT r.doc_id, r.i + 1 AS i, s, n + length(l[r.i + 1]) + 1 AS n, CASE WHEN contains(l[r.i + 1], '|') AND contains(l[r.i + 1], '--') THEN true WHEN regexp_full_match(l[r.i + 1], '{ENDS}*') THEN false ELSE t END AS t, l FROM r JOIN l USING (doc_id) WHERE r.i < len(l)))),
+c AS (SELECT doc_id, a AS s, i AS e FROM r WHERE a > 0 UNION ALL SELECT r.doc_id, s, i FROM r JOIN l ON r.doc_id = l.doc_id AND i = len(l)),
+k AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY e, s) - 1)::int AS chunk_no, regexp_replace(array_to_string(l[s:e], chr(10)), '^{ENDS}+|{ENDS}+$', '', 'g') AS chunk FROM c JOIN l USING (doc_id))
+SELECT doc_id, chunk_no, md5(chunk) AS chunk_md5 FROM k WHERE chunk <> ''""")
+def chunk_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a table behind them, cut at lines but never inside the table."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(TABLED).alias("text"))
+    return chunking.table_chunks(docs, "doc_id", "text", 600).select("doc_id", "chunk_no", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+QUESTION = "CASE turn % 4 WHEN 0 THEN concat('대출 금리 ', conv_id) WHEN 1 THEN concat('PPA 보증 ', conv_id) WHEN 2 THEN concat('일정 ', conv_id) END"
+
+
+@query(f"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN q || ' interest rate fees loan amount financing debt 홍성빛나래' WHEN 1 THEN q || ' 보장공급량 보장 감소기준 발전시간 배상 재생에너지 전력거래 virtual 직접 ppa 홍성빛나래|' || q || ' 홍성빛나래 직접 PPA Virtual PPA 거래단가 기준가격 계약단가 정산단가 원/kWh'
+WHEN 2 THEN q || ' 홍성빛나래' ELSE '' END AS questions FROM (SELECT conv_id, turn, {QUESTION} AS q FROM conversations)""")
+def question_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted questions and what is searched for them."""
+    asked = table(spark, sf_dir, "conversations").select("conv_id", "turn", retrieval.expanded(F.expr(QUESTION), F.lit(" 홍성빛나래 ")).alias("q"))
+    return asked.select("conv_id", "turn", F.array_join("q", "|").alias("questions"))
+
+
+@query("""WITH h AS (SELECT l_suppkey AS question, l_orderkey AS document, l_orderkey * 8 + l_linenumber AS chunk, CASE WHEN l_linenumber > 2 THEN l_orderkey * 8 END AS parent, l_extendedprice::double AS score FROM lineitem),
+b AS (SELECT question, coalesce(parent, chunk) AS w, max({'s': score, 'c': -chunk, 'd': document}) AS b FROM h WHERE document IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY question, w),
+p AS (SELECT *, (row_number() OVER (PARTITION BY question ORDER BY b.s DESC, w))::int AS place FROM b QUALIFY place <= 5)
+SELECT question, CASE WHEN w % 8 = 0 AND w // 8 % 3 = 0 THEN -b.c ELSE w END AS chunk, b.d AS document, CASE WHEN w % 8 <> 0 THEN 'own ' || w WHEN w // 8 % 3 = 0 THEN 'own ' || -b.c ELSE 'whole ' || w // 8 END AS content, b.s AS score, place FROM p""")
+def drafting_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as hits of their supplier's draft: later lines are children of their order's passage, and some passages and documents are gone."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    chunk = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    hits = lines.select(F.col("l_suppkey").alias("question"), F.col("l_orderkey").alias("document"), chunk.alias("chunk"), F.when(F.col("l_linenumber") > 2, F.col("l_orderkey") * 8).alias("parent"), F.col("l_extendedprice").cast("double").alias("score"))
+    own = lines.select(chunk.alias("chunk"), F.concat(F.lit("own "), chunk).alias("content")).distinct()
+    whole = orders.where("o_orderkey % 3 <> 0").select((F.col("o_orderkey") * 8).alias("chunk"), F.concat(F.lit("whole "), "o_orderkey").alias("content"))
+    return retrieval.drafting_sources(hits, own.unionByName(whole), orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("document")), "question")
