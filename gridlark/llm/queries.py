@@ -7,12 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlark.llm import chat, decontaminate, licenses, pieces, tokens
+from gridlark.llm import alignment, chat, decontaminate, licenses, pieces, tokens
 from gridlark.llm.language import identify
+from gridlark.llm.neighbours import nearest
 from gridlark.llm.quality import quality
 from gridlark.llm.secrets import secret_spans
 from gridlark.llm.simhash import near_duplicates
 from gridlark.llm.toxicity import toxicity
+from gridlark.llm.whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest neighbours of every fiftieth embedding."""
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers correspond in every document."""
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding along eight whitened components."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to function."""
     return {
@@ -85,6 +102,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_toxicity,
             op9_piece_codec,
             op10_language_id,
+            op11_nearest_neighbours,
+            op12_cross_tokenizer_alignment,
+            op13_embedding_whitening,
         )
     }
 

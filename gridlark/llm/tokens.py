@@ -93,6 +93,11 @@ def merged(pieces: list[str], vocabulary: Vocabulary) -> list[int]:
 _PIECES = regex.compile(PATTERN)
 
 
+def pretokens(text: str) -> list[str]:
+    """The pieces of a text that merge apart from each other."""
+    return _PIECES.findall(text)
+
+
 class Counter:
     """Counts batches of texts, remembering what it has merged up to a fixed number of pre-tokens."""
 
