@@ -17,11 +17,21 @@ SCALES = {"천": 1_000, "만": 10_000}
 DOTS, DOT = "·‧・•", "ㆍ"
 
 
+#: White space beyond ASCII, which Java's patterns do not know as such, and signs that parsers here cut at.
+WIDE_BLANKS = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+CUTS = "\u0001\u0002"
+
+
 def blank(text: Column) -> Column:
     """Null as empty text."""
     return F.coalesce(text, F.lit(""))
 
 
+def evened(text: Column) -> Column:
+    """A text to be cut: null as empty, every white space beyond ASCII as a blank, without the signs that mark a cut."""
+    return F.translate(blank(text), WIDE_BLANKS + CUTS, " " * len(WIDE_BLANKS))
+
+
 def altitude_feet(raw: Column) -> Column:
     """Feet of an airspace limit: ground is 0, a flight level counts hundreds, no limit and unreadable text give null."""
     s = F.upper(F.trim(blank(raw)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.operators.notation import blank, metres
+from gridlark.operators.notation import CUTS, evened, metres
 
 #: How a distance, a bracket and the mark of an item are written.
 DISTANCE = r"([0-9][0-9,\.]*)\s*(천|만)?\s*(미터|m|M|킬로미터|km|KM)"
@@ -26,27 +26,47 @@ LOOK_BACK = 40
 COUNTED = r"반\s*경[^)）]{0,20}?[0-9][0-9,\.]*\s*(?:천|만)?\s*(?:미터|m|M)[^)）]{0,20}?\d+\s*호\s*이상"
 COUNTED_LABEL = "호수산정반경(호 기준)"
 #: Forms of the words that say what a number applies to; of the first two the last fit counts.
-HOUSES, ROADS, FROM = r"(\d+호\s*(?:이상|미만)\s*(?:의\s*)?[가-힣]+)", r"([가-힣]{2,}(?:와|과)\s*[가-힣]{2,})\s*에서는", r"([가-힣·\s]{2,24}?)(?:으로부터|로부터|에서부터|와의|과의|경계)"
+HOUSES, ROADS, FROM = r"([0-9]+호\s*(?:이상|미만)\s*(?:의\s*)?[가-힣]+)", r"([가-힣]{2,}(?:와|과)\s*[가-힣]{2,})\s*에서는", r"([가-힣·\s]{2,24}?)(?:으로부터|로부터|에서부터|와의|과의|경계)"
 #: How a slope is written, how far around it an energy source is looked for, and plausible degrees.
 SLOPE, SLOPE_AROUND, DEGREES = r"(?:평균\s*)?경사도[^\n]{0,40}?[0-9]{1,2}\s*도", 150, (5, 45)
 #: Words of each energy source, and those that mark another one.
 SOURCE_WORDS = {"WIND": ("풍력",), "SOLAR": ("태양광", "태양에너지")}
 SOURCE_MARKS = {"WIND": "풍력", "SOLAR": "태양"}
-_CUT = "\u0001"
+_CUT, _ZONE = CUTS
 
 
 def _squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def hits(text: Column, pattern: str) -> Column:
-    """All places of ``pattern`` as structs (before, hit, after); none for null."""
-    marked = F.regexp_replace(F.translate(blank(text), _CUT, ""), f"({pattern})", f"{_CUT}$1{_CUT}")
-    parts = F.split(marked, _CUT)
-    joined = lambda start, n: F.array_join(F.slice(parts, start, n), "")
-    at = lambda i: F.struct(joined(F.lit(1), 2 * i - 1).alias("before"), F.get(parts, 2 * i - 1).alias("hit"), joined(2 * i + 1, F.size(parts)).alias("after"))
-    n = F.floor((F.size(parts) - 1) / 2).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), at)).otherwise(F.array().cast("array<struct<before:string,hit:string,after:string>>"))
+def hits(text: Column, pattern: str, reach: int = LOOK_BACK) -> Column:
+    """All places of ``pattern`` as structs (before, hit, after) with up to ``reach`` characters on either side; none for null.
+
+    A text of n places is cut once; each place looks at a fixed number of its neighbours.
+    """
+    return _places(F.split(F.regexp_replace(evened(text), f"({pattern})", f"{_CUT}$1{_CUT}"), _CUT), reach, F.lit(""))
+
+
+def _places(parts: Column, reach: int, earlier: Column) -> Column:
+    """Places of a cut text, every second part of ``parts``; ``earlier`` is what stands before all of them."""
+
+    def found(cut: Column) -> Column:
+        tails, heads = F.transform(cut, lambda p: F.right(p, F.lit(reach))), F.transform(cut, lambda p: F.left(p, F.lit(reach)))
+        return F.transform(F.array(F.struct(cut.alias("cut"), tails.alias("tails"), heads.alias("heads"))), place_all)
+
+    def place_all(x: Column) -> Column:
+        many = 2 * reach  # of two neighbouring parts one is a hit, and so not empty
+
+        def at(i: Column) -> Column:
+            first = F.greatest(2 * i - many, F.lit(1))
+            before = F.concat(F.when(first == 1, earlier).otherwise(""), F.array_join(F.slice(x["tails"], first, 2 * i - first), ""))
+            after = F.array_join(F.slice(x["heads"], 2 * i + 1, many), "")
+            return F.struct(F.right(before, F.lit(reach)).alias("before"), F.get(x["cut"], 2 * i - 1).alias("hit"), F.left(after, F.lit(reach)).alias("after"))
+
+        n = F.floor((F.size(x["cut"]) - 1) / 2).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), at)).otherwise(F.array().cast("array<struct<before:string,hit:string,after:string>>"))
+
+    return F.get(found(parts), F.lit(0))
 
 
 def target(line: Column) -> Column:
@@ -60,8 +80,7 @@ def _metres(hit: Column) -> Column:
 
 def no_distance(before: Column) -> Column:
     """Whether the words shortly before a number say that it is a height, a width or the like."""
-    near = F.substring(before, F.greatest(F.length(before) - LOOK_BACK + 1, F.lit(1)), F.lit(LOOK_BACK))
-    return near.rlike("|".join(NO_DISTANCE))
+    return F.right(before, F.lit(LOOK_BACK)).rlike("|".join(NO_DISTANCE))
 
 
 def detail(before: Column) -> Column:
@@ -80,33 +99,102 @@ def condition(inner: Column) -> Column:
     return F.when(left == "", "단서").otherwise(left)
 
 
+def _zones(line: Column) -> Column:
+    """A line cut where what its numbers apply to changes, as structs (text, label): after each house count; before the first of them after each place "where"; before that after the first "from".
+
+    The label of the zone before all of these is null: there the words before a number decide.
+    """
+    ended = lambda text, pattern: F.split(F.regexp_replace(text, f"({pattern})", f"$1{_ZONE}"), _ZONE)
+    last = lambda text, pattern: F.regexp_replace(F.element_at(F.regexp_extract_all(text, F.lit(pattern), 1), -1), " ", "")
+
+    def named(parts: Column, pattern: str) -> Column:
+        return F.transform(F.slice(parts, 2, F.size(parts)), lambda text, i: F.struct(text.alias("text"), last(F.get(parts, i), pattern).alias("label")))
+
+    def by_from(text: Column) -> Column:
+        whole = F.regexp_extract(text, FROM, 0)
+        end = F.when(whole == "", F.length(text)).otherwise(F.instr(text, whole) + F.length(whole) - 1)
+        first = F.struct(F.left(text, end).alias("text"), F.lit(None).cast("string").alias("label"))
+        rest = F.struct(F.substring(text, end + 1, F.length(text)).alias("text"), F.left(_squeezed(F.regexp_extract(text, FROM, 1)), F.lit(40)).alias("label"))
+        return F.when(whole == "", F.array(first)).otherwise(F.array(first, rest))
+
+    def by_roads(parts: Column) -> Column:
+        return F.concat(by_from(F.get(parts, F.lit(0))), named(parts, ROADS))
+
+    def by_houses(parts: Column) -> Column:
+        return F.concat(_of(ended(F.get(parts, F.lit(0)), ROADS), by_roads), named(parts, HOUSES))
+
+    return _of(ended(line, HOUSES), by_houses)
+
+
+def _of(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+#: Parts that hold the first forty visible characters of a line: every second one is a number with its unit.
+_FIRST_PARTS = 80
+
+
+def _line_hits(base: Column) -> Column:
+    """The distances (label, metres) of a line outside brackets, in order, each with what it applies to."""
+    mark = F.when(base.rlike(rf"^\s*{DISTANCE}"), "").otherwise(F.regexp_extract(base, rf"^ *(?:{ITEM_MARK[1:]})?", 0))
+    return _of(F.struct(base.alias("base"), mark.alias("mark"), F.substring(base, F.length(mark) + 1, F.length(base)).alias("rest")), _hits_of)
+
+
+def _hits_of(line: Column) -> Column:
+    def in_zones(zones: Column) -> Column:
+        tails = F.concat(F.array(line["mark"]), F.transform(zones, lambda z: F.right(z["text"], F.lit(LOOK_BACK))))
+        return _of(tails, lambda held: F.flatten(F.transform(zones, lambda zone, k: in_zone(zone, k, held))))
+
+    def in_zone(zone: Column, k: Column, tails: Column) -> Column:
+        earlier = F.array_join(F.slice(tails, F.greatest(k + 2 - LOOK_BACK, F.lit(1)), F.least(k + 1, F.lit(LOOK_BACK))), "")
+
+        def of_parts(parts: Column) -> Column:
+            heads = F.transform(F.slice(parts, 1, _FIRST_PARTS), lambda p: F.left(F.regexp_replace(p, r"\s+", " "), F.lit(60)))
+            alone = F.when(line["mark"] == "", detail(line["base"])).otherwise("")  # nothing but the mark stands before the number
+
+            def label(i: Column, held: Column) -> Column:
+                before = F.array_join(F.slice(held, 1, 2 * i + 1), "")
+                bare = F.when(line["mark"] == "", F.regexp_replace(F.trim(before), ITEM_MARK, "")).otherwise(before)
+                return F.when(zone["label"].isNotNull(), zone["label"]).when(before == "", alone).otherwise(F.left(_squeezed(bare), F.lit(40)))
+
+            def told(held: Column) -> Column:
+                found = F.transform(_places(parts, LOOK_BACK, earlier), lambda h, i: F.struct(_metres(h["hit"]).alias("metres"), no_distance(h["before"]).alias("none"), label(i, held).alias("label")))
+                return F.transform(F.filter(found, lambda h: h["metres"].isNotNull() & ~h["none"]), lambda h: F.struct(h["label"].alias("label"), h["metres"].alias("metres")))
+
+            return _of(heads, told)
+
+        return _of(F.split(F.regexp_replace(zone["text"], f"({DISTANCE})", f"{_CUT}$1{_CUT}"), _CUT), of_parts)
+
+    return _of(_zones(line["rest"]), in_zones)
+
+
 def distances(articles: DataFrame, key: str, text: str) -> DataFrame:
     """(key, item, target, detail, metres, sentence) of every distance that an article's items ask to keep.
 
     Distances in brackets are conditions of their own, named after the item's
     first distance; a radius in which houses are counted is marked as such. Of
     equal target and detail in one article the first stays; zero is no distance.
+    White space of any kind separates words. Work grows with a text's length,
+    however many distances it holds.
     """
-    items = articles.select(F.col(key), F.posexplode(F.split(blank(F.col(text)), ITEM)).alias("item", "line"))
-    outer = F.regexp_replace(F.col("line"), BRACKET, "")
-    kept = lambda text: F.filter(hits(text, DISTANCE), lambda h: _metres(h["hit"]).isNotNull() & ~no_distance(h["before"]))
-    cut = items.withColumn("outer", kept(outer)).withColumn("whole", outer)
-    own = lambda before: detail(F.when(before == "", F.col("whole")).otherwise(before))
-    cut = cut.withColumn("parent", F.when(F.size("outer") > 0, own(F.col("outer")[0]["before"])).otherwise(""))
-    plain = F.transform("outer", lambda h: F.struct(F.lit("").alias("inner"), h.alias("h")))
-    bracketed = F.flatten(F.transform(F.regexp_extract_all("line", F.lit(BRACKET), 1), lambda b: F.transform(kept(b), lambda h: F.struct(b.alias("inner"), h.alias("h")))))
-    each = cut.select(key, "item", "line", "whole", "parent", F.posexplode(F.concat(plain, bracketed)).alias("at", "f"))
-    inner, hit = F.col("f.inner"), F.col("f.h.hit")
-    named = F.when(F.col("parent") != "", F.concat(F.left("parent", F.lit(40)), F.lit("("), condition(inner), F.lit(")"))).otherwise(condition(inner))
-    told = (
-        F.when(inner == "", own(F.col("f.h.before")))
-        .when(inner.rlike(COUNTED), COUNTED_LABEL)
-        .when(inner.rlike(r"\d+호\s*(?:이상|미만)"), detail(inner))
-        .otherwise(named)
-    )
-    rows = each.select(key, "item", "at", target(F.col("line")).alias("target"), told.alias("detail"), _metres(hit).alias("metres"), _squeezed(F.col("line")).alias("sentence"))
-    first = rows.groupBy(key, "target", "detail").agg(F.min(F.struct("item", "at", "metres", "sentence")).alias("f"))
-    return first.select(key, "f.item", "target", "detail", "f.metres", "f.sentence")
+    items = articles.select(F.col(key), F.posexplode(F.split(evened(F.col(text)), ITEM)).alias("item", "line"))
+    cut = items.withColumn("plain", _line_hits(F.regexp_replace("line", BRACKET, "")))
+    cut = cut.withColumn("parent", F.coalesce(F.get("plain", F.lit(0))["label"], F.lit("")))
+
+    def bracketed(inner: Column) -> Column:
+        named = F.when(F.col("parent") != "", F.concat(F.left("parent", F.lit(40)), F.lit("("), condition(inner), F.lit(")"))).otherwise(condition(inner))
+        told = F.when(inner.rlike(COUNTED), COUNTED_LABEL).when(inner.rlike(r"[0-9]+호\s*(?:이상|미만)"), detail(inner)).otherwise(named)
+        kept = F.filter(hits(inner, DISTANCE), lambda h: _metres(h["hit"]).isNotNull() & ~no_distance(h["before"]))
+        return _of(told, lambda label: F.transform(kept, lambda h: F.struct(label.alias("label"), _metres(h["hit"]).alias("metres"))))
+
+    inside = F.flatten(F.transform(F.regexp_extract_all("line", F.lit(BRACKET), 1), bracketed))
+    each = cut.select(key, "item", "line", F.concat("plain", inside).alias("all"))
+    labels = F.transform("all", lambda x: x["label"])
+    first = _of(labels, lambda held: F.transform(F.array_distinct(held), lambda d: F.get("all", (F.array_position(held, d) - 1).cast("int"))))
+    rows = each.select(key, "item", target(F.col("line")).alias("target"), _squeezed(F.col("line")).alias("sentence"), F.posexplode(first).alias("at", "f"))
+    one = rows.groupBy(key, "target", F.col("f.label").alias("detail")).agg(F.min(F.struct("item", "at", F.col("f.metres").alias("metres"), "sentence")).alias("r"))
+    return one.select(key, "r.item", "target", "detail", "r.metres", "r.sentence")
 
 
 def slope_limits(articles: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -118,5 +206,5 @@ def slope_limits(articles: DataFrame, key: str, text: str, source: str) -> DataF
     around = lambda h: F.concat(F.right(h["before"], F.lit(SLOPE_AROUND)), h["hit"], F.left(h["after"], F.lit(SLOPE_AROUND)))
     degrees = lambda h: F.regexp_extract(h["hit"], r"([0-9]{1,2})\s*도$", 1).cast("int")
     fits = lambda h: degrees(h).between(*DEGREES) & (around(h).rlike(mine) | ~F.col(text).rlike(others))
-    found = F.transform(F.filter(hits(F.col(text), SLOPE), fits), degrees)
+    found = F.transform(F.filter(hits(F.col(text), SLOPE, SLOPE_AROUND), fits), degrees)
     return articles.where(F.col(text).rlike(mine)).select(key, F.get(found, F.lit(0)).alias("degrees")).where("degrees IS NOT NULL")
