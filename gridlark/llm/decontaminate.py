@@ -13,9 +13,9 @@ one window. Windows and items get weighted 64-bit SimHashes. Four blocks of
 sixteen bits are indexed: the items under every value within two bits, the
 windows under every value within one bit. Of the fifteen bits that may differ
 at most three fall into some block, so every pair within the radius meets.
-Candidates of the same size are then held to the exact weighted similarity: the
-largest share of the item's weight that stands in an item-sized window, over
-all windows that begin within one length of the candidate.
+Candidate pairs of a document and an item are then held to the exact weighted
+similarity: the largest share of the item's weight that stands in an item-sized
+window, over all windows of the document, by one running sum.
 
 Cases: null and empty texts have no shingles, on either side, and never match;
 a null id is reported like any other; repeated rows are reported once; two
@@ -31,6 +31,7 @@ from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import broadcast_if_small, checkpointed, free_name, plain_words
@@ -52,11 +53,19 @@ def shingle_hashes(words: Column, size: int = SHINGLE) -> Column:
     return F.when(last >= 0, each).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(found: str) -> Column:
+def simhash_of(found: Column) -> Column:
     """The weighted SimHash of an array of (h, w)."""
-    return F.expr(
-        f"coalesce(aggregate(sequence(0, 63), 0L, (fp, b) -> fp | if(aggregate({found}, 0L, (s, x) -> s + if(getbit(x.h, b) = 1, x.w, -x.w)) > 0, shiftleft(1L, b), 0L)), 0L)"
-    )
+
+    def bit(fp: Column, b: Column) -> Column:
+        total = F.aggregate(found, F.lit(0).cast("long"), lambda s, x: s + F.when(F.getbit(x["h"], b) == 1, x["w"]).otherwise(-x["w"]))
+        return fp.bitwiseOR(F.when(total > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
+
+
+def simhash(found: str) -> Column:
+    """The weighted SimHash of a column of (h, w)."""
+    return F.coalesce(simhash_of(F.col(found)), F.lit(0).cast("long"))
 
 
 def item_sizes(benchmark: DataFrame) -> list[int]:
@@ -110,21 +119,25 @@ def hits(docs: DataFrame, shingles: DataFrame, size: int = SHINGLE) -> DataFrame
 
 
 def windows(found: DataFrame) -> DataFrame:
-    """Item-sized windows (doc_id, tid, start, len, fingerprint ``fp``), with the hits (pos, h, w) within one length of them (``near``)."""
+    """Item-sized windows (doc_id, tid, start, len) with the fingerprint ``fp`` of the hits inside."""
     starts = F.expr("""
         flatten(transform(hits, (x, i) -> transform(
             filter(x.places, p -> i = 0 OR NOT (get(hits, i - 1).pos = x.pos - 1
                 AND array_contains(get(hits, i - 1).places, named_struct('len', p.len, 'off', p.off - 1)))),
             p -> named_struct('start', x.pos - p.off, 'len', p.len, 'i', i))))
     """)
-    near = F.expr("""
-        transform(
-            filter(slice(hits, greatest(1, at.i + 2 - 2 * at.len), 4 * at.len), x -> x.pos > at.start - at.len AND x.pos < at.start + 2 * at.len),
-            x -> named_struct('pos', x.pos, 'h', x.h, 'w', x.w))
+    inside = F.expr("""
+        array_sort(transform(
+            filter(slice(hits, greatest(1, at.i + 2 - at.len), 2 * at.len), x -> x.pos >= at.start AND x.pos < at.start + at.len),
+            x -> named_struct('h', x.h, 'w', x.w)))
     """)
-    placed = found.select("doc_id", "tid", "hits", F.explode(starts).alias("at")).select("doc_id", "tid", "at.start", "at.len", near.alias("near"))
-    inside = "array_distinct(transform(filter(near, x -> x.pos >= start AND x.pos < start + len), x -> named_struct('h', x.h, 'w', x.w)))"
-    return placed.withColumn("inside", F.expr(inside)).withColumn("fp", simhash("inside")).drop("inside")
+    once = lambda held: F.filter(held, lambda x, k: (k == 0) | (F.get(held, k - 1)["start"] != x["start"]) | (F.get(held, k - 1)["len"] != x["len"]))
+    distinct = F.get(F.transform(F.array(F.array_sort(starts)), once), F.lit(0))  # several runs can stand for the same window
+    placed = found.select("doc_id", "tid", "hits", F.explode(distinct).alias("at"))
+    # both steps bind what they read, so that it is made once and not for each bit
+    by_shingle = F.transform(F.array(inside), lambda held: F.filter(held, lambda x, k: (k == 0) | (F.get(held, k - 1)["h"] != x["h"])))
+    fp = F.transform(by_shingle, lambda held: simhash_of(held))
+    return placed.select("doc_id", "tid", "at.start", "at.len", F.get(fp, F.lit(0)).alias("fp"))
 
 
 def _within(bits: int) -> list[int]:
@@ -138,18 +151,33 @@ def _blocks(rows: DataFrame, fp: str, flips: int, keep: list[str]) -> DataFrame:
     return each.withColumn("flip", F.explode(F.array(*map(F.lit, _within(flips))))).withColumn("v", value.bitwiseXOR(F.col("flip"))).drop("flip")
 
 
-def _best_window() -> Column:
-    """(common, -start) of the best window around a candidate: ``near`` beside the item's shingles ``target``.
+def best_windows(pairs: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, tid, no, common, start): for each pair of a document and an item the item-sized window that holds most of the item's weight, of equals the first.
 
-    ``own`` are the hits that the item has, each with the place of the same shingle before it, so a
-    shingle that stands twice in a window counts once.
+    A window is scored where it begins with a shared shingle. A shingle counts
+    once in a window: at ``pos``, it adds its weight to the windows that begin
+    after both its place before and ``pos - len``, up to ``pos``. So the scores
+    of all windows are one running sum over twice as many steps as there are
+    hits, however long the item is.
     """
-    own = "filter(near, x -> array_contains(target_hs, x.h))"
-    marked = "transform(own, (x, i) -> named_struct('pos', x.pos, 'w', x.w, 'was', coalesce(array_max(transform(filter(slice(own, 1, i), y -> y.h = x.h), y -> y.pos)), -1)))"
-    begins = "filter(seen, b -> b.pos > start - len AND b.pos < start + len)"
-    held = "aggregate(seen, 0L, (s, x) -> s + if(x.pos >= b.pos AND x.pos < b.pos + len AND x.was < b.pos, x.w, 0L))"
-    best = f"array_max(transform({begins}, b -> named_struct('common', {held}, 'back', -b.pos)))"
-    return F.expr(f"get(transform(array(named_struct('own', {own})), o -> get(transform(array({marked.replace('own', 'o.own')}), seen -> {best}), 0)), 0)")
+    item = texts.select("no", F.explode("found").alias("x")).select("no", "x.h")
+    held = found.join(broadcast_if_small(pairs.select(F.col("doc_id").alias("d"), F.col("tid").alias("t")).distinct()), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t")), "left_semi")
+    rows = held.select("doc_id", "tid", F.explode("hits").alias("x")).select("doc_id", "tid", "x.pos", "x.h", "x.w")
+    other = pairs.select(F.col("doc_id").alias("d"), F.col("tid").alias("t"), "no", "len")
+    met = rows.join(broadcast_if_small(other), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t"))).join(broadcast_if_small(item), ["no", "h"])
+    key = ["doc_id", "tid", "no"]
+    was = F.lag("pos").over(W.partitionBy(*key, "h").orderBy("pos"))
+    seen = met.repartition(*key).select(*key, "pos", "w", F.greatest(F.coalesce(was, F.lit(-1)), F.col("pos") - F.col("len")).alias("after"))
+    steps = F.array(
+        F.struct((F.col("after") + 1).alias("at"), F.col("w").alias("w"), F.lit(False).alias("begins")),
+        F.struct((F.col("pos") + 1).alias("at"), (-F.col("w")).alias("w"), F.lit(False).alias("begins")),
+        F.struct(F.col("pos").alias("at"), F.lit(0).cast("long").alias("w"), F.lit(True).alias("begins")),
+    )
+    each = seen.select(*key, F.explode(steps).alias("s")).select(*key, "s.*")
+    common = F.sum("w").over(W.partitionBy(*key).orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow))
+    scored = each.select(*key, "at", "begins", common.alias("common")).where("begins")
+    best = F.max(F.struct("common", (-F.col("at")).alias("back")))
+    return scored.groupBy(*key).agg(best.alias("best")).select(*key, "best.common", (-F.col("best.back")).alias("start"))
 
 
 def _matches(docs: DataFrame, benchmark: DataFrame, threshold: float, radius: int) -> tuple[DataFrame, DataFrame] | None:
@@ -160,17 +188,17 @@ def _matches(docs: DataFrame, benchmark: DataFrame, threshold: float, radius: in
     found, named = [], []
     for size in item_sizes(benchmark):
         items, texts, shingles = _item_shingles(benchmark, size)
-        at = windows(hits(words, shingles, size))
+        held = checkpointed(hits(words, shingles, size))
         index = _blocks(texts.withColumn("item_fp", simhash("found")), "item_fp", ITEM_FLIPS, ["no", "len"])
         near = (
-            _blocks(at, "fp", WINDOW_FLIPS, ["doc_id", "tid", "start", "len", "near"])
+            _blocks(windows(held), "fp", WINDOW_FLIPS, ["doc_id", "tid", "len"])
             .join(broadcast_if_small(index), ["len", "j", "v"])
             .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-            .dropDuplicates(["doc_id", "tid", "no", "start", "len"])
         )
-        target = texts.select("no", F.expr("transform(found, x -> x.h)").alias("target_hs"), F.expr("aggregate(found, 0L, (s, x) -> s + x.w)").alias("whole"))
-        scored = near.join(broadcast_if_small(target), "no").withColumn("best", _best_window())
-        found.append(scored.select("doc_id", "tid", "no", (F.col("best.common") / F.col("whole")).alias("s"), (-F.col("best.back")).alias("start")).where(F.col("s") >= threshold))
+        pairs = checkpointed(near.select("doc_id", "tid", "no", "len").distinct())
+        whole = texts.select("no", F.expr("aggregate(found, 0L, (s, x) -> s + x.w)").alias("whole"))
+        scored = best_windows(pairs, held, texts).join(broadcast_if_small(whole), "no")
+        found.append(scored.select("doc_id", "tid", "no", (F.col("common") / F.col("whole")).alias("s"), "start").where(F.col("s") >= threshold))
         named.append(items)
     if not found:
         return None
