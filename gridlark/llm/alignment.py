@@ -44,7 +44,7 @@ from gridlark.llm.common import quoted, shared_folder
 #: Cells of a stripe's count matrix, eight bytes each.
 STRIPE_CELLS = 4_000_000
 #: Characters and documents of a batch (its documents are numbered in 16 bits), and segments a worker remembers between batches.
-BATCH_CHARS, BATCH_DOCS, MEMO = 2_000_000, 65_000, 300_000
+BATCH_CHARS, BATCH_DOCS, MEMO = 1_000_000, 65_000, 150_000
 #: Packed bytes of a stripe's links that go to one part, and bytes of sums that a task holds.
 PART_BYTES, HELD_BYTES = 64 << 20, 64 << 20
 #: White space as byte-level vocabularies see it.
