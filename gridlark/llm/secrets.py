@@ -148,7 +148,7 @@ def bindings(text: str) -> list[Binding]:
                 expects = False
             else:
                 value = None
-            target = subscript = text[a:b] if b - a <= 200 else None
+            target = subscript = text[a:b]
         elif kind == "ref":
             if value is not None and (expects or depth > began):
                 value.names.append(m.group().strip("${ }"))
