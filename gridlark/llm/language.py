@@ -9,7 +9,8 @@ Training reads every document of the training folds. Each task sends one
 partial bundle per language, which are summed by language and dimension; the
 prototypes (``DIM`` numbers for each language) are all that reaches the driver.
 
-Cases: a null text, or one without a letter, is ``und`` with score 0; so is
+Cases: a null text, or one without a letter (marks alone are none), is ``und``
+with score 0; so is
 every text when nothing could be learned; ties go to the first language in
 alphabetical order; documents without a lang are never learned from; texts are
 read whole; repeated rows are read one by one; an empty table gives no rows.
@@ -17,6 +18,7 @@ read whole; repeated rows are read one by one; an empty table gives no rows.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,21 +34,23 @@ MEMO, PARTIAL = 50_000, 256
 SPACE = 32
 
 
-def _letters() -> np.ndarray:
-    """Code point to its lower-cased letter, or a space."""
-    table = np.full(0x110000, SPACE, np.int64)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Code point to its lower-cased letter, the mark that it is (vowel signs and accents belong to words), or a space; and which are letters."""
+    table, letter = np.full(0x110000, SPACE, np.int64), np.zeros(0x110000, bool)
     for c in range(0x110000):
         if chr(c).isalpha():
             low = chr(c).lower()
-            table[c] = ord(low) if len(low) == 1 else c
-    return table
+            table[c], letter[c] = ord(low) if len(low) == 1 else c, True
+        elif unicodedata.category(chr(c)) in ("Mn", "Mc"):
+            table[c] = c
+    return table, letter
 
 
 class Space:
     """Letter and trigram vectors, the same in every process."""
 
     def __init__(self) -> None:
-        self.table = _letters()
+        self.table, self.letter_at = _letters()
         self.letters: dict[int, np.ndarray] = {}
         self.places: dict[int, int] = {}
         self.vectors = np.empty((1024, DIM), np.int8)
@@ -156,7 +160,7 @@ def predict(docs: DataFrame, prototypes: DataFrame, keep: list[str] | None = Non
         size = np.linalg.norm(made, axis=1)
         cosine = made @ matrix.T / np.where(size > 0, size, 1)[:, None]
         best = cosine.argmax(axis=1)
-        lettered = [bool(t) and bool((space.table[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")] != SPACE).any()) for t in texts]
+        lettered = [bool(t) and bool(space.letter_at[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")].any()) for t in texts]
         return [(langs[b], float(min(1.0, max(0.0, c[b])))) if ok else ("und", 0.0) for b, c, ok in zip(best, cosine, lettered, strict=True)]
 
     return map_texts(docs, run, "lang_pred string, score double", keep)
