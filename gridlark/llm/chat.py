@@ -11,8 +11,8 @@ conversation up to its last reply, and in that reply's place the last reply of
 the conversation beside it (2k and 2k + 1), which answers something else. The
 place of the fork is left to the prefix search.
 
-Cases: turns are ordered by number, then role, then text, and exact repeats
-count once; a null role is the user's and a null text is empty; a pair with
+Cases: turns are ordered by number (those without one first), then role, then
+text, and exact repeats count once; a null role is the user's and a null text is empty; a pair with
 one side only keeps its row (no prefix, the other completion empty, ``paired``
 false), and so does a conversation without a reply to swap; equal sides give
 two empty completions; rows without a conversation id belong to no
@@ -138,7 +138,7 @@ def sql() -> str:
     return f"""
 WITH x AS (
   SELECT DISTINCT conv_id AS c, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn, role, text) AS i FROM x),
+n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM x),
 r AS (SELECT c, max(i) AS at, arg_max(text, i) AS reply FROM n WHERE role = '{LEARNED}' GROUP BY c),
 two AS (
   SELECT c, 0 AS side, i, role, text FROM n
