@@ -15,6 +15,7 @@ other columns, of any name, are not looked at and stay in ``kept_documents``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import free_name, map_texts
+from gridlark.llm.common import free_name, map_texts, shared_folder
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, "
@@ -178,9 +179,14 @@ def ablation(ledger_df: DataFrame, policies: dict[str, tuple[str, ...]] = POLICI
     )
 
 
+def new_ledger(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """A ledger of ``docs`` stored in a folder of its own that all executors share."""
+    return store_ledger(docs, f"{shared_folder(docs.sparkSession)}/ledger-{uuid.uuid4().hex}", keep)
+
+
 def quality(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """One row per document: base measurements, base verdict and the policy's verdict."""
-    rows = ledger(docs)
+    """One row per document: base measurements, base verdict and the policy's verdict, read from a stored ledger."""
+    rows = new_ledger(docs)
     base = F.col("failed_bits").bitwiseAND(F.lit(policy_mask(BASE_RULES)).cast("long")) != 0
     return rows.select(
         "doc_id",
@@ -193,3 +199,44 @@ def quality(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
         (~base & kept(F.col("failed_bits"), policy)).alias("kept"),
         "failed_bits",
     )
+
+
+def _measures_sql() -> str:
+    """CTEs that measure every document again in SQL: ``m`` has a row for each, with ``failed_bits``."""
+    word = r"'[^\x20\x09-\x0D]+'"
+    rules = {
+        "too_few_words": "n_words < {k}",
+        "repeated_windows": "100 * n_repeat_words > {k} * n_words",
+        "too_many_symbols": "100 * n_symbols > {k} * greatest(n_words, 1)",
+        "repeated_lines": "n_dup_lines >= 3 AND 100 * n_dup_lines > {k} * n_lines",
+        "shouting": "100 * n_upper_words > {k} * n_words",
+        "odd_word_length": "word_chars > {k} * n_words OR word_chars < 2 * n_words",
+        "low_variety": "n_distinct_words * n_distinct_words < {k} * n_words",
+    }
+    bits = " + ".join(f"CASE WHEN {rules[n].format(k=r.limit)} THEN {1 << r.bit} ELSE 0 END" for n, r in RULES.items())
+    return f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, unnest(x) AS w, unnest(range(1, len(x) + 1)) AS i FROM (SELECT r, regexp_extract_all(text, {word}) AS x FROM t)),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w, w1, w2) AS n FROM (
+  SELECT r, i, w, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY r ORDER BY i)) WHERE w2 IS NOT NULL),
+d AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM g, (SELECT unnest([0, 1, 2]) AS k) WHERE n >= 2 GROUP BY r),
+l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS x FROM t) WHERE regexp_matches(x, {word}) GROUP BY r),
+c AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars, count(DISTINCT w) AS n_distinct_words, count(*) FILTER (regexp_matches(w, '[A-Z]') AND NOT regexp_matches(w, '[a-z]')) AS n_upper_words FROM w GROUP BY r),
+q AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::bigint AS word_chars, length(regexp_replace(text, '[^{SYMBOLS}]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_upper_words, 0) AS n_upper_words, coalesce(n_distinct_words, 0) AS n_distinct_words
+  FROM t LEFT JOIN c USING (r) LEFT JOIN l USING (r) LEFT JOIN d USING (r)),
+m AS (SELECT *, ({bits})::bigint AS failed_bits FROM q)"""
+
+
+def sql() -> str:
+    """``quality`` as DuckDB SQL over ``documents``."""
+    base = policy_mask(BASE_RULES)
+    return f"""{_measures_sql()}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & {base} <> 0 AS base_failed, failed_bits & {policy_mask(POLICIES[CURRENT])} = 0 AS kept, failed_bits FROM m"""
+
+
+def ablation_sql() -> str:
+    """``ablation`` as DuckDB SQL over ``documents``."""
+    grid = ", ".join(f"('{v}', '{n}', {policy_mask(names)}, {1 << RULES[n].bit})" for v, names in POLICIES.items() for n in names)
+    return f"""{_measures_sql()}
+SELECT policy, rule, count(*) FILTER (failed_bits & bit <> 0) AS failed, count(*) FILTER (failed_bits & mask = bit) AS rejected_alone, count(*) AS policy_rejects
+FROM m, (VALUES {grid}) p(policy, rule, mask, bit) WHERE failed_bits & mask <> 0 GROUP BY policy, rule"""

@@ -7,10 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlark.llm import alignment, chat, decontaminate, licenses, pieces, tokens
+from gridlark.llm import alignment, chat, decontaminate, licenses, pieces, quality, tokens
 from gridlark.llm.language import identify
 from gridlark.llm.neighbours import nearest
-from gridlark.llm.quality import quality
 from gridlark.llm.secrets import secret_spans
 from gridlark.llm.simhash import near_duplicates
 from gridlark.llm.toxicity import toxicity
@@ -34,7 +33,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged by the current quality policy."""
-    return quality(table(spark, sf_dir, "documents"))
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version costs, from a stored ledger of all documents."""
+    return quality.ablation(quality.new_ledger(table(spark, sf_dir, "documents"), []))
 
 
 def op4_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op1_secret_scan,
             op2_license_scan,
             op3_quality_rules,
+            quality_ablation,
             op4_chat_preferences,
             op5_decontamination,
             op6_token_counts,
@@ -113,6 +118,8 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
     return {
         "op2_license_scan": licenses.sql(),
+        "op3_quality_rules": quality.sql(),
+        "quality_ablation": quality.ablation_sql(),
         "op4_chat_preferences": chat.sql(),
         "op5_decontamination": decontaminate.sql(),
     }
