@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ARROW = {
     "long": pa.int64(),
@@ -67,11 +68,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z alone, leaving every other character as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def plain_words(text: Column) -> Column:
     """Lower-cased runs of digits, letters and everything beyond ASCII; null gives no words.
 
@@ -101,8 +97,7 @@ def map_texts(
     """
     keep = ["doc_id"] if keep is None else keep
     own = [quoted(c) for c in keep]
-    kept = ", ".join("`{}` {}".format(f.name.replace("`", "``"), f.dataType.simpleString()) for f in docs.select(*own).schema)
-    full = f"{kept}, {schema}" if kept else schema
+    full = T.StructType([*docs.select(*own).schema, *T.StructType.fromDDL(schema)])  # kept columns may hold fields of any name
     names, kinds = zip(*(c.split() for c in schema.split(",")), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
