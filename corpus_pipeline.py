@@ -2,14 +2,14 @@
 
 Every stage reads what its predecessor kept, as Parquet, and all but the last
 return the columns of ``documents``. The folders of earlier stages are removed
-once the last one is written.
+once the last one is written, and all of them if a stage fails.
 
 Cases: null texts count as empty and fail the quality rules; rows with a null id
 give way to near duplicates with an id, and one row stays of a group without
 ids; a leaking text is dropped alone, not with other rows under its id; of tied
 rows (same id and text) the first by the other columns stays; very long texts go
 through whole; an empty table stays empty; extra columns pass through, whatever
-their names.
+their names and types, nested ones too.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlark.llm import pieces, secrets
 from gridlark.llm.common import free_name, quoted, shared_folder
@@ -38,19 +39,27 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows are told apart by id and text, so different texts under one id each
     stand for their own group; of rows with the same id and text the first by
-    their other plain columns stays.
+    those of their other columns that have an order stays. Repeated rows meet
+    in the tasks that read them first, so one row of each is shuffled by a task.
     """
     tid, row, order, key = (free_name(docs, n) for n in ("text_hash", "whole_row", "row_order", "row_key"))
     found = grouped(docs.select("doc_id", F.xxhash64("text").alias(tid), "text"), ["doc_id", tid])
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col(tid).alias("text"))).alias("lead")
     leads = found.groupBy("root").agg(lead).select(_row_key(F.col("lead.id"), F.col("lead.text")).alias(key))
-    plain = [quoted(f.name) for f in docs.schema if f.name != "doc_id" and not hasattr(f.dataType, "keyType")]
+    plain = [quoted(f.name) for f in docs.schema if f.name != "doc_id" and _ordered(f.dataType)]
     whole = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     keyed = docs.select(_row_key(F.col("doc_id"), F.xxhash64("text")).alias(key), whole.alias(row), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(plain)]).alias(order))
-    one = keyed.join(leads, key).groupBy(key).agg(F.min_by(row, order).alias(row))  # one key for both, so the texts are shuffled once
+    one = keyed.groupBy(key).agg(F.min_by(row, order).alias(row)).join(leads, key)  # one key for both, so the texts are shuffled once
     return one.select(*[F.col(row)[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)])
 
 
+def _ordered(kind: T.DataType) -> bool:
+    """Whether values of a type can be compared: not if a map or a variant stands in it, at any depth."""
+    if isinstance(kind, T.StructType):
+        return all(_ordered(f.dataType) for f in kind)
+    return _ordered(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def _row_key(doc_id: Column, text_hash: Column) -> Column:
     """One text for an id, or none, and a text's hash."""
     return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text_hash.cast("string"))
@@ -94,11 +103,15 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     at = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
-        docs = spark.read.parquet(f"{at}/{k}")
-    for k in range(len(STAGES) - 1):
-        remove(spark, f"{at}/{k}")
+    stale = [at]
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+            docs = spark.read.parquet(f"{at}/{k}")
+        stale = [f"{at}/{k}" for k in range(len(STAGES) - 1)]
+    finally:
+        for folder in stale:
+            remove(spark, folder)
     return docs
 
 
