@@ -167,20 +167,22 @@ def cells_inside(shapes: DataFrame, key: str, ring: str, side: float) -> DataFra
     return spans.withColumn("_first", first).withColumn("_last", last).where("_first <= _last").select(key, F.explode(F.sequence("_first", "_last")).alias("i"), "j")
 
 
-def cells_near(shapes: DataFrame, key: str, points: str, reach: float, side: float, closed: bool = True) -> DataFrame:
+def cells_near(shapes: DataFrame, key: str, points: str, reach: float | Column, side: float, closed: bool = True) -> DataFrame:
     """(key, i, j) of the metric cells whose centres lie within ``reach`` of a line through ``points``: buffers, corridors and setbacks.
 
-    ``closed`` joins the last point to the first; one point alone gives a
-    circle. Long edges are cut into pieces of twice the reach, so the cells
+    ``reach`` is a number or a column of the shapes. ``closed`` joins the last
+    point to the first; one point alone gives a circle. Long edges are cut into pieces of twice the reach, so the cells
     tried are a small multiple of those found, however long or slanted an edge.
     """
     at, pair = F.col(points), F.arrays_zip(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))).alias("a"), F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))).alias("b"))
     edges = F.when(F.size(at) > 1, _edges(at) if closed else pair).otherwise(_edges(at))
-    e = shapes.where(F.size(at) > 0).select(key, F.explode(edges).alias("_e")).select(key, *[F.col(f"_e.{p}.{d}").alias(f"_{p}{d}") for p in "ab" for d in "xy"])
+    far_out = reach if isinstance(reach, Column) else F.lit(float(reach))
+    e = shapes.where(F.size(at) > 0).select(key, far_out.alias("_reach"), F.explode(edges).alias("_e")).select(key, "_reach", *[F.col(f"_e.{p}.{d}").alias(f"_{p}{d}") for p in "ab" for d in "xy"])
+    reach = F.col("_reach")
     n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("_bx") - F.col("_ax"), F.col("_by") - F.col("_ay")) / (2 * reach)).cast("int"))
     part = e.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     spot = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * k / F.col("_n")
-    part = part.select(key, *[spot(f"_a{d}", f"_b{d}", F.col("_k") + s).alias(f"_{d}{s}") for d in "xy" for s in (0, 1)])
+    part = part.select(key, "_reach", *[spot(f"_a{d}", f"_b{d}", F.col("_k") + s).alias(f"_{d}{s}") for d in "xy" for s in (0, 1)])
     cells = lambda d: F.sequence(F.floor((F.least(f"_{d}0", f"_{d}1") - reach) / side).cast("int"), F.floor((F.greatest(f"_{d}0", f"_{d}1") + reach) / side).cast("int"))
     tried = part.withColumn("i", F.explode(cells("x"))).withColumn("j", F.explode(cells("y")))
     x, y, dx, dy = (F.col("i") + 0.5) * side, (F.col("j") + 0.5) * side, F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
