@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlark.operators.chunking import chunk_windows
+from gridlark.operators.notation import CUTS, evened
+
 #: Where an article, a paragraph of it and an annex begin, and an article's number and title.
 ARTICLE, PARAGRAPH, ANNEX = r"(?im)(?:^|\n)\s*(제\s*\d+\s*조|Article\s*\d+)", r"(?m)(?:^|\n)\s*(?:[①-⑯]|\d+\.\s)", r"(?m)(?:^|\n)\s*(별지|별표|특약|부속서|첨부)"
 HEAD = r"(?i)^\s*(?:제\s*(\d+)\s*조|Article\s*(\d+))\s*[(\[（【]?([^)\]）】\n]{0,40})[)\]）】]?"
 #: Fixed value: characters that the paragraphs of one child may have together.
-CHILD = 400
+CHILD, CHILD_OVERLAP = 400, 80
+#: Parts of a long head, its title, and what stands before tables.
+HEAD_SIZE, HEAD_OVERLAP, HEAD_TITLE, TABLES = 1_500, 200, "계약 정보", "\n\n[표 데이터]\n"
+#: Words of each topic of a clause, of the law that governs it, of the side that it favours, and of industries in names of projects.
+TOPICS = {
+    "비밀유지": ("비밀", "기밀", "confidential", "disclosure", "secrecy"), "손해배상": ("손해배상", "배상", "indemnification", "indemnity", "liability", "damages"), "준거법": ("준거법", "governing law", "applicable law"),
+    "분쟁해결": ("분쟁해결", "중재", "소송", "관할", "dispute resolution", "arbitration", "jurisdiction"), "IP귀속": ("지식재산", "특허", "저작권", "intellectual property", "patent", "copyright", "성과물"),
+    "용역대금": ("대금", "지급", "금액", "payment", "fee", "invoice", "단가"), "검수": ("검수", "인수", "검사", "acceptance", "inspection"), "계약기간/갱신": ("기간", "갱신", "기간 만료", "유효기간", "term", "renewal", "expiration"),
+    "해제/해지": ("해제", "해지", "termination", "terminate"), "불가항력": ("불가항력", "force majeure"), "권리의무양도": ("양도", "transfer", "assignment", "assign"), "하도급제한": ("하도급", "재위탁", "subcontract"),
+    "하자보수": ("하자보수", "하자 담보", "하자보증", "warranty", "defect"), "이사지명권": ("이사 지명", "이사 선임", "board nominee", "appoint director"), "우선매수권": ("우선매수", "우선 매수", "right of first refusal"),
+    "동반매도권": ("동반매도", "동반 매도", "tag-along", "tag along"), "강제매도권": ("강제매도", "강제 매도", "drag-along", "drag along"), "교착상태": ("교착", "deadlock"),
+    "진술보장": ("진술 및 보장", "진술보장", "representations and warranties"), "경업금지": ("경업금지", "경업 금지", "non-compete", "non compete"), "선행조건": ("선행조건", "조건 선행", "conditions precedent"),
+}
+LAWS = {"대한민국": ("대한민국", "Korean Law", "laws of Korea", "laws of the Republic of Korea"), "영국": ("England", "영국법", "laws of England"), "뉴욕주": ("New York", "뉴욕주법", "laws of New York")}
+BIASES = {"pro-buyer": ("갑의 승인", "발주자의 서면", "매수인의 동의", "sole discretion of Buyer", "written consent of Buyer"), "pro-seller": ("을은 책임을 지지", "수급인의 면책", "seller shall not be liable", "limitation of liability of Seller")}
+INDUSTRIES = {"태양광": ("태양광", "solar", "염해", "증도"), "풍력": ("풍력", "wind")}
 #: Kinds of documents by the way in which they are cut.
 STRATEGIES = {"contract": ("contract", "epc", "ppa", "om", "pf", "equity_sale"), "report": ("report", "supervision", "permit"), "financial": ("financial",)}
 #: Where a round of addenda begins, words of a transition and of power projects, and when a round takes effect.
 ROUND = r"부\s*칙\s*(?:[(（<]\s*(?:조례\s*제\s*\d+\s*호\s*,\s*)?(\d{4})\s*[·.\-]\s*(\d{1,2})\s*[·.\-]\s*(\d{1,2})\s*\.?\s*[)）>])?"
 TRANSITION, POWER = "경과조치", "발전사업허가|전기사업법|풍력|태양에너지|재생에너지"
 AT_ONCE, AFTER_DAYS, ON_DAY = r"공포한?\s*날부터\s*시행", r"공포\s*후\s*(\d+)\s*일이?\s*지난\s*날부터\s*시행", r"(\d{4})\s*년\s*(\d{1,2})\s*월\s*(\d{1,2})\s*일부터\s*시행"
-_CUT = "\u0001"
+_CUT, _PART = CUTS
 
 
 def strategy(kind: Column) -> Column:
@@ -33,8 +51,8 @@ def articles(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     ``number`` is null and the role ``standalone`` for the head; an article that names an annex is of kind ``annex``.
     """
-    marked = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), ARTICLE, f"{_CUT}$0")
-    parts = docs.where(F.col(text).rlike(ARTICLE)).select(key, F.posexplode(F.split(marked, _CUT)).alias("no", "_raw"))
+    marked = F.regexp_replace(evened(F.col(text)), ARTICLE, f"{_CUT}$0")
+    parts = docs.where(evened(F.col(text)).rlike(ARTICLE)).select(key, F.posexplode(F.split(marked, _CUT)).alias("no", "_raw"))
     cut = parts.select(key, "no", _stripped(F.col("_raw")).alias("content")).where("content <> ''")
     number = F.coalesce(F.nullif(F.regexp_extract("content", HEAD, 1), F.lit("")), F.nullif(F.regexp_extract("content", HEAD, 2), F.lit(""))).cast("int")
     first = F.col("no") == 0
@@ -52,9 +70,11 @@ def articles(docs: DataFrame, key: str, text: str) -> DataFrame:
 def children(parents: DataFrame, keys: list[str], content: str, size: int = CHILD) -> DataFrame:
     """(keys, child, content): the paragraphs of each article, packed in order into children of up to ``size`` characters; a longer paragraph is one by itself.
 
-    Every paragraph stands in exactly one child. An article's paragraphs are folded as one array on its own row.
+    Every paragraph stands in exactly one child. An article's paragraphs are
+    folded as one array on its own row. An article without marks of paragraphs
+    is cut into overlapping windows of ``size``.
     """
-    marked = F.regexp_replace(F.col(content), f"(?<=.){PARAGRAPH}", f"{_CUT}$0")
+    marked = F.regexp_replace(evened(F.col(content)), f"(?<=.){PARAGRAPH}", f"{_CUT}$0")
     pieces = F.filter(F.transform(F.split(marked, _CUT), _stripped), lambda s: s != "")
 
     def step(packed: Column, piece: Column) -> Column:
@@ -62,8 +82,73 @@ def children(parents: DataFrame, keys: list[str], content: str, size: int = CHIL
         joined = F.concat(F.slice(packed, 1, F.size(packed) - 1), F.array(F.concat(last, F.lit("\n"), piece)))
         return F.when(F.size(packed) == 0, F.array(piece)).when(F.length(F.get(packed, F.size(packed) - 1)) + F.length(piece) > size, F.concat(packed, F.array(piece))).otherwise(joined)
 
-    packed = F.aggregate(pieces, F.array().cast("array<string>"), step)
-    return parents.select(*keys, F.posexplode(packed).alias("child", "content"))
+    own = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    named = [f"k{i}" for i in range(len(keys))]
+    cut = parents.select(F.struct(*own).alias("k"), pieces.alias("p"))
+    whole = (F.size("p") == 1) & (F.length(F.get("p", F.lit(0))) > size)
+    packed = cut.where(~whole).select("k", F.posexplode(F.aggregate("p", F.array().cast("array<string>"), step)).alias("child", "content"))
+    windows = chunk_windows(cut.where(whole).select("k", F.get("p", F.lit(0)).alias("content")), "k", "content", size, CHILD_OVERLAP)
+    every = packed.unionByName(windows.select("k", F.col("chunk_no").alias("child"), F.col("chunk").alias("content")))
+    return every.select(*[F.col(f"k.{n}").alias(k) for n, k in zip(named, keys, strict=True)], "child", "content")
+
+
+def clause_tags(text: Column, project: Column) -> Column:
+    """(language, law, topic, bias, industry) of a clause.
+
+    The topic is the one of which most words stand in the clause, the first of
+    equals; a law that is named counts before the one that a language suggests.
+    """
+    low = F.lower(text)
+    korean = F.regexp_count(text, F.lit("[ㄱ-ㅣ가-힣]")) / F.greatest(F.length(text), F.lit(1)) > 0.05
+    some = lambda words, at: at.rlike("|".join(f"\\Q{w}\\E" for w in words))
+    count = lambda words, at: sum((at.contains(w).cast("int") for w in words[1:]), at.contains(words[0]).cast("int"))
+    topics = F.array(*[F.struct(count(words, low).alias("n"), F.lit(-i).alias("back"), F.lit(name).alias("name")) for i, (name, words) in enumerate(TOPICS.items())])
+    best = F.array_max(topics)
+    law = F.coalesce(*[F.when(some(words, text), F.lit(name)) for name, words in LAWS.items()], F.when(korean, "대한민국").otherwise("뉴욕주 (추정)"))
+    sides = [count(words, text) for words in BIASES.values()]
+    bias = F.when(sides[0] > sides[1], list(BIASES)[0]).when(sides[1] > sides[0], list(BIASES)[1]).otherwise("neutral")
+    industry = F.coalesce(*[F.when(some(words, F.lower(F.coalesce(project, F.lit("")))), F.lit(name)) for name, words in INDUSTRIES.items()], F.lit("일반"))
+    return F.struct(
+        F.when(korean, "ko").otherwise("en").alias("language"), law.alias("law"), F.when(best["n"] > 0, best["name"]).otherwise("기타").alias("topic"), bias.alias("bias"), industry.alias("industry")
+    )
+
+
+def contract_chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, no, child, role, kind, number, title, content) of each text in reading order; ``child`` is null for all but the children of articles.
+
+    What stands before the first article is cut into parts of ``HEAD`` characters
+    that overlap; tables after ``TABLES`` are passages of their own; a text
+    without articles and tables is cut into general windows. A null text has none.
+    """
+    whole = evened(F.col(text))
+    at = F.instr(whole, TABLES)
+    body = F.when(at > 0, F.left(whole, at - 1)).otherwise(whole)
+    rows = docs.select(F.col(key).alias("key"), body.alias("body"), F.when(at > 0, F.substring(whole, at + 2, F.length(whole))).alias("tables")).withColumn("cut", F.col("body").rlike(ARTICLE))
+    found = articles(rows.where("cut"), "key", "body").withColumn("child", F.lit(None).cast("int"))
+    head = found.where("role = 'standalone'").unionByName(rows.where("NOT cut AND tables IS NOT NULL").select("key", F.lit(0).alias("no"), F.lit("standalone").alias("role"), F.lit("header").alias("kind"), F.lit(None).cast("int").alias("number"), F.lit(HEAD_TITLE).alias("title"), _stripped(F.col("body")).alias("content"), F.lit(None).cast("int").alias("child")).where("content <> ''"))
+    begins = F.when(F.length("content") > HEAD_SIZE, F.sequence(F.lit(0), F.length("content") - 1, F.lit(HEAD_SIZE - HEAD_OVERLAP))).otherwise(F.array(F.lit(0)))
+    heads = head.withColumn("part", F.explode(begins)).withColumn("content", _stripped(F.substring("content", F.col("part") + 1, F.lit(HEAD_SIZE)))).where("content <> ''")
+    parents = found.where("role = 'parent'")
+    kids = children(parents, ["key", "no", "kind", "number", "title"], "content").withColumn("role", F.lit("child"))
+    blocks = F.filter(F.transform(F.split("tables", r"\n\s*\n"), _stripped), lambda b: (b != "") & (b != TABLES.strip()))
+    headed = lambda b: F.when(b.startswith(TABLES.strip()), b).otherwise(F.concat(F.lit(TABLES.strip() + "\n"), b))
+    tables = rows.where("tables IS NOT NULL").select("key", F.posexplode(F.transform(blocks, headed)).alias("part", "content"))
+    plain = chunk_windows(rows.where("NOT cut AND tables IS NULL"), "key", "body")
+    first = F.trim(F.regexp_extract("chunk", r"^([^\n]*)", 1))
+    columns = ["key", "no", "child", "role", "kind", "number", "title", "content", "part"]
+    none, last = F.lit(None).cast("int"), 2_147_483_647
+    every = [
+        heads,
+        parents.withColumn("part", F.lit(0)),
+        kids.withColumn("part", F.lit(0)),
+        tables.select("key", F.lit(last).alias("no"), none.alias("child"), F.lit("standalone").alias("role"), F.lit("table").alias("kind"), none.alias("number"), F.lit("별첨 데이터").alias("title"), "content", "part"),
+        plain.select("key", F.lit(0).alias("no"), none.alias("child"), F.lit("standalone").alias("role"), F.lit("general").alias("kind"), none.alias("number"), F.when(F.length(first) < 50, F.left(first, F.lit(40))).otherwise("").alias("title"), F.col("chunk").alias("content"), F.col("chunk_no").alias("part")),
+    ]
+    made = every[0].select(*columns)
+    for part in every[1:]:
+        made = made.unionByName(part.select(*columns))
+    order = Window.partitionBy("key").orderBy("no", "part", F.col("child").isNotNull(), "child")
+    return made.withColumn("no", F.row_number().over(order) - 1).select(F.col("key").alias(key), *columns[1:-1])
 
 
 def appendix(label: Column) -> Column:
@@ -74,7 +159,7 @@ def appendix(label: Column) -> Column:
 
 def addenda(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, no, promulgated, text): the rounds of addenda of a text in order, each with its date (YYYYMMDD, empty if it names none); a text without rounds is one."""
-    blob = _stripped(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
+    blob = _stripped(F.regexp_replace(evened(F.col(text)), r"\s+", " "))
     marked = F.regexp_replace(blob, ROUND, f"{_CUT}$1|$2|$3{_CUT}")
     parts = F.split(marked, _CUT)
     pair = lambda i: F.struct(F.split(F.get("_p", i), r"\|").alias("d"), _stripped(F.get("_p", i + 1)).alias("text"))

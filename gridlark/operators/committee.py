@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridlark.operators.notation import CUTS, evened
 from gridlark.operators.texts import overlap
 
 #: Patterns of energy sources and of kinds of permit, in the order in which they are tried.
@@ -29,7 +30,7 @@ REASON = r"[※*]\s*\(?\s*(?:사\s*유|부대의견)?\s*\)?\s*(.{4,})"
 COMPANY = r"^(?:(㈜|\(주\)|\(유\))\s*(.{2,28}?)|(.{2,28}?)(㈜|\(주\)|\(유\)|주식회사|공사))의\s+(.+)$"
 COMPANY_FIRST = r"^((?:㈜|\(주\)|\(유\))\S{1,24}|\S{1,24}(?:㈜|\(주\)|\(유\)))\s+(.{5,})$"
 REGION = r"^([가-힣]{2,4})\s"
-_CUT = "\u0001"
+_CUT = CUTS[0]
 
 
 def _first_of(text: Column, patterns: dict[str, str]) -> Column:
@@ -48,7 +49,7 @@ def permit_kind(title: Column) -> Column:
 
 def decision(text: Column) -> Column:
     """A decision's one name, without white space and by its common name."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
+    plain = F.regexp_replace(evened(text), r"\s+", "")
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in DECISIONS.items() for x in p]), plain), plain)
 
 
@@ -59,7 +60,7 @@ def decision_group(name: Column) -> Column:
 
 def squeezed(text: Column) -> Column:
     """A cell of a table without blanks inside Korean words, if it is up to 24 characters long."""
-    one = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    one = F.trim(F.regexp_replace(evened(text), r"\s+", " "))
     return F.when(F.length(one) <= 24, F.regexp_replace(one, "(?<=[가-힣]) (?=[가-힣])", "")).otherwise(one)
 
 
@@ -70,10 +71,11 @@ def capacity(text: Column) -> Column:
 
 def items(sections: DataFrame, section: str) -> DataFrame:
     """The items (no, raw) of each section, beside its other columns: by numbers, else by dashes, else by circles; none without marks."""
-    text = F.coalesce(F.col(section), F.lit(""))
+    text = evened(F.col(section))
     numbered = F.split(F.regexp_replace(text, NUMBERED, f"{_CUT}$1{_CUT}"), _CUT)
     pairs = F.transform(F.sequence(F.lit(1), F.size("_n") - 2, F.lit(2)), lambda i: F.struct(F.get("_n", i).cast("int").alias("no"), F.get("_n", i + 1).alias("raw")))
-    marked = [F.slice(F.split(F.regexp_replace(text, p, _CUT), _CUT), 2, 100_000) for p in MARKED]
+    after_first = lambda parts: F.slice(parts, 2, F.size(parts))
+    marked = [after_first(F.split(F.regexp_replace(text, p, _CUT), _CUT)) for p in MARKED]
     by_place = lambda parts: F.transform(parts, lambda s, i: F.struct((i + 1).alias("no"), s.alias("raw")))
     dashes, circles = (by_place(m) for m in marked)
     found = F.when(F.size("_n") >= 3, pairs).when(text.rlike(MARKED[0]), dashes).when(text.rlike(MARKED[1]), circles)
@@ -90,7 +92,7 @@ def clean_title(text: Column) -> Column:
 
 def agenda(rows: DataFrame, raw: str) -> DataFrame:
     """``rows`` with the fields of an agenda item read from ``raw``: title, company, source, kind, region, reason; rows without a title are left out."""
-    text = F.coalesce(F.col(raw), F.lit(""))
+    text = evened(F.col(raw))
     reason = F.substring(F.trim(F.regexp_replace(F.regexp_extract(text, REASON, 1), r"\s+", " ")), 1, 400)
     body = F.when(text.rlike(REASON), F.get(F.split(F.regexp_replace(text, REASON, f"{_CUT}$0"), _CUT), F.lit(0))).otherwise(text)
     named = rows.withColumn("reason", reason).withColumn("_t", clean_title(F.regexp_replace(body, r"\s+", " "))).where("_t <> ''")
@@ -113,13 +115,20 @@ def minutes_beside(results: DataFrame, minutes: DataFrame, keys: list[str], titl
     """``results`` with the minutes of the same keys whose title shares half of its pairs: distinct texts, the longest first, without those that stand inside one kept before.
 
     Titles may be misread, so keys decide and the title only has to be alike.
-    The texts of one item meet in one row; there are as many as its minutes.
+    Each distinct title of a key asks once, however many results repeat it, and
+    equal results stay rows of their own. The texts of one item meet in one row;
+    there are as many as its minutes. Result columns may have any name.
     """
-    own = [c for c in results.columns if c not in keys]
-    said = minutes.select(*keys, F.col(title).alias("_mt"), F.col(text).alias("_text")).where("_text <> ''")
-    alike = overlap(title_pairs(F.col(title)), title_pairs(F.col("_mt"))) >= least
-    met = results.join(said, keys, "left").withColumn("_text", F.when(alike, F.col("_text")))
-    texts = F.array_sort(F.collect_set(F.struct((-F.length("_text")).alias("n"), F.col("_text").alias("t"))))
-    grouped = met.groupBy(*keys, *own).agg(F.filter(F.transform(texts, lambda x: x["t"]), lambda t: t.isNotNull()).alias("_all"))
-    kept = F.aggregate("_all", F.array().cast("array<string>"), lambda held, t: F.when(F.exists(held, lambda k: k.contains(t)), held).otherwise(F.concat(held, F.array(t))))
-    return grouped.select(*keys, *own, F.array_join(kept, "\n\n").alias("minutes"))
+    own = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    named = [f"k{i}" for i in range(len(keys))]
+    asked = results.select(*own, F.col(title).alias("title")).distinct()
+    said = minutes.select(*own, F.col(title).alias("heard"), F.col(text).alias("text")).where("text <> ''").distinct()
+    alike = overlap(title_pairs(F.col("title")), title_pairs(F.col("heard"))) >= least
+    met = asked.join(said, named).where(alike)
+    texts = F.array_sort(F.collect_set(F.struct((-F.length("text")).alias("n"), F.col("text").alias("t"))))
+    grouped = met.groupBy(*named, "title").agg(F.transform(texts, lambda x: x["t"]).alias("all"))
+    kept = F.aggregate("all", F.array().cast("array<string>"), lambda held, t: F.when(F.exists(held, lambda k: k.contains(t)), held).otherwise(F.concat(held, F.array(t))))
+    found = grouped.select(F.struct(*named, "title").alias("_asked"), F.array_join(kept, "\n\n").alias("_minutes"))
+    asks = F.struct(*own, F.col(title).alias("title"))
+    joined = results.select(F.struct("*").alias("_row"), asks.alias("_by")).join(found, F.col("_by") == F.col("_asked"), "left")
+    return joined.select(*[F.col("_row")[c].alias(c) for c in results.columns], F.coalesce("_minutes", F.lit("")).alias("minutes"))

@@ -76,6 +76,48 @@ def article_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clauses.children(parents, ["p_partkey"], "content").select("p_partkey", "child", F.length("content").alias("n"))
 
 
+#: A head of any length, an article without marks, one with two, and tables under every second contract.
+WHOLE_CONTRACT = """concat(repeat('머리 ', p_size * 20), chr(10), '제1조 (목적)', chr(10), repeat('가', 50 + p_size * 20), chr(10), '제2조 [기간]', chr(10), '① ', repeat('나', 100), chr(10), '② ', repeat('다', 200 + p_size * 4),
+ CASE WHEN p_partkey % 2 = 1 THEN concat(chr(10), chr(10), '[표 데이터]', chr(10), 'a|b', chr(10), chr(10), 'c|d') ELSE '' END)"""
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size::int AS z, rtrim(repeat('머리 ', p_size::int * 20)) AS head, 10 + 50 + p_size::int * 20 - 1 AS a, 202 + p_size::int * 4 AS b FROM part),
+r AS (SELECT k, 'standalone' AS role, 'header' AS kind, NULL::int AS number, g AS part, NULL::int AS child, length(trim(substring(head, g * 1300 + 1, 1500))) AS n FROM p, LATERAL (SELECT unnest(range(0, CASE WHEN length(head) > 1500 THEN (length(head) - 1) // 1300 + 1 ELSE 1 END)) AS g)
+UNION ALL SELECT k, 'parent', 'article', 1, 0, NULL, a FROM p UNION ALL SELECT k, 'parent', 'article', 2, 0, NULL, 8 + 1 + 102 + 1 + b FROM p
+UNION ALL SELECT k, 'child', 'article', 1, 0, c, CASE WHEN a <= 400 THEN a ELSE least(400, a - c * 320) END FROM p, LATERAL (SELECT unnest(range(0, CASE WHEN a <= 400 THEN 1 ELSE (a - 1) // 320 + 1 END)) AS c)
+UNION ALL SELECT k, 'child', 'article', 2, 0, 0, CASE WHEN 111 + b <= 400 THEN 112 + b ELSE 111 END FROM p UNION ALL SELECT k, 'child', 'article', 2, 0, 1, b FROM p WHERE 111 + b > 400
+UNION ALL SELECT k, 'standalone', 'table', NULL, g, NULL, 11 FROM p, (SELECT unnest([0, 1]) AS g) WHERE k % 2 = 1)
+SELECT k AS p_partkey, (row_number() OVER (PARTITION BY k ORDER BY CASE WHEN kind = 'header' THEN 0 WHEN kind = 'table' THEN 9 ELSE number END, part, child NULLS FIRST) - 1)::int AS no, role, kind, number, child::int AS child, n::int AS n FROM r""")
+def contract_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as contracts: heads in parts, articles with children, tables apart."""
+    docs = table(spark, sf_dir, "part").select("p_partkey", F.expr(WHOLE_CONTRACT).alias("text"))
+    return clauses.contract_chunks(docs, "p_partkey", "text").select("p_partkey", "no", "role", "kind", "number", "child", F.length("content").alias("n"))
+
+
+CLAUSE_NOTES = ["", " 비밀 유지와 배상, 배상 및 배상", " laws of England: liability and damages", " 갑의 승인 없이 양도하지 못한다. 을은 책임을 지지 아니한다. 발주자의 서면", " New York arbitration, force majeure", " 대한민국 계약의 기간 갱신과 해지"]
+
+
+def _tags_sql() -> str:
+    text = f"text || ([{', '.join(repr(n) for n in CLAUSE_NOTES)}])[1 + doc_id % {len(CLAUSE_NOTES)}]"
+    count = lambda words, at: " + ".join(f"contains({at}, '{w}')::int" for w in words)
+    topics = ", ".join(f"{{n: {count(words, 'low')}, back: {-i}, name: '{name}'}}" for i, (name, words) in enumerate(clauses.TOPICS.items()))
+    law = " ".join(f"WHEN {count(words, 't')} > 0 THEN '{name}'" for name, words in clauses.LAWS.items())
+    buyer, seller = (count(words, "t") for words in clauses.BIASES.values())
+    return f"""WITH d AS (SELECT doc_id, source, {text} AS t FROM documents), l AS (SELECT *, lower(t) AS low, length(regexp_replace(t, '[^ㄱ-ㅣ가-힣]', '', 'g')) / greatest(length(t), 1) > 0.05 AS ko FROM d),
+m AS (SELECT *, list_max([{topics}]) AS best FROM l)
+SELECT doc_id, CASE WHEN ko THEN 'ko' ELSE 'en' END AS language, CASE {law} WHEN ko THEN '대한민국' ELSE '뉴욕주 (추정)' END AS law, CASE WHEN best.n > 0 THEN best.name ELSE '기타' END AS topic,
+CASE WHEN {buyer} > {seller} THEN 'pro-buyer' WHEN {seller} > {buyer} THEN 'pro-seller' ELSE 'neutral' END AS bias, CASE doc_id % 3 WHEN 0 THEN '풍력' WHEN 1 THEN '태양광' ELSE '일반' END AS industry FROM m"""
+
+
+@query(_tags_sql())
+def clause_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as clauses: language, law, topic, side and industry."""
+    k = (F.col("doc_id") % len(CLAUSE_NOTES)).cast("int")
+    text = F.concat(F.coalesce("text", F.lit("")), F.get(F.array(*map(F.lit, CLAUSE_NOTES)), k))
+    project = F.get(F.array(F.lit("West Wind farm"), F.lit("SOLAR park"), F.lit("other")), (F.col("doc_id") % 3).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", clauses.clause_tags(text, project).alias("t")).select("doc_id", "t.*")
+
+
 ADDENDA = """CASE o_orderkey % 4
 WHEN 0 THEN concat('부칙 (2020.1.5) 이 조례는 공포한 날부터 시행한다. 부  칙 <조례 제12호, 2021. 3. ', 1 + o_custkey % 9, '.> 이 조례는 공포 후 30일이 지난 날부터 시행한다. 풍력 발전의 경과조치를 둔다.')
 WHEN 1 THEN '부칙 (2020.1.5) 경과조치: 전기사업법에 따른다. 이 조례는 2022년 7월 1일부터 시행한다. 부칙(2023.2.2) 공포한 날부터 시행한다.'
