@@ -139,11 +139,11 @@ def chunk_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUESTION = "CASE turn % 4 WHEN 0 THEN concat('대출 금리 ', conv_id) WHEN 1 THEN concat('PPA 보증 ', conv_id) WHEN 2 THEN concat('일정 ', conv_id) END"
 
 
-@query(f"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN q || ' interest rate fees loan amount financing debt 홍성빛나래' WHEN 1 THEN q || ' 보장공급량 보장 감소기준 발전시간 배상 재생에너지 전력거래 virtual 직접 ppa 홍성빛나래|' || q || ' 홍성빛나래 직접 PPA Virtual PPA 거래단가 기준가격 계약단가 정산단가 원/kWh'
-WHEN 2 THEN q || ' 홍성빛나래' ELSE '' END AS questions FROM (SELECT conv_id, turn, {QUESTION} AS q FROM conversations)""")
+@query(f"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN q || ' interest rate fees loan amount financing debt 새들바람' WHEN 1 THEN q || ' 보장공급량 보장 감소기준 발전시간 배상 재생에너지 전력거래 virtual 직접 ppa 새들바람|' || q || ' 새들바람 직접 PPA Virtual PPA 거래단가 기준가격 계약단가 정산단가 원/kWh'
+WHEN 2 THEN q || ' 새들바람' ELSE '' END AS questions FROM (SELECT conv_id, turn, {QUESTION} AS q FROM conversations)""")
 def question_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planted questions and what is searched for them."""
-    asked = table(spark, sf_dir, "conversations").select("conv_id", "turn", retrieval.expanded(F.expr(QUESTION), F.lit(" 홍성빛나래 ")).alias("q"))
+    asked = table(spark, sf_dir, "conversations").select("conv_id", "turn", retrieval.expanded(F.expr(QUESTION), F.lit(" 새들바람 ")).alias("q"))
     return asked.select("conv_id", "turn", F.array_join("q", "|").alias("questions"))
 
 

@@ -75,16 +75,17 @@ def article_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", key["number"].alias("number"), key["branch"].alias("branch"), day.alias("day"))
 
 
-@query("""WITH n AS (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem WHERE l_quantity > 12), r AS (SELECT *, n - row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS run FROM n),
+@query("""WITH n AS (SELECT DISTINCT l_orderkey, CASE WHEN l_quantity > 12 THEN l_linenumber END AS n FROM lineitem), r AS (SELECT *, n - row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS run FROM n WHERE n IS NOT NULL),
 g AS (SELECT l_orderkey, run, min(n) AS a, max(n) AS b, count(*) AS c, string_agg(n::varchar, '·' ORDER BY n) AS s FROM r GROUP BY l_orderkey, run)
-SELECT l_orderkey, string_agg(CASE WHEN c >= 3 THEN a || '~' || b ELSE s END, '·' ORDER BY a) AS label FROM g GROUP BY l_orderkey""")
+SELECT o.l_orderkey, coalesce(string_agg(CASE WHEN c >= 3 THEN a || '~' || b ELSE s END, '·' ORDER BY a), '-') AS label FROM (SELECT DISTINCT l_orderkey FROM n) o LEFT JOIN g ON g.l_orderkey = o.l_orderkey GROUP BY o.l_orderkey""")
 def number_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The larger lines of every order as a label of runs."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 12").groupBy("l_orderkey").agg(F.collect_set(F.col("l_linenumber").cast("int")).alias("nos"))
+    """The larger lines of every order as a label of runs; orders without any are labelled as such."""
+    large = F.when(F.col("l_quantity") > 12, F.col("l_linenumber").cast("int"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(large).alias("nos"))
     return lines.select("l_orderkey", notation.run_label(F.col("nos")).alias("label"))
 
 
-ASKED = "concat(text, CASE conv_id % 6 WHEN 0 THEN ' 당진 1 단계 EPC 계약서' WHEN 1 THEN ' 대출 보고서' WHEN 2 THEN ' 주주간 2nd' WHEN 3 THEN ' 허가' ELSE '' END)"
+ASKED = "concat(text, CASE conv_id % 6 WHEN 0 THEN ' 가람 1 단계 EPC 계약서' WHEN 1 THEN ' 대출 보고서' WHEN 2 THEN ' 주주간 2nd' WHEN 3 THEN ' 허가' ELSE '' END)"
 
 
 def _first_sql(words: dict[str, list[str]]) -> str:

@@ -9,8 +9,10 @@ from gridlark.operators import rules, screening
 from gridlark.plans.registry import query, table
 from gridlark.plans.rulebook import ASKED
 
-CELLS_SQL = "SELECT DISTINCT l_suppkey AS id, l_partkey % 200 AS x, l_orderkey % 50 AS y FROM lineitem WHERE l_quantity < 4"
-GRADES_SQL = f"""WITH c AS ({CELLS_SQL}), p AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 6 = 0 THEN 'CATEGORY' END AS unfit FROM supplier),
+#: Every supplier has a parcel for each class of quantity.
+CLASSES = 13
+CELLS_SQL = f"SELECT DISTINCT l_suppkey * {CLASSES} + floor(l_quantity / 4)::bigint AS id, l_partkey % 200 AS x, l_orderkey % 50 AS y FROM lineitem"
+GRADES_SQL = f"""WITH c AS ({CELLS_SQL}), p AS (SELECT id, CASE WHEN id % 6 = 0 THEN 'CATEGORY' END AS unfit FROM (SELECT s_suppkey * {CLASSES} + unnest(range(0, {CLASSES})) AS id FROM supplier)),
 f AS (SELECT *, x < 150 AND x > 2 AS i, (x * 7 + y) % 397 = 0 AS park, x % 171 = 5 AND y < 25 AS water, (x + y * 3) % 89 = 0 AS farm, x % 101 = 0 AS blind FROM c),
 g AS (SELECT id, count(*) FILTER (i) / count(*) AS inside, bool_or(park) AS park, bool_or(water) AS water, bool_or(farm) AS farm, bool_or(blind) AS blind FROM f GROUP BY id),
 r AS (SELECT id, CASE WHEN unfit IS NOT NULL THEN 'NA' WHEN park OR water THEN 'IMPOSSIBLE' WHEN farm THEN 'CONDITIONAL' WHEN blind THEN 'UNKNOWN' ELSE 'POSSIBLE' END AS grade,
@@ -20,17 +22,18 @@ r AS (SELECT id, CASE WHEN unfit IS NOT NULL THEN 'NA' WHEN park OR water THEN '
 
 def _grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("x"), F.col("y")
-    cells = table(spark, sf_dir, "lineitem").where("l_quantity < 4").select(F.col("l_suppkey").alias("id"), (F.col("l_partkey") % 200).alias("x"), (F.col("l_orderkey") % 50).alias("y")).distinct()
+    cells = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * CLASSES + F.floor(F.col("l_quantity") / 4)).alias("id"), (F.col("l_partkey") % 200).alias("x"), (F.col("l_orderkey") % 50).alias("y")).distinct()
     places = cells.select("x", "y").distinct()
     layer = lambda title, blocks, where: places.where(where).select(F.lit(title).alias("title"), F.lit(blocks).alias("blocks"), "x", "y")
     layers = layer("park", True, (x * 7 + y) % 397 == 0).unionByName(layer("water", True, (x % 171 == 5) & (y < 25))).unionByName(layer("farm", False, (x + y * 3) % 89 == 0))
-    parcels = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 6 == 0, "CATEGORY").alias("unfit"))
+    ids = table(spark, sf_dir, "supplier").select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda n: F.col("s_suppkey") * CLASSES + n)).alias("id"))
+    parcels = ids.select("id", F.when(F.col("id") % 6 == 0, "CATEGORY").alias("unfit"))
     return screening.parcel_grades(parcels, cells, places.where((x < 150) & (x > 2)), layers, places.where(x % 101 == 0))
 
 
 @query(GRADES_SQL + " SELECT id, grade, array_to_string(reasons, ',') AS reasons, inside FROM r")
 def parcel_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as parcels of cells, judged by three layers."""
+    """Suppliers' classes of lines as parcels of cells, judged by three layers."""
     return _grades(spark, sf_dir)
 
 
@@ -80,10 +83,10 @@ def latest_precedents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.latest_first(rows, "o_custkey", "day", "o_orderkey", 4).select("o_custkey", "o_orderkey", "place")
 
 
-PROJECTS = {"당진": ["당진 1단계", "당진 2단계"], "EPC": ["공통", "당진 1단계"], "주주간": ["지주"]}
+PROJECTS = {"가람": ["가람 1단계", "가람 2단계"], "EPC": ["전체", "가람 1단계"], "주주간": ["모회사"]}
 
 
-@query("""SELECT conv_id, turn, CASE WHEN conv_id % 6 = 0 THEN '당진 1단계' WHEN conv_id % 6 = 2 THEN '지주' ELSE '' END AS projects FROM conversations WHERE text IS NOT NULL""")
+@query("""SELECT conv_id, turn, CASE WHEN conv_id % 6 = 0 THEN '가람 1단계' WHEN conv_id % 6 = 2 THEN '모회사' ELSE '' END AS projects FROM conversations WHERE text IS NOT NULL""")
 def question_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projects that every turn, read as a question, names."""
     asked = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.expr(ASKED).alias("q"))

@@ -49,13 +49,13 @@ def terrain_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surveys.terrain(cells, "grid", 90.0)
 
 
-@query("""WITH g AS (SELECT 2000 + o_orderkey % 5 AS year, o_custkey % 40 AS r, o_orderkey * 7 % 40 AS c, o_totalprice::double / 1000 AS v FROM orders WHERE o_orderkey % 9 <> 0), s AS (SELECT s_suppkey, s_suppkey * 3 % 45 AS r, s_suppkey * 11 % 45 AS c FROM supplier),
-y AS (SELECT s_suppkey, year, round(avg(v), 1) AS v FROM s JOIN g ON abs(g.r - s.r) <= 1 AND abs(g.c - s.c) <= 1 GROUP BY ALL)
+@query("""WITH g AS (SELECT 2000 + o_orderkey % 5 AS year, o_custkey % 40 AS r, o_orderkey * 7 % 40 AS c, CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice::double / 1000 END AS v FROM orders), s AS (SELECT s_suppkey, s_suppkey * 3 % 45 AS r, s_suppkey * 11 % 45 AS c FROM supplier),
+y AS (SELECT s_suppkey, year, round(avg(v), 1) AS v FROM s JOIN g ON abs(g.r - s.r) <= 1 AND abs(g.c - s.c) <= 1 WHERE v IS NOT NULL GROUP BY ALL)
 SELECT s_suppkey, count(*) AS years, round(avg(v), 1) AS mean, round(max(v) - min(v), 1) AS spread, round(avg(v) * 8.76 * 0.589, 4) AS ground FROM y GROUP BY s_suppkey""")
 def irradiance_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a yearly irradiance grid, suppliers as sites."""
     k, s = F.col("o_orderkey"), F.col("s_suppkey")
-    grid = table(spark, sf_dir, "orders").where("o_orderkey % 9 <> 0").select((2000 + k % 5).alias("year"), (F.col("o_custkey") % 40).alias("r"), (k * 7 % 40).alias("c"), (F.col("o_totalprice").cast("double") / 1000).alias("v"))
+    grid = table(spark, sf_dir, "orders").select((2000 + k % 5).alias("year"), (F.col("o_custkey") % 40).alias("r"), (k * 7 % 40).alias("c"), F.when(k % 9 != 0, F.col("o_totalprice").cast("double") / 1000).alias("v"))
     sites = table(spark, sf_dir, "supplier").select(s, (s * 3 % 45).alias("r"), (s * 11 % 45).alias("c"))
     return surveys.irradiance(grid, sites, "s_suppkey")
 

@@ -86,7 +86,7 @@ def test_masked_names_keep_all_matches(spark):
 
 
 def test_question(spark):
-    asked = one(spark, rules.question_filters(F.lit("당진 1 단계 EPC 계약서")))
+    asked = one(spark, rules.question_filters(F.lit("가람 1 단계 EPC 계약서")))
     assert tuple(asked) == ("EPC", "contract", "1단계")
     assert tuple(one(spark, rules.question_filters(F.lit("REC")))) == ("REC", None, None)
 
@@ -136,7 +136,7 @@ def test_partitions_are_replaced_alone(spark, tmp_path):
 
 def test_paths(spark):
     fields = lambda p: tuple(one(spark, registers.path_fields(F.lit(p))))
-    assert fields("당진PJT(당진행복솔라)_1단계/계약서/01. epc/a.pdf") == ("당진", "당진행복솔라", "1단계", "contract", "EPC", "a.pdf")
+    assert fields("가람PJT(가람햇살)_1단계/계약서/01. epc/a.pdf") == ("가람", "가람햇살", "1단계", "contract", "EPC", "a.pdf")
     assert fields("a.pdf") == ("a.pdf", "", "", "general", "", "a.pdf")
 
 

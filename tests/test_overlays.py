@@ -9,7 +9,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark.operators import circles, features, geometry, ordinances, overlay, scans, setbacks
+from gridlark.operators import circles, features, geometry, ordinances, outlines, overlay, scans, setbacks
 
 RINGS = overlay.RINGS
 
@@ -263,3 +263,36 @@ def test_reach_can_be_a_column(spark):
     df = spark.createDataFrame([("a", [(0.0, 0.0)], 20.0), ("b", [(0.0, 0.0)], 5.0)], "k string, p array<struct<x:double,y:double>>, r double")
     got = {r.k: r["count"] for r in geometry.cells_near(df, "k", "p", F.col("r"), 1.0).groupBy("k").count().collect()}
     assert got["a"] == pytest.approx(math.pi * 400, rel=0.02) and got["b"] == pytest.approx(math.pi * 25, rel=0.1)
+
+
+def from_line(p, a, b):
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    long = dx * dx + dy * dy
+    t = max(0.0, min(1.0, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / long)) if long else 0.0
+    return math.hypot(a[0] + t * dx - p[0], a[1] + t * dy - p[1])
+
+
+def plain_simplified(line, tolerance):
+    if len(line) < 3:
+        return line
+    far = [from_line(p, line[0], line[-1]) for p in line[1:-1]]
+    if max(far) <= tolerance:
+        return [line[0], line[-1]]
+    at = far.index(max(far)) + 1
+    return plain_simplified(line[: at + 1], tolerance)[:-1] + plain_simplified(line[at:], tolerance)
+
+
+def test_simplified_outlines(spark):
+    rng = random.Random(3)
+    lines = {i: [(float(k), rng.uniform(0, 30)) for k in range(rng.randint(3, 16))] for i in range(8)}
+    lines |= {20: [(1.0, 1.0)], 21: [(0.0, 0.0), (5.0, 5.0)], 22: [(0.0, 0.0), (0.0, 0.0), (0.0, 0.0)], 23: [(float(k), 0.0) for k in range(20)]}
+    kind = "k long, p array<struct<x:double,y:double>>"
+    df = spark.createDataFrame([*lines.items(), (30, []), (31, None)], kind)
+    got = {r.k: [tuple(p) for p in r.points] for r in outlines.simplified(df, "k", "p", 9.0).collect()}
+    assert got == {k: plain_simplified(v, 9.0) for k, v in lines.items()}
+    rings = {i: star(rng, 12, 0.0, 0.0, 50.0) for i in range(4)}
+    got = {r.k: [tuple(p) for p in r.points] for r in outlines.simplified(spark.createDataFrame(list(rings.items()), kind), "k", "p", 6.0, closed=True).collect()}
+    for k, ring in rings.items():
+        closed = plain_simplified([*ring, ring[0]], 6.0)
+        assert got[k] == closed[:-1]
+        assert all(min(from_line(p, a, b) for a, b in zip(closed, closed[1:])) <= 6.0 for p in ring)
