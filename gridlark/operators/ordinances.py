@@ -32,6 +32,12 @@ SLOPE, SLOPE_AROUND, DEGREES = r"(?:평균\s*)?경사도[^\n]{0,40}?[0-9]{1,2}\s
 #: Words of each energy source, and those that mark another one.
 SOURCE_WORDS = {"WIND": ("풍력",), "SOLAR": ("태양광", "태양에너지")}
 SOURCE_MARKS = {"WIND": "풍력", "SOLAR": "태양"}
+#: The head of a table with a column for each energy source, how far it goes, what is left of it before a first row, a row of two distances, and where notes below a table begin.
+TABLE_HEAD, HEAD_LENGTH, HEAD_REST = r"구\s*분", 80, r"^.*(?:설비|비고)\s*"
+_UNIT = r"\s*(?:미터|m|M|킬로미터|km|KM)\s*이상\s*이격"
+TABLE_ROW, TABLE_END = rf"([^\n]{{1,80}}?)([0-9][0-9,\.]*){_UNIT}\s*([0-9][0-9,\.]*){_UNIT}", r"\*\s*상기|[0-9]\.\s*[“\"]|\(비고\)"
+#: Fixed value: how an appendix is named.
+APPENDIX = r"\[별표\s*([0-9]+)\s*(?:의\s*[0-9]+)?\]"
 _CUT, _ZONE = CUTS
 
 
@@ -208,3 +214,42 @@ def slope_limits(articles: DataFrame, key: str, text: str, source: str) -> DataF
     fits = lambda h: degrees(h).between(*DEGREES) & (around(h).rlike(mine) | ~F.col(text).rlike(others))
     found = F.transform(F.filter(hits(F.col(text), SLOPE, SLOPE_AROUND), fits), degrees)
     return articles.where(F.col(text).rlike(mine)).select(key, F.get(found, F.lit(0)).alias("degrees")).where("degrees IS NOT NULL")
+
+
+def table_distances(articles: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """(key, row, appendix, target, detail, metres, sentence) of tables that set two distances side by side, one for each energy source.
+
+    The order of the two sources in the head says which distance is the
+    ``source``'s own; a head that does not name both belongs to no such table.
+    The first table of a text that has rows counts, up to the notes below it.
+    Its appendix is the last one named before it, null without any. Distances
+    are in metres whatever unit is written, and zero is none.
+    """
+    whole = evened(F.col(text))
+    parts = F.split(F.regexp_replace(whole, TABLE_HEAD, f"{_CUT}$0"), _CUT)
+    rest = lambda part: F.regexp_replace(part, f"^{TABLE_HEAD}", "")
+    mine, other = (F.lit(SOURCE_MARKS[s]) for s in (source, next(k for k in SOURCE_MARKS if k != source)))
+    # every part carries how far into the text it begins, so that bodies are cut from the text itself
+    heads = articles.select(F.col(key), whole.alias("whole"), F.posexplode(parts).alias("no", "part")).where("no > 0")
+    heads = heads.withColumn("head", F.left(rest(F.array_join(F.slice(parts_of("whole"), F.col("no") + 1, F.lit(HEAD_LENGTH)), "")), F.lit(HEAD_LENGTH)))
+    a, b = F.instr("head", mine), F.instr("head", other)
+    named = heads.where((a > 0) & (b > 0)).withColumn("second", a > b)
+    tail = rest(F.array_join(F.slice(parts_of("whole"), F.col("no") + 1, F.size(parts_of("whole"))), ""))
+    body = F.get(F.split(tail, TABLE_END, 2), F.lit(0))
+    rows = F.regexp_extract_all(body, F.lit(TABLE_ROW), 0)
+    before = F.regexp_extract_all(F.array_join(F.slice(parts_of("whole"), 1, F.col("no")), ""), F.lit(APPENDIX), 1)
+    each = named.select(key, "no", "second", F.element_at(F.when(F.size(before) > 0, before), -1).alias("appendix"), F.posexplode(rows).alias("row", "line"))
+    group = lambda g: F.regexp_extract("line", TABLE_ROW, g)
+    bare = lambda c: F.regexp_replace(c, r"^[ ·,]+|[ ·,]+$", "")
+    label = bare(F.regexp_replace(bare(_squeezed(group(1))), HEAD_REST, ""))
+    number = metres(F.when(F.col("second"), group(3)).otherwise(group(2)), F.lit("미터"), F.lit(""))
+    told = each.select(key, "no", "row", "appendix", target(label).alias("target"), label.alias("label"), number.alias("metres"), _squeezed(F.col("line")).alias("sentence"))
+    kept = told.where("label <> '' AND metres IS NOT NULL")
+    first = kept.groupBy(F.col(key).alias("_key")).agg(F.min("no").alias("_first"))
+    found = kept.join(first, F.col(key).eqNullSafe(F.col("_key")) & (F.col("no") == F.col("_first")))
+    return found.select(key, "row", "appendix", "target", F.left("label", F.lit(60)).alias("detail"), "metres", "sentence")
+
+
+def parts_of(whole: str) -> Column:
+    """A text cut before every head of a table."""
+    return F.split(F.regexp_replace(F.col(whole), TABLE_HEAD, f"{_CUT}$0"), _CUT)

@@ -25,6 +25,22 @@ def ordinance_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinances.distances(articles, "s_suppkey", "text").select("s_suppkey", "target", "detail", "metres")
 
 
+#: Tables with the columns in either order, after one or two appendices, with notes below, and one head that names a single source.
+COLUMNS = """CASE s_suppkey % 4
+WHEN 0 THEN concat('[별표 3] 앞 [별표 ', s_suppkey, '] 구 분 태양에너지 설비 풍력에너지 설비 비고 도로 500미터 이상 이격 ', 1000 + s_suppkey, '미터 이상 이격 주거밀집지역 (5호 이상) ', 300 + s_suppkey, '미터 이상 이격 2,000미터 이상 이격 * 상기 학교 1미터 이상 이격 2미터 이상 이격')
+WHEN 1 THEN concat('구분 풍력 설비 태양광 설비 철도 ', s_suppkey, 'm 이상 이격 ', s_suppkey * 2, 'm 이상 이격')
+WHEN 2 THEN '구분 태양광 설비 도로 5미터 이상 이격 6미터 이상 이격' END"""
+
+
+@query("""WITH k AS (SELECT s_suppkey AS k, s_suppkey % 4 AS m FROM supplier)
+SELECT k AS s_suppkey, 0 AS row, k::varchar AS appendix, 'ROAD' AS target, '도로' AS detail, 1000 + k AS metres FROM k WHERE m = 0 UNION ALL SELECT k, 1, k::varchar, 'RESIDENTIAL', '주거밀집지역 (5호 이상)', 2000 FROM k WHERE m = 0
+UNION ALL SELECT k, 0, NULL, 'RAILWAY', '철도', k FROM k WHERE m = 1""")
+def two_column_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances for wind turbines in planted tables with a column for each energy source."""
+    articles = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(COLUMNS).alias("text"))
+    return ordinances.table_distances(articles, "s_suppkey", "text", "WIND").drop("sentence")
+
+
 SLOPES = """CASE s_suppkey % 4
 WHEN 0 THEN concat('풍력발전시설 평균경사도 ', 10 + s_suppkey % 20, '도 이하')
 WHEN 1 THEN concat('태양광 시설은 경사도 12도 이하. ', repeat('가', 200), ' 풍력발전은 경사도가 ', s_suppkey % 50, '도 미만')

@@ -296,3 +296,35 @@ def test_simplified_outlines(spark):
         closed = plain_simplified([*ring, ring[0]], 6.0)
         assert got[k] == closed[:-1]
         assert all(min(from_line(p, a, b) for a, b in zip(closed, closed[1:])) <= 6.0 for p in ring)
+
+
+def plain_table(text, mine, other):
+    """The first table with rows, row by row."""
+    for head in re.finditer(ordinances.TABLE_HEAD, text):
+        top = text[head.end() : head.end() + 80]
+        if mine not in top or other not in top:
+            continue
+        body = re.split(ordinances.TABLE_END, text[head.end() :], maxsplit=1)[0]
+        out = []
+        for m in re.finditer(ordinances.TABLE_ROW, body):
+            label = re.sub(ordinances.HEAD_REST, "", re.sub(r"\s+", " ", m[1]).strip(" ·,")).strip(" ·,")
+            number = int(float((m[3] if top.find(mine) > top.find(other) else m[2]).replace(",", "").rstrip(".")))
+            if label and number:
+                named = re.findall(ordinances.APPENDIX, text[: head.start()])
+                out.append((named[-1] if named else None, label[:60], number))
+        if out:
+            return out
+    return []
+
+
+def test_tables_of_two_columns_equal_a_plain_reading(spark):
+    rng = random.Random(11)
+    pieces = ["구 분 ", "구분 ", "태양에너지 설비 ", "풍력에너지 설비 ", "비고 ", "도로 ", "주거밀집지역 (5호 이상) ", "500미터 이상 이격 ", "1,000m 이상 이격 ", "2미터 이상 이격 ", "\n", "* 상기 ", "(비고)", "[별표 3] ", "[별표 29의 2] ", "0미터 이상 이격 ", "구 분 태양광 풍력 비고 ", "구분 풍력 태양광 ", "철도 5미터 이상 이격 6,000m 이상 이격 ", "학교 300미터 이상 이격 0미터 이상 이격 "]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(4, 26))) for _ in range(300)]
+    df = spark.createDataFrame([*enumerate(texts), (None, None)], "k long, t string")
+    for source, mine, other in (("WIND", "풍력", "태양"), ("SOLAR", "태양", "풍력")):
+        got = {}
+        for r in ordinances.table_distances(df, "k", "t", source).orderBy("k", "row").collect():
+            got.setdefault(r.k, []).append((r.appendix, r.detail, r.metres))
+        want = {i: w for i, t in enumerate(texts) if (w := plain_table(t, mine, other))}
+        assert len(want) > 20 and got == want
