@@ -313,9 +313,10 @@ def test_odd_tables(spark, tmp_path, empty):
     spark.createDataFrame([] if empty else [(1, None), (None, "a b c d e f"), (2, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([] if empty else [(1, None, 1), (None, 1, 1), (3, 0, 0), (3, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([] if empty else [(None, None, None, None), (1, 0, "user", ""), (1, 0, "user", "")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([] if empty else [(1, [1.0, 2.0], 0, 1), (50, [1.0, 1.0], 0, 1), (None, [1.0, 1.0], 1, 1), (2, None, 1, 1)], "vec_id long, embedding array<float>, label int, n int").write.parquet(f"{tmp_path}/embeddings.parquet")
     for name, f in queries.queries().items():
         got = rows(f(spark, str(tmp_path)))
-        n = {"op4": 2, "op5": 0}.get(name.split("_")[0], 7)
+        n = {"op4": 2, "op5": 0, "op11": 1, "op13": 3, "quality": 9}.get(name.split("_")[0], 7)
         assert len(got) == (0 if empty else n), name
     if not empty:
         langs = rows(queries.op10_language_id(spark, str(tmp_path)))
