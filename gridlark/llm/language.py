@@ -13,7 +13,9 @@ Cases: a null text, or one without a letter (marks alone are none), is ``und``
 with score 0; so is
 every text when nothing could be learned; ties go to the first language in
 alphabetical order; documents without a lang are never learned from; texts are
-read whole; repeated rows are read one by one; an empty table gives no rows.
+read whole; repeated rows are read one by one; a null id passes through, in the
+fold of the empty text; other columns, of any name, are not looked at; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

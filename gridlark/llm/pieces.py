@@ -8,7 +8,7 @@ rounds of ``merging``.
 Cases: null is read like an empty text, which has no ids and decodes to an
 empty text; characters outside the vocabulary become byte pieces; texts are
 encoded whole; repeated rows are encoded one by one; an empty table gives no
-rows; a null id passes through.
+rows; a null id passes through; other columns, of any name, are not looked at.
 """
 
 from __future__ import annotations

@@ -20,8 +20,9 @@ broadcast; all other keys meet by shuffle.
 
 Cases: null and empty texts have fingerprint zero and link like any other; a
 null id takes part in linking but never names a component unless no other id is
-there; repeated rows share a component; very long texts are hashed whole; an
-empty table gives no rows.
+there; repeated rows share a component; a bit with as many hashes for as against
+it is 0; very long texts are hashed whole; other columns, of any name, are not
+looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations

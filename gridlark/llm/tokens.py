@@ -9,7 +9,8 @@ worker has merged it remembers, up to a fixed number of entries.
 Cases: a null text counts like an empty one (0 bytes, 0 tokens); added special
 tokens inside a text count as one token each, as the library's default has it;
 very long pre-tokens are merged in the same rounds; repeated rows are counted one by
-one; an empty table gives no rows.
+one; a null id passes through; other columns, of any name, are not looked at; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ then scored by the classifier in one pass without a shuffle.
 Cases: null and empty texts have no inputs and get the classifier's base score;
 rows of ``labels`` with a null id or label are left out, and of several labels
 of one document the highest counts; with no labels at all the fixed words and
-prior beliefs are the model; documents that repeat are scored one by one; ties
+prior beliefs are the model; documents that repeat are scored one by one, and
+those with a null id are scored but never learned from; ties
 between inputs go by the alphabet; texts are read whole whatever their length;
 an empty table gives no rows; other columns, of any name, are not looked at.
 """
