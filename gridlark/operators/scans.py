@@ -53,6 +53,15 @@ def gaps(held: DataFrame, keys: list[str], start: str, end: str, wanted: DataFra
     return open_.select(*keys, F.col("_reached").alias(start), F.col("s.a").alias(end)).distinct()
 
 
+def merged(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """(keys, start, end): spans of the same keys that overlap or touch, as one; ends are exclusive, and spans without length are left out."""
+    order = Window.partitionBy(*keys).orderBy(start, end)
+    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = spans.where(F.col(start) < F.col(end)).select(*keys, start, end).withColumn("_new", F.coalesce((before < F.col(start)).cast("int"), F.lit(1)))
+    runs = cut.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return runs.groupBy(*keys, "_run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_run")
+
+
 def levels(steps: DataFrame, case: str, name: str, needs: str) -> DataFrame:
     """``steps`` with ``level`` (the longest chain of needs below a step, 0 without any) and ``cyclic`` (a step in or above a circle has no level).
 

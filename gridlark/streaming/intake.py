@@ -1,4 +1,4 @@
-"""Incremental intake: event-time windows and an upsert guarded by coverage.
+"""Incremental intake: event-time windows, an upsert guarded by coverage, and requests for what is missing.
 
 ``hourly`` is one definition for tables and for streams; on a stream the
 watermark bounds the state and lets finished windows go.
@@ -6,10 +6,13 @@ watermark bounds the state and lets finished windows go.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from gridlark.operators.scans import gaps, merged
 from gridlark.operators.series import guarded_replace
 
 
@@ -47,3 +50,23 @@ def guarded_upsert(coverage: DataFrame, folder: str) -> DataStreamWriter:
         new.write.mode("overwrite").parquet(f"{folder}/{number}")
 
     return coverage.writeStream.foreachBatch(merge)
+
+
+def missing_requests(wanted: DataFrame, keys: list[str], start: str, end: str, held: Callable[[SparkSession], DataFrame], folder: str) -> DataStreamWriter:
+    """Writes, for a stream of wanted spans (keys, start, end), the parts that neither ``held`` has nor an earlier batch asked for.
+
+    ``held`` reads the table of fetched spans as it is when a batch runs.
+    Requests stand under ``folder/batch=<number>``; a batch looks at those of
+    smaller numbers only, so one that is run again after a failure asks for the
+    same, and a query that is restarted goes on where it ended.
+    """
+
+    def ask(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = held(spark).select(*keys, start, end)
+        if number:
+            known = known.unionByName(spark.read.parquet(folder).where(f"batch < {number}").select(*keys, start, end))
+        left = gaps(merged(known, keys, start, end), keys, start, end, merged(batch, keys, start, end))
+        left.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return wanted.writeStream.foreachBatch(ask)

@@ -28,6 +28,27 @@ def test_guarded_upsert(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/1").collect()} == {("x", 0.90), ("y", 0.5)}
 
 
+def test_only_what_is_missing_is_asked_for_across_restarts(spark, tmp_path):
+    kind = "site long, start long, stop long"
+    held = lambda s: s.read.schema(kind).parquet(f"{tmp_path}/held")
+    add = lambda rows, at: spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{at}")
+    asked = lambda: sorted((r.batch, r.site, r.start, r.stop) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    def run():
+        stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/in/*")
+        writer = intake.missing_requests(stream, ["site"], "start", "stop", held, f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True)
+        writer.start().awaitTermination()
+
+    add([(1, 10, 20)], "held")
+    add([(1, 0, 30), (1, 25, 40), (2, 5, 5)], "in/a")
+    run()
+    assert asked() == [(0, 1, 0, 10), (0, 1, 20, 40)]
+    add([(2, 0, 3)], "held")
+    add([(1, 35, 50), (2, 0, 9)], "in/b")
+    run()  # a new query on the same checkpoint: what was asked for is not asked again
+    assert asked() == [(0, 1, 0, 10), (0, 1, 20, 40), (1, 1, 40, 50), (1, 2, 3, 9)]
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "hill_permit/contract").mkdir(parents=True)
     (tmp_path / "hill_permit/contract/one.txt").write_text("a\nb")
