@@ -49,14 +49,33 @@ def pairs_within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     return found.where(F.col("metres") <= metres).select("l_id", "r_id", "metres")
 
 
+#: Stations a cell may hold, for each one that is looked for, before the search begins nearer, and the least distance to begin with.
+CROWDED, CLOSE = 64, 10.0
+
+
+def first_distance(stations: DataFrame, k: int, most: float) -> float:
+    """``most``, or a fourth, a sixteenth and so on of it: the first at which no cell of stations (lat, lng) is crowded."""
+    far = most
+    while far > CLOSE:
+        band = F.floor((F.col("lat") + 90) / (far / DEGREE_M * 1.001))
+        lane = F.floor(F.pmod(F.col("lng") + 180, F.lit(360.0)) / 360 * _columns(band, far / DEGREE_M * 1.001, far))
+        held = stations.where("lat IS NOT NULL AND lng IS NOT NULL").groupBy(band.alias("y"), lane.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+        if (held.agg(F.max("n")).first()[0] or 0) <= CROWDED * k:
+            break
+        far /= 4
+    return far
+
+
 def nearest(left: DataFrame, stations: DataFrame, k: int, first: float = 20_000.0) -> DataFrame:
     """(l_id, r_id, metres, rank): the ``k`` nearest stations (id, lat, lng) of every point, ties by id.
 
     All stations within a distance are found over cells; a point that has ``k``
     of them is settled, since no other can be nearer. The rest looks four times
-    as far, until the distance is half the globe.
+    as far, until the distance is half the globe. Where stations stand close
+    together the search begins nearer than ``first``, so a point in a city does
+    not meet the whole city.
     """
-    far, open_points, done = first, left.select("id", "lat", "lng"), None
+    far, open_points, done = first_distance(stations, k, first), left.select("id", "lat", "lng"), None
     order = Window.partitionBy("l_id").orderBy("metres", "r_id")
     while True:
         last = far >= EARTH_M * math.pi

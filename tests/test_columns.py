@@ -1,6 +1,7 @@
 """Columns and operators on small rows whose results follow from their rules by hand."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,3 +213,23 @@ def test_unknown_inputs_of_judgements(spark):
     assert one(spark, judgements.military_zone(F.lit(None).cast("string"), F.lit(None).cast("string")))["status"] is None
     items = spark.createDataFrame([(1, None, None, None, None, None, None, None)], "site long, item string, code string, status string, categories array<string>, found boolean, public boolean, overlapping int")
     assert [r["flags"] for r in judgements.site_flags(items, "site", False).collect()] == [["NON_URBAN_AREA"]]
+
+
+def test_nearest_stations_of_a_city(spark):
+    rng = random.Random(4)
+    place = lambda n, wide: [(i, 37.5 + rng.gauss(0, wide), 127.0 + rng.gauss(0, wide)) for i in range(n)]
+    stations, points = place(6_000, 0.01) + [(9_000, 35.0, 129.0), (9_001, None, 1.0)], place(300, 0.02) + [(700, 34.0, 128.0)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, lat double, lng double")
+    assert spatial.first_distance(frame(stations), 3, 20_000.0) < 1_000 and spatial.first_distance(frame(points), 3, 20_000.0) > 1_000
+    got = {}
+    for r in spatial.nearest(frame(points), frame(stations), 3).collect():
+        got.setdefault(r.l_id, []).append((r.rank, r.metres, r.r_id))
+
+    def far(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return round(2 * spatial.EARTH_M * math.asin(math.sqrt(h)), 3)
+
+    for p in points[::25] + points[-1:]:
+        want = sorted((far(p, s), s[0]) for s in stations if s[1] is not None)[:3]
+        assert [(m, s) for _, m, s in sorted(got[p[0]])] == want
