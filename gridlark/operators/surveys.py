@@ -98,11 +98,12 @@ def irradiance(grid: DataFrame, sites: DataFrame, site: str) -> DataFrame:
     return sums.select(site, "years", F.round("m", 1).alias("mean"), "spread", F.round(F.col("m") * 8.76 * TO_GROUND, 4).alias("ground"))
 
 
-def yield_of(best: Column, here: Column, at_best: Column, ratio: float = PERFORMANCE) -> Column:
-    """(kwh_kwp, hours, factor): a year's yield from the irradiance at the best tilt, brought to this tilt where both of its figures are known."""
+def yield_of(best: Column, here: Column, at_best: Column, capacity_mw: Column | None = None, ratio: float = PERFORMANCE) -> Column:
+    """(kwh_kwp, hours, factor, mwh): a year's yield from the irradiance at the best tilt, brought to this tilt where both of its figures are known; ``mwh`` is that of a whole plant, null without its capacity."""
     share = F.when((here > 0) & (at_best > 0), here / at_best).otherwise(1.0)
     made = F.when(best > 0, best * share * ratio)
-    return F.struct(F.bround(made, 0).alias("kwh_kwp"), F.bround(made / 365, 2).alias("hours"), F.bround(made / 8760 * 100, 2).alias("factor"))
+    capacity = F.lit(None).cast("double") if capacity_mw is None else capacity_mw
+    return F.struct(F.bround(made, 0).alias("kwh_kwp"), F.bround(made / 365, 2).alias("hours"), F.bround(made / 8760 * 100, 2).alias("factor"), F.when(capacity > 0, F.bround(capacity * made, 1)).alias("mwh"))
 
 
 def cover(reach: DataFrame, site: str) -> DataFrame:

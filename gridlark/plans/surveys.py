@@ -60,12 +60,12 @@ def irradiance_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surveys.irradiance(grid, sites, "s_suppkey")
 
 
-@query("""WITH y AS (SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN (1000 + p_size * 13.7::double) * CASE WHEN p_partkey % 3 = 0 THEN 1.0 ELSE (1400 - p_size)::double / (1450 + p_size) END * 0.84::double END AS y FROM part)
-SELECT p_partkey, round_even(y, 0) AS kwh_kwp, round_even(y / 365, 2) AS hours, round_even(y / 8760 * 100, 2) AS factor FROM y""")
+@query("""WITH y AS (SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN (1000 + p_size * 13.7::double) * CASE WHEN p_partkey % 3 = 0 THEN 1.0 ELSE (1400 - p_size)::double / (1450 + p_size) END * 0.84::double END AS y, p_partkey % 6 * 1.5::double AS mw FROM part)
+SELECT p_partkey, round_even(y, 0) AS kwh_kwp, round_even(y / 365, 2) AS hours, round_even(y / 8760 * 100, 2) AS factor, CASE WHEN mw > 0 THEN round_even(mw * y, 1) END AS mwh FROM y""")
 def yield_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as plants: what a year's irradiance gives."""
     k, size = F.col("p_partkey"), F.col("p_size")
-    made = surveys.yield_of(F.when(k % 10 != 0, 1000 + size * F.lit(13.7)), F.when(k % 3 != 0, (1400 - size).cast("double")), (1450 + size).cast("double"))
+    made = surveys.yield_of(F.when(k % 10 != 0, 1000 + size * F.lit(13.7)), F.when(k % 3 != 0, (1400 - size).cast("double")), (1450 + size).cast("double"), k % 6 * F.lit(1.5))
     return table(spark, sf_dir, "part").select("p_partkey", made.alias("y")).select("p_partkey", "y.*")
 
 
