@@ -54,61 +54,52 @@ def _bare(text: Column) -> Column:
     return F.regexp_replace(text, EDGES, "")
 
 
-def _named(head: Column) -> list[Column]:
-    """(name, company, location) of a row's first cells: the name ends where it says so, the place begins with a province, the company stands between."""
-    below = F.regexp_replace(head, f"^.*{LAST_HEAD}", "")
-    text = _bare(F.regexp_replace(F.regexp_replace(below, rf"^\s*{SAME}\s*", ""), rf"^\s*{CITED}", ""))
-    whole = rf"^(.*?{NAMED})(.*)$"
-    rest = _bare(F.regexp_extract(text, whole, 2))
-    placed = rf"^(.*?)({PLACE}.*)$"
-    name = F.when(text.rlike(NAMED), _bare(F.regexp_extract(text, whole, 1))).otherwise(text)
-    return [name.alias("name"), F.when(rest.rlike(PLACE), _bare(F.regexp_extract(rest, placed, 1))).otherwise(rest).alias("company"), F.when(rest.rlike(PLACE), _bare(F.regexp_extract(rest, placed, 2))).otherwise("").alias("location")]
+def _closed(body: Column, pattern: str) -> Column:
+    """What stands before each match, and "first group, second group, what follows" of it, cut at ``_PART``; each text belongs to two rows, as the end of one and the head of the next."""
+    pieces = F.split(F.regexp_replace(body, pattern, f"{_CUT}$1{_PART}$2{_PART}"), _CUT)
+    return _pairs(F.slice(pieces, 1, F.size(pieces) - 1), F.slice(pieces, 2, F.size(pieces)), "D")
 
 
-def _cut(text: Column, pattern: str) -> Column:
-    """A text's pieces: what stands between matches at even places, the matches' two groups at odd ones."""
-    return F.split(F.regexp_replace(text, pattern, f"{_CUT}$1{_PART}$2{_CUT}"), _CUT)
+def _blocks(body: Column, pattern: str, layout: str) -> Column:
+    """What follows each match of a heading."""
+    pieces = F.split(F.regexp_replace(body, pattern, _CUT), _CUT)
+    own = F.slice(pieces, 2, F.size(pieces))
+    return _pairs(own, own, layout)
 
 
-def _row(head: Column, permit: Column, megawatts: Column, reason: Column, same: Column) -> Column:
-    return F.struct(*_named(head), F.regexp_replace(permit, r"\s+", "").alias("permit"), megawatts.alias("megawatts"), reason.alias("reason"), same.alias("same"), F.lit("").alias("raw_source"))
+def _pairs(before: Column, own: Column, layout: str) -> Column:
+    zipped = F.arrays_zip(before.alias("before"), own.alias("own"))
+    return F.transform(zipped, lambda x: F.struct(x["before"].alias("before"), x["own"].alias("own"), F.lit(layout).alias("layout")))
 
 
-def _disposed(pieces: Column) -> Column:
-    """The rows of a disposal: each match closes a row, and the text after it begins with its reason."""
-    last = F.size(pieces) - 1
-
-    def row(i: Column) -> Column:
-        parts = F.split(F.get(pieces, i), _PART)
-        after = F.get(pieces, i + 1)
-        tail = _bare(F.when(i + 1 == last, F.substring(after, 1, TAIL)).otherwise(after))
-        return _row(F.get(pieces, i - 1), F.get(parts, 1), capacity(F.get(parts, 0)), F.trim(F.regexp_extract(tail, f"^{CITED}", 0)), tail.startswith(SAME))
-
-    return F.when(last >= 2, F.transform(F.sequence(F.lit(1), last - 1, F.lit(2)), row)).otherwise(F.array())
-
-
-def _heard(body: Column) -> Column:
-    """The rows of a hearing with a small table for each party; it names no capacity."""
-    party = rf"^({PERMIT})\s+(.+?)\s*{PLANNED}(.*)$"
-    blocks = F.filter(F.split(F.regexp_replace(body, rf"{PARTY}(?={PERMIT}\s)", _CUT), _CUT), lambda b, i: (i > 0) & b.rlike(party))
-    part = lambda b, g: F.regexp_extract(b, party, g)
-    return F.transform(blocks, lambda b: _row(part(b, 2), part(b, 1), F.lit(None).cast("double"), F.substring(F.regexp_extract(part(b, 3), GROUNDS, 1), 1, REASON_LENGTH), F.lit(False)))
-
-
-def _labelled(body: Column) -> Column:
-    """The rows of a hearing whose parties have labelled fields; a block without a permit's number is none."""
-    name = rf"^(.{{4,80}}?{NAMED})\s"
-    blocks = F.filter(F.split(F.regexp_replace(body, LABELLED, _CUT), _CUT), lambda b, i: (i > 0) & b.rlike(name) & b.rlike(FIELDS["permit"]))
-
-    def row(b: Column) -> Column:
-        rest = F.regexp_replace(b, name, "")
-        of = {k: F.trim(F.regexp_extract(rest, p, 1)) for k, p in FIELDS.items()}
-        return F.struct(
-            _bare(F.regexp_extract(b, name, 1)).alias("name"), of["company"].alias("company"), of["location"].alias("location"), F.regexp_replace(of["permit"], r"\s+", "").alias("permit"),
-            capacity(of["megawatts"]).alias("megawatts"), F.substring(of["reason"], 1, REASON_LENGTH).alias("reason"), F.lit(False).alias("same"), of["raw_source"].alias("raw_source"),
-        )
-
-    return F.transform(blocks, row)
+def _fields(rows: DataFrame) -> DataFrame:
+    """``rows`` (_before, _own, _layout, _last) with the fields of each layout; a row that is none gets an empty name."""
+    own, layout = F.col("_own"), F.col("_layout")
+    party, label = rf"^({PERMIT})\s+(.+?)\s*{PLANNED}(.*)$", rf"^(.{{4,80}}?{NAMED})\s"
+    parts = F.split(own, _PART)
+    cut = rows.select(
+        "*",
+        F.when(layout == "D", F.regexp_replace(F.get(F.split("_before", _PART), F.size(F.split("_before", _PART)) - 1), f"^.*{LAST_HEAD}", "")).when(layout == "T", F.regexp_extract(own, party, 2)).alias("_head"),
+        F.when(layout == "D", _bare(F.when(F.col("_last"), F.substring(F.get(parts, F.lit(2)), 1, TAIL)).otherwise(F.get(parts, F.lit(2))))).when(layout == "T", F.regexp_extract(own, party, 3)).otherwise(F.regexp_replace(own, label, "")).alias("_rest"),
+    )
+    text = cut.withColumn("_head", _bare(F.regexp_replace(F.regexp_replace("_head", rf"^\s*{SAME}\s*", ""), rf"^\s*{CITED}", "")))
+    named = text.withColumn("_after", F.when(F.col("_head").rlike(NAMED), _bare(F.regexp_extract("_head", rf"^.*?{NAMED}(.*)$", 1))).otherwise(""))
+    of = {k: F.trim(F.regexp_extract("_rest", p, 1)) for k, p in FIELDS.items()}
+    placed, has_place, labelled = rf"^(.*?)({PLACE}.*)$", F.col("_after").rlike(PLACE), layout == "L"
+    permit = F.when(layout == "D", F.get(parts, F.lit(1))).when(layout == "T", F.regexp_extract(own, party, 1)).otherwise(of["permit"])
+    name = F.when(labelled, F.when(of["permit"] != "", _bare(F.regexp_extract(own, label, 1))).otherwise("")).when(F.col("_head").rlike(NAMED), _bare(F.regexp_extract("_head", rf"^(.*?{NAMED})", 1))).otherwise(F.col("_head"))
+    reason = F.when(layout == "D", F.trim(F.regexp_extract("_rest", f"^{CITED}", 0))).otherwise(F.substring(F.when(labelled, of["reason"]).otherwise(F.regexp_extract("_rest", GROUNDS, 1)), 1, REASON_LENGTH))
+    return named.select(
+        *[c for c in rows.columns if c not in ("_before", "_own", "_last")],
+        name.alias("name"),
+        F.when(labelled, of["company"]).when(has_place, _bare(F.regexp_extract("_after", placed, 1))).otherwise(F.col("_after")).alias("company"),
+        F.when(labelled, of["location"]).when(has_place, _bare(F.regexp_extract("_after", placed, 2))).otherwise("").alias("location"),
+        F.regexp_replace(permit, r"\s+", "").alias("permit"),
+        F.when(layout == "D", capacity(F.get(parts, F.lit(0)))).when(labelled, capacity(of["megawatts"])).alias("megawatts"),
+        reason.alias("reason"),
+        ((layout == "D") & F.col("_rest").startswith(SAME)).alias("_same"),
+        F.when(labelled, of["raw_source"]).otherwise("").alias("_raw"),
+    )
 
 
 def notices(papers: DataFrame, key: str, title: str, text: str) -> DataFrame:
@@ -132,19 +123,20 @@ def notices(papers: DataFrame, key: str, title: str, text: str) -> DataFrame:
         "_body",
         F.xxhash64("_title", "_text").alias("_paper"),
     )
-    hearing, kept = F.col("_kind") == "HEARING", lambda rows: F.filter(rows, lambda r: F.length(r["name"]) >= SHORTEST)
-    cut = read.withColumn("_pieces", F.when(hearing, F.array(F.lit(""))).when(F.col("_body").rlike(WITH_REASON), _cut(F.col("_body"), WITH_REASON)).otherwise(_cut(F.col("_body"), WITHOUT_REASON)))
-    first = cut.withColumn("_rows", F.when(hearing, kept(_heard(F.col("_body")))).otherwise(kept(_disposed(F.col("_pieces")))))
-    rows = first.withColumn("_rows", F.when(hearing & (F.size("_rows") == 0), _labelled(F.col("_body"))).otherwise(F.col("_rows")))
-    each = rows.select("_k", "_kind", "_day", "_round", "_paper", F.posexplode("_rows").alias("_no", "_r"))
-    before = Window.partitionBy("_k", "_paper").orderBy("_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    told = F.last(F.when(~F.col("_r.same"), F.col("_r.reason")), True).over(before)
-    reason = F.when(F.col("_r.same"), F.coalesce(told, F.lit(SAME))).otherwise(F.col("_r.reason"))
-    full = each.withColumn("_reason", reason).withColumn("_at", region(F.col("_r.location")))
-    kind = energy_source(F.when(F.col("_r.raw_source") != "", F.col("_r.raw_source")).otherwise(F.col("_r.name")))
+    body, none = F.col("_body"), "array<struct<before:string,own:string,layout:string>>"
+    closed = F.when(body.rlike(WITH_REASON), _closed(body, WITH_REASON)).otherwise(_closed(body, WITHOUT_REASON))
+    heard = F.concat(_blocks(body, rf"{PARTY}(?={PERMIT}\s)", "T"), _blocks(body, LABELLED, "L"))
+    told = read.select("_k", "_kind", "_day", "_round", "_paper", F.when(F.col("_kind") == "HEARING", heard).otherwise(closed).cast(none).alias("_rows"))
+    each = told.select("_k", "_kind", "_day", "_round", "_paper", F.size("_rows").alias("_n"), F.posexplode("_rows").alias("_at", "_r"))
+    cut = each.select("_k", "_kind", "_day", "_round", "_paper", "_at", F.col("_r.before").alias("_before"), F.col("_r.own").alias("_own"), F.col("_r.layout").alias("_layout"), (F.col("_at") == F.col("_n") - 1).alias("_last"))
+    paper = Window.partitionBy("_k", "_paper")
+    kept = _fields(cut).where(F.length("name") >= SHORTEST).withColumn("_table", F.max(F.col("_layout") == "T").over(paper)).where((F.col("_layout") != "L") | ~F.col("_table"))
+    before = paper.orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = F.coalesce(F.last(F.when(~F.col("_same"), F.col("reason")), True).over(before), F.lit(SAME))
+    full = kept.withColumn("_no", F.dense_rank().over(paper.orderBy("_at"))).withColumn("reason", F.when(F.col("_same"), carried).otherwise(F.col("reason"))).withColumn("_region", region(F.col("location")))
     return full.select(
-        F.col("_k").alias(key), (F.col("_no") + 1).alias("no"), F.col("_kind").alias("kind"), "_r.name", "_r.company", "_r.location", "_at.province", "_at.district", kind.alias("source"),
-        "_r.megawatts", "_r.permit", F.col("_reason").alias("reason"), F.col("_day").alias("disposed"), F.col("_round").alias("round"),
+        F.col("_k").alias(key), F.col("_no").alias("no"), F.col("_kind").alias("kind"), "name", "company", "location", "_region.province", "_region.district", energy_source(F.when(F.col("_raw") != "", F.col("_raw")).otherwise(F.col("name"))).alias("source"),
+        "megawatts", "permit", "reason", F.col("_day").alias("disposed"), F.col("_round").alias("round"),
     )
 
 

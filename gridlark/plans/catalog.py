@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridlark.operators import retrieval, series, spatial, texts, verdicts
 from gridlark.operators.components import connected
-from gridlark.plans import cases, evaluations, judged, ledgers, overlays, papers, passages, rulebook, screens, shapes, surveys  # noqa: F401  (they register their queries)
+from gridlark.plans import cases, checked, evaluations, judged, ledgers, overlays, papers, passages, rulebook, screens, shapes, surveys  # noqa: F401  (they register their queries)
 from gridlark.plans.registry import QUERIES, SQL, Query, query, table
 from gridlark.sources import readers
 from gridlark.streaming import intake
