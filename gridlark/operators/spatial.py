@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,25 +94,62 @@ def nearest(left: DataFrame, stations: DataFrame, k: int, first: float = 20_000.
         far *= 4
 
 
+#: How many squares' half sides a block is wide in which points are counted.
+BLOCK = 8
+
+
+def _weight_below(values: np.ndarray, weights: np.ndarray, first: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """For each question the weight of those of the ``first`` values that lie under ``limit``: values are split by their bits, from the highest, and a question follows its own side."""
+    low, high, total = np.zeros_like(first), first, np.zeros(len(first), np.int64)
+    for bit in reversed(range(max(int(len(values)).bit_length(), 1))):
+        one = (values >> bit & 1).astype(bool)
+        zeros = np.concatenate([[0], np.cumsum(~one)])
+        held = np.concatenate([[0], np.cumsum(np.where(one, 0, weights))])
+        up = (limit >> bit & 1).astype(bool)
+        total += np.where(up, held[high] - held[low], 0)
+        low, high = (np.where(up, zeros[-1] + at - zeros[at], zeros[at]) for at in (low, high))
+        order = np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])
+        values, weights = values[order], weights[order]
+    return total
+
+
+def _reach(line: np.ndarray, at: np.ndarray, metres: float) -> tuple[np.ndarray, np.ndarray]:
+    """From where to where in a sorted line values differ from ``at`` by at most ``metres``."""
+    low, high = np.searchsorted(line, at - metres, "left"), np.searchsorted(line, at + metres, "right")
+    padded = np.concatenate([[-np.inf], line, [np.inf]])
+    while (step := at - padded[low] <= metres).any():  # sums and differences round apart
+        low = low - step
+    while (step := padded[high + 1] - at <= metres).any():
+        high = high + step
+    return low, high
+
+
 def neighbours_count(points: DataFrame, metres: float, least: int) -> DataFrame:
     """(id, n, dense) of planar points (id, x, y): how many lie in the square of half side ``metres``, oneself included.
 
     Points are first counted by place, so a place that holds a third of all
-    points is one row on either side of the join.
+    points is one row. Places meet in blocks of the plane, with a margin around
+    each; a block's places are sorted, and all its squares are counted by
+    halving, so no pair of neighbours is ever made, however dense they are.
     """
-    places = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
-    near = places.select(
-        F.col("x").alias("x2"), F.col("y").alias("y2"), "c",
-        F.explode(F.expr(f"flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(floor(x / {metres}) + i AS cx, floor(y / {metres}) + j AS cy))))")).alias("k"),
-    ).select("x2", "y2", "c", "k.cx", "k.cy")
-    own = places.select("x", "y", F.floor(F.col("x") / metres).alias("cx"), F.floor(F.col("y") / metres).alias("cy"))
-    sums = (
-        own.join(near, ["cx", "cy"])
-        .where((F.abs(F.col("x") - F.col("x2")) <= metres) & (F.abs(F.col("y") - F.col("y2")) <= metres))
-        .groupBy("x", "y")
-        .agg(F.sum("c").alias("n"))
-    )
-    return points.join(sums, ["x", "y"]).select("id", "n", (F.col("n") >= least).alias("dense"))
+    places = points.where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    wide, far = float(metres * BLOCK), metres * (1 + 1e-9)
+    lanes = lambda c: F.array_distinct(F.transform(F.array(F.lit(-far), F.lit(0.0), F.lit(far)), lambda d: F.floor((F.col(c).cast("double") + d) / wide)))
+    home = lambda c: F.floor(F.col(c).cast("double") / wide)
+    laid = places.select("x", "y", "c", F.explode(lanes("x")).alias("i"), lanes("y").alias("j")).withColumn("j", F.explode("j")).withColumn("own", (F.col("i") == home("x")) & (F.col("j") == home("y")))
+
+    def count(block: pd.DataFrame) -> pd.DataFrame:
+        x, y = block["x"].to_numpy(np.float64), block["y"].to_numpy(np.float64)
+        order, line = np.argsort(x, kind="stable"), np.sort(y)
+        ranks, own = np.empty(len(y), np.int64), block["own"].to_numpy(bool)
+        ranks[np.argsort(y, kind="stable")] = np.arange(len(y))
+        (left, right), (below, above) = _reach(x[order], x[own], metres), _reach(line, y[own], metres)
+        four = _weight_below(ranks[order], block["c"].to_numpy(np.int64)[order], np.concatenate([right, left, right, left]), np.concatenate([above, above, below, below])).reshape(4, -1)
+        return block.loc[own, ["x", "y"]].assign(n=four[0] - four[1] - four[2] + four[3])
+
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+    sums = laid.groupBy("i", "j").applyInPandas(count, f"x {kinds['x']}, y {kinds['y']}, n long")
+    return points.join(sums.hint("merge"), ["x", "y"]).select("id", "n", (F.col("n") >= least).alias("dense"))
 
 
 def cell_areas(total: DataFrame, blocked: DataFrame, conditional: DataFrame, side_m: float) -> DataFrame:
