@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.operators.geometry import cells_inside, cells_near
@@ -23,17 +23,23 @@ def road_sources(roads: DataFrame, key: str, rank: str, points: str) -> DataFram
 def house_sources(houses: DataFrame, key: str, radius: float, least: int) -> DataFrame:
     """(source, kind, unsure, points) of houses (x, y): ``house_ge`` where ``least`` houses or more, itself included, stand within ``radius`` of one of them that this one is within reach of, else ``house_lt``.
 
-    Houses meet through cells as wide as the radius, counted before they are
-    joined, so a cell's houses are paired with those of nine cells only.
+    Houses are counted by place and by cells so small that all houses of a cell
+    reach each other. A cell of ``least`` houses is settled at once; only houses
+    of other cells, fewer than ``least`` in each, meet those around them, so the
+    pairs grow with the houses, however dense they stand.
     """
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-    at = houses.select(F.col(key).alias("k"), F.col("x"), F.col("y"), cell("x").alias("i"), cell("y").alias("j"))
-    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
-    wide = at.select(F.col("k").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), "i", "j").withColumn("i", around("i")).withColumn("j", around("j"))
-    near = at.join(wide, ["i", "j"]).where(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= radius).select("k", "o")
-    centres = near.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("k")
-    dense = near.join(centres, "k").select(F.col("o").alias("k")).distinct().withColumn("dense", F.lit(True))
-    kinds = at.join(dense, "k", "left")
+    cell = lambda c: F.floor(F.col(c) / (radius * 0.7071)).cast("long")
+    around = lambda c: F.explode(F.sequence(F.col(c) - 2, F.col(c) + 2))
+    finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    places = houses.where(finite).groupBy("x", "y").agg(F.count(F.lit(1)).alias("c")).withColumn("i", cell("x")).withColumn("j", cell("y"))
+    told = places.withColumn("full", F.sum("c").over(Window.partitionBy("i", "j")) >= least)
+    wide = told.where("NOT full").select("x", "y", around("i").alias("i"), "j").withColumn("j", around("j"))
+    others = told.select(F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("c").alias("oc"), F.col("full").alias("ofull"), "i", "j")
+    near = wide.join(others.hint("merge"), ["i", "j"]).where(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= radius)
+    known = near.groupBy("x", "y").agg(F.sum("oc").alias("n"), F.max("ofull").alias("beside")).withColumn("centre", F.col("n") >= least)
+    linked = near.where("NOT ofull").join(known.where("centre").select(F.col("x").alias("ox"), F.col("y").alias("oy")).hint("merge"), ["ox", "oy"]).select("x", "y")
+    dense = told.where("full").select("x", "y").unionByName(known.where("centre OR beside").select("x", "y")).unionByName(linked).distinct().withColumn("dense", F.lit(True))
+    kinds = houses.select(F.col(key).alias("k"), "x", "y").join(dense.hint("merge"), ["x", "y"], "left")
     return kinds.select(F.col("k").cast("string").alias("source"), F.when(F.col("dense"), "house_ge").otherwise("house_lt").alias("kind"), F.lit(False).alias("unsure"), F.array(F.struct("x", "y")).alias("points"))
 
 
