@@ -29,26 +29,39 @@ def _columns(band: Column, high: float, metres: float) -> Column:
     return F.when((reach >= 1) | F.lit(metres >= EARTH_M * math.pi / 2), F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360 / (F.degrees(F.asin(F.least(reach, F.lit(1.0)))) * 1.001)))).cast("long")
 
 
-def pairs_within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """(l_id, r_id, metres) of the points (id, lat, lng) at most ``metres`` apart, anywhere on the globe.
+#: Rows of one place that stay together.
+TOGETHER = 1_024
+
+
+def _places(points: DataFrame, by: list[str]) -> DataFrame:
+    """Points (id, lat, lng) by place: (by, lat, lng, ids), a crowded place as several rows."""
+    place = [*by, "lat", "lng"]
+    nth = F.row_number().over(Window.partitionBy(*place).orderBy("id"))
+    return points.where("lat IS NOT NULL AND lng IS NOT NULL").select("id", *place).withColumn("part", F.floor((nth - 1) / TOGETHER)).groupBy(*place, "part").agg(F.collect_list(F.struct("id")).alias("ids")).drop("part")
+
+
+def pairs_within(left: DataFrame, right: DataFrame, metres: float, by: list[str] | None = None) -> DataFrame:
+    """(l_id, r_id, metres) of the points (id, lat, lng) at most ``metres`` apart, anywhere on the globe; with ``by`` only of those that agree in these columns, which come first.
 
     Latitude bands are as high as the distance. Each is cut into cells as wide
     as the distance is there, in a ring that closes across the antimeridian; a
     band that touches a pole is one cell. The right side is laid into its own
     and the two neighbouring bands, and in each into the cells around it, so an
-    equality join on cells finds every pair.
+    equality join on cells finds every pair. Rows of one place are joined as one
+    and set out again behind the join, without another shuffle.
     """
+    by = by or []
     high = max(metres, 1e-3) / DEGREE_M * 1.001
     band, around = F.floor((F.col("lat") + 90) / high), F.pmod(F.col("lng") + 180, F.lit(360.0)) / 360
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = left.select(F.col("id").alias("l_id"), F.col("lat").alias("la"), F.col("lng").alias("lo"), band.alias("y"), around.alias("at"))
+    a = _places(left, by).select(*by, F.col("ids").alias("l_ids"), F.col("lat").alias("la"), F.col("lng").alias("lo"), band.alias("y"), around.alias("at"))
     a = a.withColumn("n", _columns(F.col("y"), high, metres)).withColumn("x", F.least(F.floor(F.col("at") * F.col("n")), F.col("n") - 1)).drop("n", "at")
-    b = right.select(F.col("id").alias("r_id"), F.col("lat").alias("ra"), F.col("lng").alias("ro"), around.alias("at"), F.explode(F.transform(step, lambda d: band + d)).alias("y"))
+    b = _places(right, by).select(*by, F.col("ids").alias("r_ids"), F.col("lat").alias("ra"), F.col("lng").alias("ro"), around.alias("at"), F.explode(F.transform(step, lambda d: band + d)).alias("y"))
     b = b.withColumn("n", _columns(F.col("y"), high, metres))
     own = F.least(F.floor(F.col("at") * F.col("n")), F.col("n") - 1)
-    b = b.select("r_id", "ra", "ro", "y", F.explode(F.array_distinct(F.transform(step, lambda d: F.pmod(own + d, F.col("n"))))).alias("x"))
-    found = a.join(b, ["y", "x"]).withColumn("metres", haversine(F.col("la"), F.col("lo"), F.col("ra"), F.col("ro")))
-    return found.where(F.col("metres") <= metres).select("l_id", "r_id", "metres")
+    b = b.select(*by, "r_ids", "ra", "ro", "y", F.explode(F.array_distinct(F.transform(step, lambda d: F.pmod(own + d, F.col("n"))))).alias("x"))
+    found = a.join(b, ["y", "x", *by]).withColumn("metres", haversine(F.col("la"), F.col("lo"), F.col("ra"), F.col("ro"))).where(F.col("metres") <= metres)
+    return found.select(*by, F.explode("l_ids").alias("_l"), "r_ids", "metres").select(*by, "_l", F.explode("r_ids").alias("_r"), "metres").select(*by, F.col("_l.id").alias("l_id"), F.col("_r.id").alias("r_id"), "metres")
 
 
 #: Stations a cell may hold, for each one that is looked for, before the search begins nearer, and the least distance to begin with.
