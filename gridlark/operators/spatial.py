@@ -81,20 +81,35 @@ def first_distance(stations: DataFrame, k: int, most: float) -> float:
     return far
 
 
-def nearest(left: DataFrame, stations: DataFrame, k: int, first: float = 20_000.0) -> DataFrame:
-    """(l_id, r_id, metres, rank): the ``k`` nearest stations (id, lat, lng) of every point, ties by id.
+def nearest(left: DataFrame, stations: DataFrame, k: int, first: float = 20_000.0, places: int | None = 3) -> DataFrame:
+    """(l_id, r_id, metres, rank): the ``k`` nearest stations (id, lat, lng) of every point, by metres to ``places`` decimals (null: exact), ties by id.
 
     All stations within a distance are found over cells; a point that has ``k``
     of them is settled, since no other can be nearer. The rest looks four times
     as far, until the distance is half the globe. Where stations stand close
     together the search begins nearer than ``first``, so a point in a city does
-    not meet the whole city.
+    not meet the whole city. Points of one place search once; a place of stations
+    stands for its first ``k``, as others there can't be among the nearest.
     """
+    spots = left.where("lat IS NOT NULL AND lng IS NOT NULL").select("lat", "lng").distinct().select(F.struct("lat", "lng").alias("id"), "lat", "lng")
+    turn = F.row_number().over(Window.partitionBy("lat", "lng").orderBy("id"))
+    held = stations.where("lat IS NOT NULL AND lng IS NOT NULL").select("id", "lat", "lng").withColumn("turn", turn).where(F.col("turn") <= k).groupBy("lat", "lng").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    held = checkpointed(held.select(F.struct(F.col("ids")[0].alias("id"), "lat", "lng").alias("id"), "ids", "lat", "lng"))
+    found = _nearest_places(spots, held.select("id", "lat", "lng"), k, first, places)
+    each = found.join(held.select(F.col("id").alias("r_id"), "ids"), "r_id").select("l_id", F.explode("ids").alias("r_id"), "metres")
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("l_id").orderBy("metres", "r_id"))).where(F.col("rank") <= k)
+    named = ranked.select(F.col("l_id.lat").alias("lat"), F.col("l_id.lng").alias("lng"), "r_id", "metres", "rank")
+    return left.select(F.col("id").alias("l_id"), "lat", "lng").join(named, ["lat", "lng"]).select("l_id", "r_id", "metres", "rank")
+
+
+def _nearest_places(left: DataFrame, stations: DataFrame, k: int, first: float, places: int | None) -> DataFrame:
+    """(l_id, r_id, metres, rank) of points and stations that each stand at a place of their own."""
     far, open_points, done = first_distance(stations, k, first), left.select("id", "lat", "lng"), None
     order = Window.partitionBy("l_id").orderBy("metres", "r_id")
     while True:
         last = far >= EARTH_M * math.pi
-        near = pairs_within(open_points, stations, far).withColumn("metres", F.round("metres", 3))
+        near = pairs_within(open_points, stations, far)
+        near = near if places is None else near.withColumn("metres", F.round("metres", places))
         ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         full = ranked.withColumn("n", F.max("rank").over(Window.partitionBy("l_id")))
         settled = checkpointed((full if last else full.where(F.col("n") == k)).drop("n"))
