@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.operators.components import checkpointed
+from gridlark.operators.components import checkpointed, connected
 
 #: The radius of the earth in metres, and metres in a degree of latitude.
 EARTH_M = 6_371_008.8
@@ -64,6 +64,28 @@ def pairs_within(left: DataFrame, right: DataFrame, metres: float, by: list[str]
     return found.select(*by, F.explode("l_ids").alias("_l"), "r_ids", "metres").select(*by, "_l", F.explode("r_ids").alias("_r"), "metres").select(*by, F.col("_l.id").alias("l_id"), F.col("_r.id").alias("r_id"), "metres")
 
 
+def chained(points: DataFrame, metres: float) -> DataFrame:
+    """(id, root): points (id, lat, lng) in chains of steps of at most ``metres``, each with the least id of its chain; points without a place stand alone.
+
+    Places fall into cells so small that all of a cell reach each other, so only
+    cells are linked: a pair of cells is one link, however many pairs of places
+    stand for it, and chains are followed over cells.
+    """
+    high = 0.4 * max(metres, 1e-6) / DEGREE_M
+    band = F.floor((F.col("lat") + 90) / high)
+    low = F.col("_y") * high - 90
+    lane = F.floor(F.pmod(F.col("lng") + 180, F.lit(360.0)) / high * F.cos(F.radians(F.greatest(F.lit(0.0), low, -low - high))))
+    known = points.where("lat IS NOT NULL AND lng IS NOT NULL").groupBy("lat", "lng").agg(F.min("id").alias("least")).withColumn("_y", band)
+    placed = known.select("lat", "lng", "least", F.struct("_y", lane.alias("_x")).alias("cell"))
+    least = placed.groupBy("cell").agg(F.min("least").alias("id"))
+    named = checkpointed(placed.drop("least").join(least, "cell"))
+    own = named.select("id", "lat", "lng")
+    links = pairs_within(own, own, metres).where("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b")).distinct()
+    roots = connected(least.select("id"), links).select(F.col("id").alias("cell_id"), "root")
+    found = named.select("lat", "lng", F.col("id").alias("cell_id")).join(roots, "cell_id").select("lat", "lng", "root")
+    return points.select("id", "lat", "lng").join(found, ["lat", "lng"], "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
 #: Stations a cell may hold, for each one that is looked for, before the search begins nearer, and the least distance to begin with.
 CROWDED, CLOSE = 64, 10.0
 

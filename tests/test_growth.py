@@ -64,3 +64,22 @@ def test_f11_crowded_places_search_once(spark):
     got = spatial.nearest(places(spark, 20_000), places(spark, 20_000, 37.01), 5)
     assert got.agg(F.count("l_id"), F.min("r_id"), F.max("r_id"), F.max("rank")).first() == (100_000, 0, 4, 5)
     assert time.time() - began < 60
+
+
+def metres_of(p, q):
+    (a, b), (c, d) = (tuple(map(math.radians, v)) for v in (p, q))
+    return 2 * spatial.EARTH_M * math.asin(math.sqrt(min(1.0, math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+
+def test_f13_chains_over_cells(spark):
+    rng = random.Random(3)
+    at = {i: (rng.choice((0, 60, 89.7)) + rng.uniform(-0.25, 0.25), rng.choice((-179.9, 10)) + rng.uniform(-0.4, 0.4)) for i in range(150)}
+    root = {i: i for i in at}
+    while (new := {i: min(root[j] for j in at if metres_of(at[i], at[j]) <= 9_000) for i in at}) != root:
+        root = new
+    frame = spark.createDataFrame([(i, *p) for i, p in at.items()] + [(900, None, 1.0)], "id long, lat double, lng double")
+    assert {r.id: r.root for r in spatial.chained(frame, 9_000.0).collect()} == root | {900: 900}
+    began = time.time()
+    near = spark.range(20_000).select("id", (37 + F.col("id") * 1e-6).alias("lat"), F.lit(127.0).alias("lng"))
+    assert spatial.chained(near, 45_000.0).agg(F.count("id"), F.max("root")).first() == (20_000, 0)
+    assert time.time() - began < 300
