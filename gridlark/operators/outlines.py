@@ -34,7 +34,8 @@ def simplified(lines: DataFrame, key: str, points: str, tolerance: float, closed
         dx, dy = bx - ax, by - ay
         long = dx * dx + dy * dy
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(long > 0, ((F.col("x") - ax) * dx + (F.col("y") - ay) * dy) / long).otherwise(0.0)))
-        far = F.hypot(ax + t * dx - F.col("x"), ay + t * dy - F.col("y"))
+        off_x, off_y = ax + t * dx - F.col("x"), ay + t * dy - F.col("y")
+        far = F.sqrt(off_x * off_x + off_y * off_y)  # each step rounds as in SQL: by hypot, equal distances come out apart
         worst = inner.groupBy("k", "low", "high").agg(F.max(F.struct(far.alias("far"), (-F.col("at")).alias("back"))).alias("w")).where(F.col("w.far") > tolerance)
         split = checkpointed(worst.select("k", "low", "high", (-F.col("w.back")).alias("mid")))
         if not split.limit(1).count():
