@@ -49,14 +49,16 @@ def zones(slices: DataFrame, key: str, ring: str, sources: DataFrame, rules: Dat
     ``rules`` (key, kind, metres, certain) are those of each slice; a source that
     is ``unsure`` blocks for certain only where the rule says so. A source
     reaches over the borders of slices. Each source is turned into cells once
-    for each distance that some rule sets for its kind, and meets slices there.
+    for each distance that some rule sets for its kind. Rules go to their slices
+    before these are cut into cells, so a cell meets only what its rules name.
     """
     reaches = rules.where("metres > 0").select("kind", F.col("metres").cast("double").alias("metres")).distinct()
-    lines = sources.join(F.broadcast(reaches), "kind").select(F.struct("kind", "metres", "unsure").alias("of"), "metres", "points")
-    touched = cells_near(lines, "of", "points", F.col("metres"), side, closed=False)
-    inner = cells_inside(slices, key, ring, side)
-    own = rules.select(F.col(key), "kind", F.col("metres").cast("double").alias("metres"), "certain")
-    met = touched.select("of.kind", "of.metres", "of.unsure", "i", "j").join(inner, ["i", "j"]).join(F.broadcast(own), [key, "kind", "metres"])
+    lines = sources.join(reaches, "kind").select(F.struct("kind", "metres", "unsure").alias("of"), "metres", "points")
+    touched = cells_near(lines, "of", "points", F.col("metres"), side, closed=False).select("of.kind", "of.metres", "of.unsure", "i", "j")
+    own = rules.select(F.col(key), "kind", F.col("metres").cast("double").alias("metres"), "certain").distinct()
+    ruled = slices.select(key, ring).join(own.hint("merge"), key).select(F.struct(F.col(key).alias("key"), "kind", "metres", "certain").alias("own"), ring)
+    inner = cells_inside(ruled, "own", ring, side).select(F.col("own.key").alias(key), "own.kind", "own.metres", "own.certain", "i", "j")
+    met = inner.join(touched.hint("merge"), ["i", "j", "kind", "metres"])
     rank = F.when(F.col("unsure") & ~F.coalesce("certain", F.lit(False)), 1).otherwise(0)
     return met.groupBy(key, "i", "j").agg(F.min(rank).alias("r")).select(key, "i", "j", F.get(F.array(*map(F.lit, CLASSES)), F.col("r")).alias("zone"))
 
