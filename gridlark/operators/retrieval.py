@@ -65,8 +65,7 @@ def dense_top(vectors: DataFrame, questions: DataFrame, k: int, block: int = 512
 
 def term_weights(docs: DataFrame, key: str, text: str, k: float = 1.2) -> DataFrame:
     """(key, term, w, df): the saturated frequency of each term of four letters and more, and how many rows hold it."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("([a-z]{4,})"), 1)
-    counts = docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = docs.select(key, F.explode(_words(text)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     frequencies = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return counts.join(frequencies, "term").select(key, "term", (F.col("tf") / (F.col("tf") + k)).alias("w"), "df")
 
@@ -77,6 +76,40 @@ def rarest_terms(weights: DataFrame, key: str, most: int) -> DataFrame:
     return weights.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select(key, "term")
 
 
+#: Terms that are sent to all tasks at most.
+FEW_TERMS = 500_000
+
+
+def _words(text: str) -> Column:
+    """The terms of a text: four letters and more."""
+    return F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("([a-z]{4,})"), 1)
+
+
+def asked_terms(docs: DataFrame, key: str, text: str, asking: Column, most: int) -> DataFrame:
+    """(key, term): the ``most`` rarest terms of each row that is ``asking``, by how many of all rows hold them, ties by the alphabet; keys are unique.
+
+    Rows that hold a term are counted within the tasks that read them, so only
+    the vocabulary is shuffled, not every row's terms.
+    """
+    terms = docs.select(key, asking.alias("_asking"), F.explode(F.array_distinct(_words(text))).alias("term"))
+    frequencies = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return rarest_terms(terms.where("_asking").select(key, "term").join(frequencies, "term"), key, most)
+
+
+def weights_of(docs: DataFrame, key: str, text: str, terms: DataFrame, k: float = 1.2) -> DataFrame:
+    """(key, term, w) of ``term_weights`` for the ``terms`` (term) alone.
+
+    Up to ``FEW_TERMS`` are sent to all tasks, and other terms are left out
+    before rows are counted; more meet the counted rows by shuffle.
+    """
+    words, asked = docs.select(key, F.explode(_words(text)).alias("term")), terms.select("term").distinct()
+    few = asked.count() <= FEW_TERMS
+    held = words.join(F.broadcast(asked), "term", "left_semi") if few else words
+    counts = held.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = counts if few else counts.join(asked, "term", "left_semi")
+    return counts.select(key, "term", (F.col("tf") / (F.col("tf") + k)).alias("w"))
+
+
 def sparse_top(weights: DataFrame, asked: DataFrame) -> DataFrame:
     """(question, id, s): the summed weights of a question's terms (question, term) in every row (id, term, w) that holds one, to six places."""
     return asked.join(weights, "term").groupBy("question", "id").agg(F.round(F.sum("w"), 6).alias("s"))
