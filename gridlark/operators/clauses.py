@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.operators.chunking import chunk_windows
+from gridlark.operators.chunking import windows_of
 from gridlark.operators.notation import CUTS, evened
 
 #: Where an article, a paragraph of it and an annex begin, and an article's number and title.
@@ -42,8 +42,33 @@ def strategy(kind: Column) -> Column:
     return F.coalesce(*[F.when(kind.isin(*kinds), F.lit(name)) for name, kinds in STRATEGIES.items()], F.lit("general"))
 
 
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
+def _articles(text: Column) -> Column:
+    """(no, role, kind, number, title, content) of an evened text as an array; null without articles."""
+
+    def article(content: Column, no: Column) -> Column:
+        number = F.coalesce(F.nullif(F.regexp_extract(content, HEAD, 1), F.lit("")), F.nullif(F.regexp_extract(content, HEAD, 2), F.lit(""))).cast("int")
+        first = no == 0
+        return F.struct(
+            no.alias("no"),
+            F.when(first, "standalone").otherwise("parent").alias("role"),
+            F.when(first, "header").when(content.rlike(ANNEX), "annex").otherwise("article").alias("kind"),
+            F.when(~first, number).alias("number"),
+            F.when(first, HEAD_TITLE).otherwise(F.trim(F.regexp_extract(content, HEAD, 3))).alias("title"),
+            content.alias("content"),
+        )
+
+    parts = F.split(F.regexp_replace(text, ARTICLE, f"{_CUT}$0"), _CUT)
+    cut = lambda ps: F.transform(ps, lambda raw, no: _once(_stripped(raw), lambda content: article(content, no)))
+    return _once(parts, lambda ps: F.when(F.size(ps) > 1, F.filter(cut(ps), lambda a: a["content"] != "")))
 
 
 def articles(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -51,45 +76,52 @@ def articles(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     ``number`` is null and the role ``standalone`` for the head; an article that names an annex is of kind ``annex``.
     """
-    marked = F.regexp_replace(evened(F.col(text)), ARTICLE, f"{_CUT}$0")
-    parts = docs.where(evened(F.col(text)).rlike(ARTICLE)).select(key, F.posexplode(F.split(marked, _CUT)).alias("no", "_raw"))
-    cut = parts.select(key, "no", _stripped(F.col("_raw")).alias("content")).where("content <> ''")
-    number = F.coalesce(F.nullif(F.regexp_extract("content", HEAD, 1), F.lit("")), F.nullif(F.regexp_extract("content", HEAD, 2), F.lit(""))).cast("int")
-    first = F.col("no") == 0
-    return cut.select(
-        key,
-        "no",
-        F.when(first, "standalone").otherwise("parent").alias("role"),
-        F.when(first, "header").when(F.col("content").rlike(ANNEX), "annex").otherwise("article").alias("kind"),
-        F.when(~first, number).alias("number"),
-        F.when(first, "계약 정보").otherwise(F.trim(F.regexp_extract("content", HEAD, 3))).alias("title"),
-        "content",
-    )
+    return docs.select(key, F.explode(_articles(evened(F.col(text)))).alias("_a")).select(key, "_a.*")
+
+
+def _paragraphs(content: Column) -> Column:
+    """The paragraphs of an evened article."""
+    marked = F.regexp_replace(content, f"(?<=.){PARAGRAPH}", f"{_CUT}$0")
+    return F.filter(F.transform(F.split(marked, _CUT), _stripped), lambda s: s != "")
+
+
+def _unmarked(pieces: Column, size: int) -> Column:
+    """The text of an article that is one paragraph of over ``size`` characters; null for others."""
+    return F.when((F.size(pieces) == 1) & (F.length(F.get(pieces, F.lit(0))) > size), F.get(pieces, F.lit(0)))
+
+
+def _packed(pieces: Column, size: int) -> Column:
+    """Paragraphs packed in order up to ``size`` characters. Lengths are folded to the first and last of each child, so no text is copied."""
+    span = "array<struct<first:int,last:int>>"
+    start = F.struct(F.lit(1).alias("i"), F.lit(1).alias("first"), F.lit(0).alias("n"), F.array().cast(span).alias("cut"))
+
+    def step(at: Column, n: Column) -> Column:
+        full = (at["i"] > 1) & (at["n"] + n > size)
+        done = F.array(F.struct(at["first"].alias("first"), (at["i"] - 1).alias("last")))
+        return F.struct(
+            (at["i"] + 1).alias("i"),
+            F.when(full, at["i"]).otherwise(at["first"]).alias("first"),
+            F.when(full | (at["i"] == 1), n).otherwise(at["n"] + 1 + n).alias("n"),
+            F.when(full, F.concat(at["cut"], done)).otherwise(at["cut"]).alias("cut"),
+        )
+
+    def packed(held: Column) -> Column:
+        folded = F.aggregate(F.transform(held, F.length), start, step, lambda at: F.concat(at["cut"], F.array(F.struct(at["first"].alias("first"), (at["i"] - 1).alias("last")))))
+        return F.when(F.size(held) == 0, F.array().cast("array<string>")).otherwise(F.transform(folded, lambda c: F.array_join(F.slice(held, c["first"], c["last"] - c["first"] + 1), "\n")))
+
+    return _once(pieces, packed)
 
 
 def children(parents: DataFrame, keys: list[str], content: str, size: int = CHILD) -> DataFrame:
     """(keys, child, content): the paragraphs of each article, packed in order into children of up to ``size`` characters; a longer paragraph is one by itself.
 
     Every paragraph stands in exactly one child. An article's paragraphs are
-    folded as one array on its own row. An article without marks of paragraphs
+    one array on its own row, made once. An article without marks of paragraphs
     is cut into overlapping windows of ``size``.
     """
-    marked = F.regexp_replace(evened(F.col(content)), f"(?<=.){PARAGRAPH}", f"{_CUT}$0")
-    pieces = F.filter(F.transform(F.split(marked, _CUT), _stripped), lambda s: s != "")
-
-    def step(packed: Column, piece: Column) -> Column:
-        last = F.element_at(packed, -1)
-        joined = F.concat(F.slice(packed, 1, F.size(packed) - 1), F.array(F.concat(last, F.lit("\n"), piece)))
-        return F.when(F.size(packed) == 0, F.array(piece)).when(F.length(F.get(packed, F.size(packed) - 1)) + F.length(piece) > size, F.concat(packed, F.array(piece))).otherwise(joined)
-
-    own = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
-    named = [f"k{i}" for i in range(len(keys))]
-    cut = parents.select(F.struct(*own).alias("k"), pieces.alias("p"))
-    whole = (F.size("p") == 1) & (F.length(F.get("p", F.lit(0))) > size)
-    packed = cut.where(~whole).select("k", F.posexplode(F.aggregate("p", F.array().cast("array<string>"), step)).alias("child", "content"))
-    windows = chunk_windows(cut.where(whole).select("k", F.get("p", F.lit(0)).alias("content")), "k", "content", size, CHILD_OVERLAP)
-    every = packed.unionByName(windows.select("k", F.col("chunk_no").alias("child"), F.col("chunk").alias("content")))
-    return every.select(*[F.col(f"k.{n}").alias(k) for n, k in zip(named, keys, strict=True)], "child", "content")
+    cut = parents.select(*keys, _paragraphs(evened(F.col(content))).alias("_p"))
+    told = cut.select(*keys, "_p", windows_of(CHILD_OVERLAP, size)(F.array(_unmarked(F.col("_p"), size))).alias("_w"))
+    return told.select(*keys, F.posexplode(F.coalesce(F.get("_w", F.lit(0)), _packed(F.col("_p"), size))).alias("child", "content"))
 
 
 def clause_tags(text: Column, project: Column) -> Column:
@@ -119,36 +151,40 @@ def contract_chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     What stands before the first article is cut into parts of ``HEAD`` characters
     that overlap; tables after ``TABLES`` are passages of their own; a text
     without articles and tables is cut into general windows. A null text has none.
+    A text's passages are one array on its own row, in their order, so texts are
+    read once and none is shuffled.
     """
-    whole = evened(F.col(text))
-    at = F.instr(whole, TABLES)
-    body = F.when(at > 0, F.left(whole, at - 1)).otherwise(whole)
-    rows = docs.select(F.col(key).alias("key"), body.alias("body"), F.when(at > 0, F.substring(whole, at + 2, F.length(whole))).alias("tables")).withColumn("cut", F.col("body").rlike(ARTICLE))
-    found = articles(rows.where("cut"), "key", "body").withColumn("child", F.lit(None).cast("int"))
-    head = found.where("role = 'standalone'").unionByName(rows.where("NOT cut AND tables IS NOT NULL").select("key", F.lit(0).alias("no"), F.lit("standalone").alias("role"), F.lit("header").alias("kind"), F.lit(None).cast("int").alias("number"), F.lit(HEAD_TITLE).alias("title"), _stripped(F.col("body")).alias("content"), F.lit(None).cast("int").alias("child")).where("content <> ''"))
-    begins = F.when(F.length("content") > HEAD_SIZE, F.sequence(F.lit(0), F.length("content") - 1, F.lit(HEAD_SIZE - HEAD_OVERLAP))).otherwise(F.array(F.lit(0)))
-    heads = head.withColumn("part", F.explode(begins)).withColumn("content", _stripped(F.substring("content", F.col("part") + 1, F.lit(HEAD_SIZE)))).where("content <> ''")
-    parents = found.where("role = 'parent'")
-    kids = children(parents, ["key", "no", "kind", "number", "title"], "content").withColumn("role", F.lit("child"))
-    blocks = F.filter(F.transform(F.split("tables", r"\n\s*\n"), _stripped), lambda b: (b != "") & (b != TABLES.strip()))
-    headed = lambda b: F.when(b.startswith(TABLES.strip()), b).otherwise(F.concat(F.lit(TABLES.strip() + "\n"), b))
-    tables = rows.where("tables IS NOT NULL").select("key", F.posexplode(F.transform(blocks, headed)).alias("part", "content"))
-    plain = chunk_windows(rows.where("NOT cut AND tables IS NULL"), "key", "body")
-    first = F.trim(F.regexp_extract("chunk", r"^([^\n]*)", 1))
-    columns = ["key", "no", "child", "role", "kind", "number", "title", "content", "part"]
-    none, last = F.lit(None).cast("int"), 2_147_483_647
-    every = [
-        heads,
-        parents.withColumn("part", F.lit(0)),
-        kids.withColumn("part", F.lit(0)),
-        tables.select("key", F.lit(last).alias("no"), none.alias("child"), F.lit("standalone").alias("role"), F.lit("table").alias("kind"), none.alias("number"), F.lit("별첨 데이터").alias("title"), "content", "part"),
-        plain.select("key", F.lit(0).alias("no"), none.alias("child"), F.lit("standalone").alias("role"), F.lit("general").alias("kind"), none.alias("number"), F.when(F.length(first) < 50, F.left(first, F.lit(40))).otherwise("").alias("title"), F.col("chunk").alias("content"), F.col("chunk_no").alias("part")),
-    ]
-    made = every[0].select(*columns)
-    for part in every[1:]:
-        made = made.unionByName(part.select(*columns))
-    order = Window.partitionBy("key").orderBy("no", "part", F.col("child").isNotNull(), "child")
-    return made.withColumn("no", F.row_number().over(order) - 1).select(F.col("key").alias(key), *columns[1:-1])
+    none, mark = F.lit(None).cast("int"), TABLES.strip()
+    kept = "array<struct<child:int,role:string,kind:string,number:int,title:string,content:string>>"
+
+    def passage(content: Column, role, kind, number: Column = none, title=HEAD_TITLE, child: Column = none) -> Column:
+        as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
+        return F.struct(child.cast("int").alias("child"), as_column(role).alias("role"), as_column(kind).alias("kind"), number.alias("number"), as_column(title).alias("title"), content.alias("content"))
+
+    at = F.instr("_t", TABLES)
+    rows = docs.select(F.col(key).alias("key"), evened(F.col(text)).alias("_t"))
+    rows = rows.select("key", F.when(at > 0, F.left("_t", at - 1)).otherwise(F.col("_t")).alias("body"), F.when(at > 0, F.substring("_t", at + 2, F.length("_t"))).alias("tables"))
+    rows = rows.select("key", "body", "tables", _articles(F.col("body")).alias("found"))
+    parents = F.coalesce(F.transform(F.filter("found", lambda a: a["role"] == "parent"), lambda a: F.struct(a.alias("a"), _paragraphs(a["content"]).alias("p"))), F.array())
+    head = F.when(F.col("found").isNotNull(), F.get(F.transform(F.filter("found", lambda a: a["role"] == "standalone"), lambda a: a["content"]), F.lit(0))).when(F.col("tables").isNotNull(), F.nullif(_stripped(F.col("body")), F.lit("")))
+    plain = F.when(F.col("found").isNull() & F.col("tables").isNull() & F.col("key").isNotNull(), F.col("body"))
+    rows = rows.select("key", head.alias("head"), parents.alias("parents"), "tables", plain.alias("plain"))
+    rows = rows.select("key", "head", "parents", "tables", windows_of(CHILD_OVERLAP, CHILD)(F.transform("parents", lambda x: _unmarked(x["p"], CHILD))).alias("cut"), F.get(windows_of()(F.array("plain")), F.lit(0)).alias("windows"))
+
+    begins = F.when(F.length("head") > HEAD_SIZE, F.sequence(F.lit(0), F.length("head") - 1, F.lit(HEAD_SIZE - HEAD_OVERLAP))).otherwise(F.array(F.lit(0)))
+    parts = F.filter(F.transform(begins, lambda i: _stripped(F.substring(F.col("head"), i + 1, F.lit(HEAD_SIZE)))), lambda c: c != "")
+    heads = F.when(F.col("head").isNotNull(), F.transform(parts, lambda c: passage(c, "standalone", "header")))
+
+    def article(x: Column, i: Column) -> Column:
+        a, kids = x["a"], F.coalesce(F.get("cut", i), _packed(x["p"], CHILD))
+        return F.concat(F.array(passage(a["content"], "parent", a["kind"], a["number"], a["title"])), F.transform(kids, lambda c, n: passage(c, "child", a["kind"], a["number"], a["title"], n)))
+
+    blocks = F.filter(F.transform(F.split("tables", r"\n\s*\n"), _stripped), lambda b: (b != "") & (b != mark))
+    tables = F.transform(blocks, lambda b: passage(F.when(b.startswith(mark), b).otherwise(F.concat(F.lit(mark + "\n"), b)), "standalone", "table", title="별첨 데이터"))
+    titled = lambda first: F.when(F.length(first) < 50, F.left(first, F.lit(40))).otherwise("")
+    general = F.transform("windows", lambda c: passage(c, "standalone", "general", title=_once(F.trim(F.regexp_extract(c, r"^([^\n]*)", 1)), titled)))
+    every = F.concat(*[F.coalesce(p.cast(kept), F.array().cast(kept)) for p in (heads, F.flatten(F.transform("parents", article)), tables, general)])
+    return rows.select(F.col("key").alias(key), F.posexplode(every).alias("no", "_x")).select(key, "no", "_x.*")
 
 
 def appendix(label: Column) -> Column:

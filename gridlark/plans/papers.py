@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.operators import clauses, committee
-from gridlark.plans.registry import query, table
+from gridlark.plans.registry import query, spread, table
 
 SECTION = """CASE s_suppkey % 3
 WHEN 0 THEN concat('심의 결과 1. ㈜회사', s_suppkey, '의 사천 태양광발전사업 허가(안) ※ (사유) 이유 설명 ', s_suppkey, ' 2. (주)빛', s_suppkey, ' 풍력발전사업 변경허가 ( ) ')
@@ -90,7 +90,7 @@ UNION ALL SELECT k, 'standalone', 'table', NULL, g, NULL, 11 FROM p, (SELECT unn
 SELECT k AS p_partkey, (row_number() OVER (PARTITION BY k ORDER BY CASE WHEN kind = 'header' THEN 0 WHEN kind = 'table' THEN 9 ELSE number END, part, child NULLS FIRST) - 1)::int AS no, role, kind, number, child::int AS child, n::int AS n FROM r""")
 def contract_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as contracts: heads in parts, articles with children, tables apart."""
-    docs = table(spark, sf_dir, "part").select("p_partkey", F.expr(WHOLE_CONTRACT).alias("text"))
+    docs = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", F.expr(WHOLE_CONTRACT).alias("text"))
     return clauses.contract_chunks(docs, "p_partkey", "text").select("p_partkey", "no", "role", "kind", "number", "child", F.length("content").alias("n"))
 
 
