@@ -72,7 +72,8 @@ SELECT p_partkey, (i - 1)::int AS child, n[i]::int AS n FROM c, LATERAL (SELECT
 def article_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of three paragraphs, packed into children."""
     paragraph = lambda sign: F.concat(F.lit(f"\n{sign} "), F.expr("repeat('가', 98 + p_size * 4)"))
-    parents = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("제3조 (목적)"), *map(paragraph, "①②③")).alias("content"))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    parents = parts.select("p_partkey", F.concat(F.lit("제3조 (목적)"), *map(paragraph, "①②③")).alias("content"))
     return clauses.children(parents, ["p_partkey"], "content").select("p_partkey", "child", F.length("content").alias("n"))
 
 
