@@ -78,16 +78,16 @@ def nested(rings: Column) -> Column:
     A ring is inside a larger one if some corner of it is, and not on its edge; documents do not cross their own rings.
     """
 
-    def around(ring: Column, others: Column) -> Column:
-        larger = F.filter(others, lambda o: ring_area(o) > ring_area(ring))
-        holds = lambda o: F.exists(ring, lambda p: inside(o, p["x"], p["y"]) & (edge_distance(F.array(o), p["x"], p["y"]) > 0))
-        return F.size(F.filter(larger, holds))
+    def around(one: Column, others: Column) -> Column:
+        holds = lambda o: F.exists(one["ring"], lambda p: inside(o, p["x"], p["y"]) & (edge_distance(F.array(o), p["x"], p["y"]) > 0))
+        return F.size(F.filter(others, lambda o: (o["m2"] > one["m2"]) & holds(o["ring"])))
 
     def turned(ring: Column, depth: Column) -> Column:
         left = _signed(ring) > 0
         return F.struct(F.when(left == (depth % 2 == 0), ring).otherwise(F.reverse(ring)).alias("ring"), depth.alias("depth"))
 
-    return _once(repaired(rings), lambda held: F.transform(held, lambda r: _once(around(r, held), lambda depth: turned(r, depth))))
+    sized = F.transform(repaired(rings), lambda r: F.struct(r.alias("ring"), ring_area(r).alias("m2")))
+    return _once(sized, lambda held: F.transform(held, lambda r: _once(around(r, held), lambda depth: turned(r["ring"], depth))))
 
 
 def shape_area(nested_rings: Column) -> Column:
