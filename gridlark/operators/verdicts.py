@@ -20,30 +20,37 @@ def lookup(key: Column, values: dict[str, int]) -> Column:
     return out
 
 
-def verdict_score(items: DataFrame, key: str) -> DataFrame:
-    """Score (0 to 100) and grade of each ``key`` from its rows (status, difficulty).
-
-    The worst open item counts in full, every further conditional one 3, every
-    unknown one 2; one impossible item makes the score 0. One shuffle, with sums
-    and maxima combined before it.
-    """
+def score_sums() -> list[Column]:
+    """The sums over rows (status, difficulty) that ``score_of`` and ``grade_of`` are made from."""
     weight = lookup(F.col("status"), STATUS_PENALTY) + lookup(F.col("difficulty"), DIFFICULTY_PENALTY)
     is_open = F.col("status").isin("CONDITIONAL", "UNKNOWN")
-    sums = items.groupBy(key).agg(
-        F.count_if(F.col("status") == "IMPOSSIBLE").alias("blockers"),
-        F.count_if(F.col("status") == "CONDITIONAL").alias("conditionals"),
-        F.count_if(F.col("status") == "UNKNOWN").alias("unknowns"),
-        F.coalesce(F.max(F.when(is_open, weight)), F.lit(0)).alias("worst"),
-    )
-    lost = F.col("worst") + 3 * F.greatest(F.lit(0), F.col("conditionals") - 1) + 2 * F.col("unknowns")
-    grade = (
-        F.when(F.col("blockers") > 0, "IMPOSSIBLE")
-        .when(F.col("conditionals") + F.col("unknowns") == 0, "POSSIBLE")
-        .when((F.col("unknowns") > 0) & (2 * F.col("unknowns") >= F.col("conditionals") + F.col("unknowns")), "UNKNOWN")
+    return [
+        F.count_if(F.col("status") == "IMPOSSIBLE").alias("_impossible"),
+        F.count_if(F.col("status") == "CONDITIONAL").alias("_conditional"),
+        F.count_if(F.col("status") == "UNKNOWN").alias("_unknown"),
+        F.coalesce(F.max(F.when(is_open, weight)), F.lit(0)).alias("_hardest"),
+    ]
+
+
+def score_of() -> Column:
+    """The score (0 to 100) of ``score_sums``: the worst open item counts in full, every further conditional one 3, every unknown one 2; one impossible item makes it 0."""
+    lost = F.col("_hardest") + 3 * F.greatest(F.lit(0), F.col("_conditional") - 1) + 2 * F.col("_unknown")
+    return F.when(F.col("_impossible") > 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), 100 - lost))).cast("int")
+
+
+def grade_of() -> Column:
+    """The grade of ``score_sums``."""
+    return (
+        F.when(F.col("_impossible") > 0, "IMPOSSIBLE")
+        .when(F.col("_conditional") + F.col("_unknown") == 0, "POSSIBLE")
+        .when((F.col("_unknown") > 0) & (2 * F.col("_unknown") >= F.col("_conditional") + F.col("_unknown")), "UNKNOWN")
         .otherwise("CONDITIONAL")
     )
-    score = F.when(F.col("blockers") > 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), 100 - lost)))
-    return sums.select(key, score.cast("int").alias("score"), grade.alias("grade"))
+
+
+def verdict_score(items: DataFrame, key: str) -> DataFrame:
+    """Score and grade of each ``key`` from its rows (status, difficulty). One shuffle, with sums and maxima combined before it."""
+    return items.groupBy(key).agg(*score_sums()).select(key, score_of().alias("score"), grade_of().alias("grade"))
 
 
 def merge_worst(items: DataFrame, key: str, point: str) -> DataFrame:

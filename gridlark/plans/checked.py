@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.operators import checks, evaluation, judgements
-from gridlark.plans.registry import query, table
+from gridlark.plans.registry import query, spread, table
 
 ZONES = ("공익용산지", "임업용산지", "보전산지", "준보전산지", "산림보호구역", "수변구역", "도로구역", "상수원보호구역")
 CODES = ("UFM110", "UFM120", "UFM100", "UFM200", "", "UMA", "UQS100", "UNA")
@@ -140,7 +140,7 @@ def _point_checks(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     nature = checks.protected_nature(sites, near.where("code = 'other'"), SITE, "radius")
     return [
         checks.heritage(sites, near, SITE), checks.failed(nature, SITE, checks.NATURE, causes), checks.habitats(sites, pixels, SITE),
-        checks.sea_share(sites, swept, SITE), checks.land_character(sites, _parcels(spark, sf_dir), lands, SITE),
+        checks.sea_share(sites, swept, SITE), checks.land_character(sites, spread(_parcels(spark, sf_dir), "parcel"), spread(lands, "parcel"), SITE),
     ]
 
 

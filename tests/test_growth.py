@@ -6,8 +6,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from gridlark.operators import clauses, features, outlines, overlay, retrieval, setbacks, spatial, surveys
-from gridlark.plans import overlays
+from gridlark.operators import checks, clauses, evaluation, features, outlines, overlay, retrieval, setbacks, spatial, surveys
+from gridlark.plans import checked, overlays
 
 
 def crowd(spark, n, side):
@@ -215,3 +215,35 @@ def test_f14_feature_documents_are_spread_and_areas_made_once(spark, tmp_path):
     assert [x.depth for x in got] == list(range(12))[::-1]
     spark.range(40).select(F.col("id").alias("p_partkey"), F.lit(5).alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert "RepartitionByExpression" in overlays.feature_rings(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_f15_checks_run_once_and_sites_are_not_joined(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    def status(i):
+        runs.add(1)
+        return "CONDITIONAL" if i % 3 else "IMPOSSIBLE"
+
+    rows = spark.range(60).select((F.col("id") % 5).alias("s"), F.lit("a").alias("item"), F.udf(status, "string")("id").alias("status"), *[F.lit(v).alias(c) for c, v in (("difficulty", "LOW"), ("confidence", "LOW"), ("reason", ""), ("action", ""))])
+    got = evaluation.summary(rows, "s").collect()
+    assert runs.value == 60 and {(r.s, r.score, r.grade, r.unknowns, r.gaps) for r in got} == {(i, 0, "IMPOSSIBLE", 0, 12) for i in range(5)}
+    spark.range(40).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(400).select(F.col("id").alias("o_orderkey"), (F.col("id") % 50).alias("o_custkey")).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    plan = checked.checked_sites(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 3 and plan.count("RepartitionByExpression") == 2  # radii of sites, failed readings, land of parcels; parcels and land are spread
+
+
+def test_f15_sites_and_evidence_meet_in_one_grouping(spark):
+    rng = random.Random(15)
+    sites = [rng.randint(0, 30) for _ in range(40)] + [None]
+    found = [(rng.choice([None, *range(40)]), rng.choice([None, 0.0, 5.0]), rng.choice([None, 0.0, 3.0]), rng.choice([None, True, False])) for _ in range(60)]
+    rows, s = spark.createDataFrame(found, "s long, m2 double, sea_m2 double, hit boolean"), spark.createDataFrame([(i,) for i in sites], "s int")
+    sea, birds = checks.sea_share(s, rows.select("s", "m2", "sea_m2"), "s"), checks.habitats(s, rows.select("s", "hit"), "s")
+    of = {i: [r for r in found if r[0] == i] for i in set(sites) - {None}}
+    want_sea = {i: "UNKNOWN" if not own or (sum(r[2] or 0 for r in own) == 0 and any(None in r[1:3] for r in own)) else "CONDITIONAL" if sum(r[2] or 0 for r in own) else "POSSIBLE" for i, own in of.items()}
+    got = sea.collect()
+    assert len(got) == len(of) and {r.s: r.status for r in got} == want_sea and {r.s: r.unread for r in got} == {i: sum(None in r[1:3] for r in own) for i, own in of.items()}
+    got = birds.collect()
+    assert len(got) == len(of) and {r.s: r.share for r in got} == {i: sum(bool(r[3]) for r in own) / len(own) if own else None for i, own in of.items()}
+    assert sea.schema["s"].dataType == s.schema["s"].dataType
+    assert all("Join" not in d._jdf.queryExecution().optimizedPlan().toString() for d in (sea, birds))
